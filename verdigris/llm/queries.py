@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, url_reputation
+from . import chat_format, hilbert, language_id, toxicity, url_reputation
 from .shared import table
 
 
@@ -22,8 +22,37 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(pages, labelled)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(own)))
+
+
+def _remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo the divisor; null ids: null."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(_remainder(3) != 1))
+    out = language_id.predict(docs, model, keep=(F.col("doc_id"),))
+    return out.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    model = toxicity.fit(docs, "doc_id", "text", labels)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_hits", "toxic_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_hilbert_sharding": op1_hilbert_sharding, "op5_url_filter": op5_url_filter}
+    """By name: op1 to op10."""
+    found = (op1_hilbert_sharding, op5_url_filter, op6_chat_format, op9_language_id, op10_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
