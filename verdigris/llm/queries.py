@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hilbert, language_id, pieces, token_counts, toxicity, url_reputation
+from . import chat_format, hilbert, language_id, minhash, pieces, token_counts, toxicity, url_reputation
 from .shared import table
 
 
@@ -16,6 +16,10 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(docs, "doc_id", "text", ["source", "lang", "n_chars", "doc_id"], n_shards=40)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), keep=(F.col("doc_id"),), round_trip=True)
 
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: op1 to op10."""
-    found = (op1_hilbert_sharding, op3_sentencepiece, op5_url_filter, op6_chat_format, op7_token_counts, op9_language_id, op10_toxicity)
+    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op5_url_filter, op6_chat_format, op7_token_counts, op9_language_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
