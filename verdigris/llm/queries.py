@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, hilbert, language_id, minhash, pieces, token_counts, toxicity, url_reputation
+from . import chat_format, embeddings, hilbert, language_id, minhash, pieces, token_counts, toxicity, url_reputation
 from .shared import table
 
 
@@ -41,6 +41,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def _remainder(divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; null ids: null."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: op1 to op10."""
-    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op5_url_filter, op6_chat_format, op7_token_counts, op9_language_id, op10_toxicity)
+    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op5_url_filter, op6_chat_format, op7_token_counts, op8_embedding_dedup, op9_language_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
