@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embeddings, hilbert, language_id, minhash, pieces, token_counts, toxicity, url_reputation
+from . import chat_format, decontaminate, embeddings, hilbert, language_id, minhash, pieces, token_counts, toxicity, url_reputation
 from .shared import table
 
 
@@ -24,6 +24,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), keep=(F.col("doc_id"),), round_trip=True)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     labelled = pages.select(url_reputation.host_of(F.col("url")).alias("host"), url_reputation.page_outcome(F.col("html")).alias("outcome"))
@@ -61,15 +65,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0)
     model = toxicity.fit(docs, "doc_id", "text", labels)
-    out = toxicity.score(docs, model)
+    out = toxicity.score(docs, model, keep=(F.col("doc_id"),))
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_hits", "toxic_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name: op1 to op10."""
-    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op5_url_filter, op6_chat_format, op7_token_counts, op8_embedding_dedup, op9_language_id, op10_toxicity)
+    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op4_decontamination, op5_url_filter, op6_chat_format, op7_token_counts, op8_embedding_dedup, op9_language_id, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontaminate.oracle()}

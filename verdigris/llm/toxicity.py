@@ -180,13 +180,13 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, labe
     return {"lexicon": lexicon, "coefficients": logistic(seen[["a", "b", "c"]].to_numpy(), y).tolist()}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Every row of docs with toxic_score (0 to 1), toxic_hits and toxic_words: columns id_col, those in keep, and these.
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Every row of docs: the columns in keep, toxic_score (0 to 1), toxic_hits and toxic_words.
 
     A null or empty text, or one without letters, scores as a text without matches. Repeated rows stay.
     """
     lexicon, coefficients = model["lexicon"], np.array(model["coefficients"])
-    rows = docs.select(F.col(f"`{id_col}`"), *keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
+    rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
     schema = rows.schema[:-1].add("toxic_score", "double").add("toxic_hits", "long").add("toxic_words", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
