@@ -1,0 +1,67 @@
+"""Seeded policy generators as DataFrames: rows are numbered and every draw is a hash of the row and its name."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verdigris.functions import policy as pl
+from verdigris.functions import text as tx
+
+
+def draw(seed: int, name: str, row: Column, low: int | Column, high: int | Column) -> Column:
+    """A whole number from low to high by the hash of seed, name and row."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (low, high))
+    u = tx.uniform(F.concat(F.lit(f"{seed}:{name}:"), row.cast("string")))
+    return (F.floor(u * (b - a + 1)) + a).cast("int")
+
+
+def composition_pairs(spark: SparkSession, groups: int, seed: int) -> DataFrame:
+    """For each shape and group: facts, label, and two partners that differ in one fact.
+
+    Atom values are drawn; of the atoms that a shape uses, those whose change flips a known label are the
+    relevant ones, and the partner changes the first of them in hash order (irrelevant alike). Groups
+    without such an atom are left out: all candidates are looked at, so there is no retrying.
+    """
+    out = []
+    for name, tree in pl.SHAPES.items():
+        used = pl.used_atoms(tree)
+        rows = spark.range(groups).withColumn("shape", F.lit(name))
+        rows = rows.withColumns({f"a{i}": draw(seed, f"{name}:{i}", F.col("id"), 0, 1) == 1 for i in range(4)})
+        atoms = [F.col(f"a{i}") for i in range(4)]
+        label = pl.compiled(tree, atoms)
+        options = []
+        for i in used:
+            flipped = pl.compiled(tree, [~a if j == i else a for j, a in enumerate(atoms)])
+            options.append(F.struct(F.sha2(F.concat(F.lit(f"{seed}:{name}:{i}:"), F.col("id").cast("string")), 256).alias("h"), F.lit(i).alias("atom"), (flipped != label).alias("flips")))
+        rows = rows.withColumn("label", label).withColumn("options", F.array_sort(F.array(*options)))
+        first = lambda flips: F.filter("options", lambda o: o["flips"] == flips)
+        found = lambda flips: F.get(first(flips), F.lit(0))["atom"]
+        pairs = F.array(F.struct(F.lit("relevant").alias("kind"), found(True).alias("changed")), F.struct(F.lit("irrelevant").alias("kind"), found(False).alias("changed")))
+        out.append(rows.select("shape", "id", "label", F.inline(pairs)).where(F.col("changed").isNotNull()))
+    every = reduce(DataFrame.unionByName, out)
+    gid = F.concat(F.lit("composition/"), F.col("shape"), F.lit("/"), F.col("id").cast("string"))
+    partner = F.when(F.col("kind") == "relevant", ~F.col("label")).otherwise(F.col("label"))
+    return every.select(gid.alias("group_id"), "shape", "kind", "changed", F.when(F.col("label"), "accept").otherwise("reject").alias("label"), F.when(partner, "accept").otherwise("reject").alias("partner_label"))
+
+
+def contrastive_pairs(spark: SparkSession, pairs: int, seed: int, tries: int = 4) -> DataFrame:
+    """`pairs` checked pairs a family: tries * pairs candidates are drawn, rejected ones go, the first `pairs` stay."""
+    k = F.col("id")
+    base = spark.range(pairs * tries)
+    fee = base.select(
+        F.lit("late_fee").alias("family"), "id", draw(seed, "fee:a", k, 0, 80).alias("a"), draw(seed, "fee:b", k, 0, 80).alias("b"), F.lit(10).alias("x"), F.lit(60).alias("y")
+    )
+    spend = base.select(F.lit("spend_threshold").alias("family"), "id", draw(seed, "spend:a", k, 1, 1000).alias("a"), draw(seed, "spend:b", k, 1, 1000).alias("b"), F.lit(500).alias("x"), F.lit(0).alias("y"))
+
+    def label(v: str) -> Column:
+        fee_label = pl.FAMILIES["late_fee"]({"days_late": F.col(v), "grace": F.col("x"), "cap": F.col("y")}).cast("string")
+        return F.when(F.col("family") == "late_fee", fee_label).otherwise(pl.FAMILIES["spend_threshold"]({"amount": F.col(v), "limit": F.col("x")}))
+
+    rows = fee.unionByName(spend).withColumns({"label_a": label("a"), "label_b": label("b")})
+    # One sentence holds the fact; two are filler. Dropping the fact leaves the label unknown, dropping filler keeps it.
+    reason = pl.pair_problem(F.col("label_a"), F.col("label_b"), (F.col("a") != F.col("b")).cast("int"), F.lit(True), F.lit(False), F.lit(False), F.lit(1))
+    kept = rows.where(reason.isNull()).withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy("id"))).where(F.col("rank") <= pairs)
+    return kept.select(F.concat(F.lit(f"contrastive/{seed}-"), F.col("family"), F.lit("-"), F.lpad((F.col("rank") - 1).cast("string"), 4, "0")).alias("group_id"), "family", "a", "b", "label_a", "label_b")

@@ -1,11 +1,17 @@
-"""All registered queries of the engine."""
+"""All registered queries of the engine, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from verdigris.plans import documents, policies, requests
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return documents.Q | requests.Q | policies.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return documents.SQL | requests.SQL | policies.SQL
