@@ -288,8 +288,8 @@ def restricted_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CYC = f"""v AS (SELECT vec_id, label, {_LP} AS lp FROM embeddings),
-sh AS (SELECT vec_id, label, s, list_transform(range(4), lambda j: lp[1 + CAST((j + s) % 4 AS INTEGER)] + j * 0.5) AS z FROM v, range(4) r(s)),
-sp AS (SELECT vec_id, label, s, {fx.softmax_sql('z')} AS pos FROM sh),
+sh AS (SELECT vec_id, label, s, list_transform(range(4), lambda j: lp[1 + CAST((j + s) % 4 AS INTEGER)] + j * 0.5) AS shown FROM v, range(4) r(s)),
+sp AS (SELECT vec_id, label, s, {fx.softmax_sql('shown')} AS pos FROM sh),
 bk AS (SELECT vec_id, label, s, list_transform(range(4), lambda k: pos[1 + CAST((k - s + 4) % 4 AS INTEGER)]) AS p FROM sp),
 mn AS (SELECT vec_id, label, [avg(ln(greatest(p[1], 1e-9))), avg(ln(greatest(p[2], 1e-9))), avg(ln(greatest(p[3], 1e-9))), avg(ln(greatest(p[4], 1e-9)))] AS m FROM bk GROUP BY vec_id, label),
 cyc AS (SELECT vec_id, label, {fx.softmax_sql('m')} AS c FROM mn)"""
