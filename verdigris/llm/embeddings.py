@@ -4,13 +4,13 @@ Unit vectors with cosine c or more are within squared distance 2 - 2c. After a f
 every direction over all coordinates, a vector is split into BLOCKS blocks; the blocks' squared distances add
 up to the whole one, so a linked pair is, in one block at least, within the block's proportional share of the
 squared distance. Each block is a range join: vectors are cut into strips by the block's first coordinate,
-at its quantiles, and a vector visits every strip within the share's radius of it. A strip compares its own
-vectors with all its visitors in that block, a matrix product a chunk; what passes is verified by the cosine
+at its quantiles, and a vector visits every strip within the share's radius of it. Of two strips one visits the other, and a
+strip compares its own vectors with each other and with its visitors, a matrix product a chunk; what passes is verified by the cosine
 of the whole vectors in double precision. A pair counts in the first block whose share it keeps, so that the
 union of the blocks' candidates holds it once.
 
-Vectors of equal components are one class with a weight. No pair leaves a task: a task returns, for its own
-vectors, the weight of what they link to, and a star for each component that its links make.
+Vectors of equal components are one class with a weight. No pair leaves a task: a task returns, for each
+vector, the weight of what it links to, and a star for each component that its links make.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .shared import checkpoint, stored
 
 COSINE, BLOCKS = 0.9, 4
 #: Vectors of a strip, about; own vectors compared at once; pairs verified at once.
-STRIP, CHUNK, VERIFIED = 8192, 1024, 1 << 16
+STRIP, CHUNK, VERIFIED = 8192, 512, 1 << 15
 _EPS = 1e-9
 
 
@@ -73,72 +73,81 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Strip:
-    """The own vectors of one strip of one block, and what has been found for them."""
+    """The own vectors of one strip of one block, and what has been found for them and their visitors."""
 
     def __init__(self, block: int, cosine: float):
         self.block, self.cosine, self.parts = block, cosine, []
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.stars: list[tuple[np.ndarray, np.ndarray]] = []
 
     def close(self) -> None:
         """All own vectors have come; they meet each other."""
-        self.ids = np.concatenate([p[0] for p in self.parts])
-        self.weights = np.concatenate([p[1] for p in self.parts])
-        self.raw = np.concatenate([p[2] for p in self.parts])
+        self.ids, self.weights, self.raw = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
         self.parts = []
-        self.turned = _rotated(self.raw)
-        edges = _bounds(self.turned.shape[1])
+        self.turn = rotation(self.raw.shape[1])
+        edges = _bounds(self.turn.shape[1])
         self.edges, self.shares = edges, (2 - 2 * self.cosine) * np.diff(edges) / edges[-1]
-        self.own = self.turned[:, edges[self.block] : edges[self.block + 1]].astype(np.float32)
-        self.square = (self.own * self.own).sum(axis=1)
-        self.links = np.zeros(len(self.ids), np.int64)
-        for at in range(0, len(self.ids), 8 * CHUNK):
-            part = slice(at, at + 8 * CHUNK)
-            self.meet(self.ids[part], self.weights[part], self.raw[part])
+        self.own = self._reduced(self.raw)
+        self._meet(self.ids, self.weights, self.raw, self.own, True)
 
     def meet(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray) -> None:
-        turned = _rotated(raw)
-        theirs = turned[:, self.edges[self.block] : self.edges[self.block + 1]].astype(np.float32)
-        square = (theirs * theirs).sum(axis=1)
+        self._meet(ids, weights, raw, self._reduced(raw), False)
+
+    def _reduced(self, raw: np.ndarray) -> np.ndarray:
+        """The block's coordinates of the unit vectors in single precision, with their square."""
+        raw = raw.astype(np.float64)
+        x = raw @ self.turn[:, self.edges[self.block] : self.edges[self.block + 1]] / np.linalg.norm(raw, axis=1, keepdims=True)
+        return np.column_stack((x, (x * x).sum(axis=1))).astype(np.float32)
+
+    def _meet(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, theirs: np.ndarray, same: bool) -> None:
         limit = np.float32(self.shares[self.block] + 1e-4)
+        one = np.ones((len(theirs), 1), np.float32)
+        right = np.ascontiguousarray(np.column_stack((theirs[:, :-1], one, theirs[:, -1:])).T)
         for at in range(0, len(self.ids), CHUNK):
-            part = slice(at, at + CHUNK)
-            near = self.own[part] @ theirs.T
-            near *= -2
-            near += self.square[part, None]
-            near += square
-            x, y = np.nonzero(near <= limit)
-            for k in range(0, len(x), VERIFIED):
-                self._verify(x[k : k + VERIFIED] + at, y[k : k + VERIFIED], ids, weights, raw, turned)
-
-    def _verify(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, turned: np.ndarray) -> None:
-        other = self.ids[x] != ids[y]
-        x, y = x[other], y[other]
+            mine = self.own[at : at + CHUNK]
+            left = np.column_stack((-2 * mine[:, :-1], mine[:, -1:], np.ones((len(mine), 1), np.float32)))
+            for to in range(at if same else 0, len(ids), 4 * CHUNK):
+                # One product gives the squared distances: -2xy + x^2 + y^2.
+                near = (left @ right[:, to : to + 4 * CHUNK]) <= limit
+                if not near.any():
+                    continue
+                x, y = np.nonzero(near)
+                x, y = x + at, y + to
+                if same:
+                    x, y = x[x < y], y[x < y]
+                for k in range(0, len(x), VERIFIED):
+                    self._verify(x[k : k + VERIFIED], y[k : k + VERIFIED], ids, weights, raw)
+
+    def _verify(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray) -> None:
+        p, q = self.raw[x].astype(np.float64), raw[y].astype(np.float64)
+        dot, a, b = (np.einsum("ij,ij->i", u, v) for u, v in ((p, q), (p, p), (q, q)))
+        a, b = np.sqrt(a), np.sqrt(b)
+        linked = (dot / (a * b) >= self.cosine) & (self.ids[x] != ids[y])
+        x, y, p, q, a, b = (v[linked] for v in (x, y, p, q, a, b))
         if not len(x):
             return
-        gap = (self.turned[x] - turned[y]) ** 2
+        gap = ((p / a[:, None] - q / b[:, None]) @ self.turn) ** 2
         kept = np.add.reduceat(gap, self.edges[:-1], axis=1) <= self.shares + _EPS
-        first = kept.argmax(axis=1) == self.block
-        first &= kept[:, self.block]
+        first = (kept.argmax(axis=1) == self.block) & kept[:, self.block]
         x, y = x[first], y[first]
-        p, q = self.raw[x], raw[y]
-        dot = np.einsum("ij,ij->i", p, q)
-        size = np.sqrt(np.einsum("ij,ij->i", p, p)) * np.sqrt(np.einsum("ij,ij->i", q, q))
-        linked = dot / size >= self.cosine
-        x, y = x[linked], y[linked]
-        if len(x):
-            np.add.at(self.links, x, weights[y])
-            self.stars.append(_stars(self.ids[x], ids[y]))
+        if not len(x):
+            return
+        both, at = np.unique(np.concatenate((self.ids[x], ids[y])), return_inverse=True)
+        self.links.append((both, np.bincount(at, np.concatenate((weights[y], self.weights[x])), len(both)).astype(np.int64)))
+        self.stars.append(_stars(self.ids[x], ids[y]))
 
     def found(self) -> pa.RecordBatch:
-        own = np.flatnonzero(self.links)
-        a, b = _stars(*(np.concatenate(s) for s in zip(*self.stars, strict=True))) if self.stars else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ids, links = np.concatenate((self.ids[own], a)), np.concatenate((self.links[own], np.zeros(len(a), np.int64)))
-        to = pa.array(np.concatenate((self.ids[own], b)))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), to], names=["id", "links", "to"])
+        """(id, links, to): weights of what an id links to, and edges of stars."""
+        none = np.zeros(0, np.int64)
+        ids, links = (np.concatenate(s) for s in zip(*self.links, strict=True)) if self.links else (none, none)
+        own, at = np.unique(ids, return_inverse=True)
+        counts = np.bincount(at, links, len(own)).astype(np.int64) if len(own) else none
+        a, b = _stars(*(np.concatenate(s) for s in zip(*self.stars, strict=True))) if self.stars else (none, none)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((own, a))), pa.array(np.concatenate((counts, np.zeros(len(a), np.int64)))), pa.array(np.concatenate((own, b)))], names=["id", "links", "to"])
 
 
-def _matrix(data: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(data.to_pylist()), np.float64).reshape(-1, dims)
+def _matrix(data: pa.Array, dims: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(data.to_pylist()), kind).reshape(-1, dims)
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -148,6 +157,9 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     a null id (component null, kept) or vectors of different lengths. Repeated vectors link with each
     other. An empty table gives no row; other columns aren't read.
     """
+    # Single-precision input is dealt as it is, half the bytes, and widened where it is compared.
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)
     good &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -167,7 +179,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                 turned = _rotated(raw)
                 heads = turned[:, _bounds(turned.shape[1])[:-1]]
                 for k, c, r in zip(own, heads.tolist(), raw, strict=True):
-                    coords[k], data[k] = c, r.tobytes()
+                    coords[k], data[k] = c, r.astype(kind).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims.astype(np.int32)), pa.array(data, pa.binary()), pa.array(coords, pa.list_(pa.float64()))], names=["id", "weight", "dims", "data", "coords"])
 
     spots = stored(classes.select("class", "weight", "v").mapInArrow(placed, "id long, weight long, dims int, data binary, coords array<double>"))
@@ -182,7 +194,10 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
         cuts |= {(dims, b): np.unique(found[b]) if at else np.zeros(0) for b in range(blocks)}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every vector to its own strip (role 0) and those in reach (role 1), in each block."""
+        """Every vector to its own strip (role 0) and, in each block, to half of those in reach (role 1).
+
+        Of two strips one visits the other: by the parity of their numbers, so that visits spread evenly.
+        """
         for batch in batches:
             take, block, strip, role = [], [], [], []
             for k, (dims, coords) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)):
@@ -191,6 +206,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                     r = math.sqrt((2 - 2 * cosine) * (edges[b + 1] - edges[b]) / edges[-1] + _EPS) + _EPS
                     low, home, high = np.searchsorted(cuts[dims, b], (c - r, c, c + r), "right")
                     for s in range(low, high + 1):
+                        if s != home and ((s + home) % 2 == 0) != (s < home):
+                            continue
                         take.append(k)
                         block.append(b)
                         strip.append(s)
@@ -210,7 +227,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                 if a == b:
                     continue
                 dims, block, number, role = keys[a].tolist()
-                part = (batch.column(4)[a:b].to_numpy(), batch.column(5)[a:b].to_numpy(), _matrix(batch.column(6)[a:b], dims))
+                part = (batch.column(4)[a:b].to_numpy(), batch.column(5)[a:b].to_numpy(), _matrix(batch.column(6)[a:b], dims, kind))
                 if (dims, block, number) != key:
                     if strip is not None:
                         if not closed:
