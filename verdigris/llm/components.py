@@ -11,20 +11,30 @@ from .shared import checkpoint
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b): component is the smallest id that id reaches.
 
-    Every round each vertex points at the smallest of itself and its neighbours, edges move to what their ends
-    point at, and loops and repeats go; what a vertex points at is composed round by round. Ends when
-    no edge is left: each round at least every second vertex of a component goes. A vertex with many neighbours
-    is a group whose minimum is taken on each side of the shuffle, never a list. Null ends are ignored. Only
-    whether edges are left reaches the driver.
+    Every round each vertex points at the smallest of itself and its neighbours, pointers are doubled until all
+    are at roots, edges move to the roots of their ends, and loops and repeats go. At most half of the vertices
+    with edges are roots, so rounds and doublings are logarithmic, also for long chains. A vertex with many
+    neighbours is a group whose minimum is taken on each side of the shuffle, never a list. Null ends are
+    ignored. Only whether edges or unfinished pointers are left reaches the driver.
     """
     left = checkpoint(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     labels = ids.withColumn("component", F.col("id"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
-        points = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
-        ends = points.select(F.col("a").alias("component"), "to")
-        labels = checkpoint(labels.join(ends, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
-        moved = left.join(points.withColumnRenamed("to", "to_a"), "a").join(points.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
-        left = checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where(F.col("a") != F.col("b")).distinct())
+        roots = _roots(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("v"), "to"))
+        labels = checkpoint(labels.join(roots.withColumnRenamed("v", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+        ends = left.join(roots.select(F.col("v").alias("a"), F.col("to").alias("p")), "a").join(roots.select(F.col("v").alias("b"), F.col("to").alias("q")), "b")
+        left = checkpoint(ends.where(F.col("p") != F.col("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
     return labels
+
+
+def _roots(points: DataFrame) -> DataFrame:
+    """(v, to) with every pointer moved on to its root, the vertex that points at itself; each step doubles what a pointer spans."""
+    points = checkpoint(points)
+    while True:
+        on = points.select(F.col("v").alias("to"), F.col("to").alias("next"))
+        moved = checkpoint(points.join(on, "to").select("v", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        points = moved.select("v", "to")
+        if moved.where("moved").isEmpty():
+            return points
