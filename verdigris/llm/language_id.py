@@ -56,9 +56,8 @@ def ngram_shares(texts: list[str]) -> np.ndarray:
 
 
 def _counts(texts: list[str]) -> np.ndarray:
-    joined = "  ".join(t.lower() for t in texts)
-    sizes = np.array([len(t.lower()) for t in texts]) + 2
-    sizes[-1] -= 2
+    low = [f"{t.lower()}  " for t in texts]  # two spaces: no n-gram goes on into the next text
+    joined, sizes = "".join(low), np.array([len(t) for t in low])
     codes = _letters(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint32)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes) * BUCKETS
     counts = np.zeros(len(texts) * BUCKETS)

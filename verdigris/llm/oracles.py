@@ -48,7 +48,7 @@ def op5() -> str:
 
     def level(name: str, source: str) -> str:
         seen, chance = "sum(n * (bad / n - prior) ** 2)", "sum(prior * (1 - prior))"
-        k = f"(SELECT CASE WHEN sum(n * prior * (1 - prior)) > 0 AND {seen} - {chance} > 0 THEN greatest(1.0, least(1000.0, sum(n * prior * (1 - prior)) / ({seen} - {chance}) - 1)) ELSE 1000.0 END FROM {source})"
+        k = f"(SELECT CASE WHEN sum(n * prior * (1 - prior)) > 0 AND {seen} - {chance} > 0 THEN greatest({u.WEAKEST}, least({u.STRONGEST}, sum(n * prior * (1 - prior)) / ({seen} - {chance}) - 1)) ELSE {u.STRONGEST} END FROM {source})"
         return f"{name} AS (SELECT *, {k} AS k, (bad + {k} * prior) / (n + {k}) AS mean FROM {source})"
 
     return rf"""

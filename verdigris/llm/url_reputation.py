@@ -26,6 +26,8 @@ RULES = (
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
 #: The quantile of the normal distribution for the posterior's lower bound, and the rate of bad pages that it must pass.
 Z, BAD_RATE = 1.645, 0.2
+#: Bounds of a prior's strength, in pages: even where rates vary a lot, a host needs some pages of its own.
+WEAKEST, STRONGEST = 4.0, 1000.0
 #: A page is labelled bad when its html holds at least so many runs of junk marks.
 JUNK, JUNK_RUNS = r"(?:###|%%%|\$\$\$|\*\*\*|&amp;&amp;&amp;|&&&)", 10
 
@@ -72,7 +74,7 @@ def _level(counts: DataFrame, key: str, prior: Column) -> DataFrame:
     """counts (key, n, bad, and what `prior` reads) with the level's prior strength and each key's posterior mean.
 
     Strength by moments: the variance of rates beyond what counts of this size have by chance gives the
-    beta's a + b; none left gives 1,000, which follows the level above. Between 1 and 1,000.
+    beta's a + b, between WEAKEST and STRONGEST; none left gives STRONGEST, which follows the level above.
     """
     rate = F.col("bad") / F.col("n")
     one = counts.withColumn("__vg_prior", prior)
@@ -84,7 +86,7 @@ def _level(counts: DataFrame, key: str, prior: Column) -> DataFrame:
     )
     over = F.col("seen") - F.col("by_chance")
     between = over / F.col("weighted")  # the beta's variance as a share of p(1 - p): 1 / (a + b + 1)
-    strength = moments.select(F.when((F.col("weighted") > 0) & (over > 0), F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / between - 1))).otherwise(F.lit(1000.0)))
+    strength = moments.select(F.when((F.col("weighted") > 0) & (over > 0), F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), 1 / between - 1))).otherwise(F.lit(STRONGEST)))
     k = F.col(f"{key}_k")
     return one.withColumn(f"{key}_k", strength.scalar()).withColumn(f"{key}_mean", (F.col("bad") + k * F.col("__vg_prior")) / (F.col("n") + k)).drop("__vg_prior")
 
