@@ -9,11 +9,12 @@ from verdigris.functions import numeric as nm
 from verdigris.functions import python_udfs as py
 from verdigris.functions import questions as qs
 from verdigris.functions import text as tx
-from verdigris.operators import converters, evaluation, targets
+from verdigris.operators import converters, evaluation, scoring, targets
 from verdigris.plans import fixtures as fx
 from verdigris.plans.documents import rounded
 from verdigris.plans.pipeline import fingerprint
 from verdigris.session import table
+from verdigris.sources import catalog
 
 Q, SQL = {}, {}
 
@@ -434,3 +435,22 @@ def acceptance_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(1), F.col("options")), lambda i: i.cast("string"))
     refused = F.when(F.col("questions") > qs.MAX_QUESTIONS, "question_count")
     return cases.select("name", F.coalesce(refused, qs.problem(F.lit("choice"), names), qs.admission(F.col("state"), F.array("row_tokens"))).alias("outcome"))
+
+
+@query(f"WITH {fx.SCORED_SQL} SELECT doc_id, (['de','en','es','fr'])[list_position(logits, list_max(logits))] AS choice, round(list_max(logits), 6) AS logit FROM scored")
+def scorer_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marker scorer behind the scorer interface, in Arrow batches: the same as its column form."""
+    records = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("state"), _names(*fx.LANGS).alias("keys"))
+    out = scoring.score(records, scoring.MarkerScorer(fx.MARKERS, fx.SCALE, fx.ENGLISH))
+    return out.select("doc_id", F.get("keys", nm.argmax(F.col("logits"))).alias("choice"), F.round(F.array_max("logits"), 6).alias("logit"))
+
+
+@query("SELECT event_id, event_id % 6 AS n, (['abbreviation','entity','description','human','location','number'])[1 + event_id % 6] AS gold, 'choice' AS type, 6 AS keys, true AS valid, true AS variant_valid FROM events")
+def source_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogued converter over event rows, in its normal and its changed schema."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"), (F.col("event_id") % 6).alias("coarse_label"))
+    spec = catalog.SPECS["trec"]
+    one, other = (catalog.convert(rows, spec, F.col("event_id"), variant=v) for v in (False, True))
+    both = one.join(other.select("row_key", F.col("valid").alias("variant_valid"), F.col("gold").alias("other")), "row_key").where(F.col("gold") == F.col("other"))
+    key = F.col("row_key").cast("long")
+    return both.select(key.alias("event_id"), (key % 6).alias("n"), "gold", "type", F.size("keys").alias("keys"), "valid", "variant_valid")
