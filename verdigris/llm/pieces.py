@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,10 @@ from pyspark.sql import types as T
 
 MARK = "\u2581"
 MODEL = "piece_bpe_32k.model"
-#: Words whose ids a worker keeps; past it they are forgotten and found again.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a worker keeps: those met since the last turn and those of the turn before.
+KEPT_WORDS = 600_000
+#: Texts and bytes of text that are encoded together: the more, the more prefixes their new words share.
+TOGETHER, TOGETHER_BYTES = 2048, 6 << 20
 _RUN = re.compile(f"({MARK}*)([^{MARK}]*)")
 
 
@@ -58,9 +61,16 @@ class Vocabulary:
         if list(model.encode("  a ", out_type=str)) != self.pieces_of(f"{MARK}{MARK}{MARK}a{MARK}"):
             raise ValueError("the model's normaliser is not the one expected: a mark in front, nothing else changed")
         self.feeds = any("\n" in p for p in self.ids)
-        self.longest = max(len(p) for p in self.ids if p.strip(MARK))
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.joins: dict[str, dict[str, bool]] = {}
+        self.n_joins = 0
         self.whole: dict[str, bool] = {}
+        self.packed: dict[str, bytes] = {}
+        self.trie: dict = {}
+        for piece in self.ids:
+            place = self.trie
+            for c in piece:
+                place = place.setdefault(c, {})
+            place[""] = piece
 
     def merge(self, text: str) -> list[str]:
         """What merging makes of the characters: the pair of neighbours with the largest score, the first such, again and again."""
@@ -83,46 +93,67 @@ class Vocabulary:
         return found
 
     def _joins(self, left: str, right: str) -> bool:
-        found = self.joins.get((left, right))
+        if self.n_joins > 1_000_000:
+            self.joins.clear()
+            self.n_joins = 0
+        self.n_joins += 1
+        found = self.joins.setdefault(left, {})[right] = self.merge(left + right) == [left, right]
+        return found
+
+    def id_bytes(self, piece: str) -> bytes:
+        """The piece's id as bytes of int32, or for a character that the vocabulary lacks the ids of its UTF-8 bytes."""
+        found = self.packed.get(piece)
         if found is None:
-            if len(self.joins) > 1_000_000:
-                self.joins.clear()
-            found = self.joins[left, right] = self.merge(left + right) == [left, right]
+            own = self.ids.get(piece)
+            ids = [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
+            found = self.packed[piece] = np.array(ids, np.int32).tobytes()
         return found
 
-    def id_list(self, piece: str) -> list[int]:
-        """The piece's id, or for a character that the vocabulary lacks the ids of its bytes."""
-        own = self.ids.get(piece)
-        return [own] if own is not None else [self.byte_ids[b] for b in piece.encode()]
+    def forward(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """For each of the sorted, distinct words, which hold no mark but at most one in front: its ids.
 
-    def forward(self, words: list[str]) -> dict[str, list[str]]:
-        """The pieces of each of the sorted, distinct words, which hold no mark but at most one in front."""
-        survivors: list[str] = []  # by end of prefix
-        before, out = "", {}
+        By end of prefix: the surviving piece, and the places in the trie of pieces where a piece that began
+        earlier in the word could go on.
+        """
+        survivors: list[str] = []
+        open_at: list[list[tuple[int, dict]]] = []
+        root, joins, packed = self.trie, self.joins, self.id_bytes
+        before = ""
         for word in words:
             shared = 0
             for a, b in zip(before, word):  # noqa: B905  the shorter ends it
                 if a != b:
                     break
                 shared += 1
-            del survivors[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    if end - start > 1 and (piece not in self.ids or not self._whole(piece)):
+            del survivors[shared:], open_at[shared:]
+            going = open_at[-1] if open_at else []
+            for end in range(shared, len(word)):
+                c, best, on = word[end], "", []
+                for start, place in (*going, (end, root)):  # the longest piece first
+                    place = place.get(c)
+                    if place is None:
                         continue
-                    if start == 0 or self._joins(survivors[start - 1], piece):
-                        survivors.append(piece)
-                        break
-                else:
-                    raise ValueError(f"no piece ends at {end} of {word!r}")
-            pieces, end = [], len(word)
+                    on.append((start, place))
+                    if not best and (piece := place.get("")) and self._whole(piece):
+                        if start == 0:
+                            best = piece
+                        else:
+                            left = survivors[start - 1]
+                            known = joins.get(left)
+                            joined = known.get(piece) if known is not None else None
+                            if self._joins(left, piece) if joined is None else joined:
+                                best = piece
+                survivors.append(best or c)
+                open_at.append(on)
+                going = on
+            parts, end = [], len(word)
             while end:
-                pieces.append(survivors[end - 1])
-                end -= len(pieces[-1])
-            out[word] = pieces[::-1]
+                piece = survivors[end - 1]
+                parts.append(packed(piece))
+                end -= len(piece)
+            parts.reverse()
+            yield word, b"".join(parts)
             before = word
-        return out
 
     def pieces_of(self, marked: str) -> list[str]:
         """Of a marked text, by merging directly: for checks and for runs of marks."""
@@ -135,28 +166,22 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.words: dict[str, bytes] = {}
-        self.lone: set[str] = set()  # words whose mark stays a piece of its own
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words, each with its mark in front; a line feed, which no piece holds, parts a word."""
         v = self.vocabulary
         split = {w: (MARK + w).split("\n") if not v.feeds else [MARK + w] for w in words}
-        found = v.forward(sorted({p for parts in split.values() for p in parts if p}))
-        feed = v.id_list("\n")
+        found = dict(v.forward(sorted({p for parts in split.values() for p in parts if p})))
+        found[""] = b""
+        feed = v.id_bytes("\n")
         for w, parts in split.items():
-            ids = []
-            for k, part in enumerate(parts):
-                ids += feed if k else []
-                for piece in found.get(part, ()):
-                    ids += v.id_list(piece)
-            self.words[w] = np.array(ids, np.int32).tobytes()
-            if found[parts[0]][0] == MARK:
-                self.lone.add(w)
+            self.words[w] = feed.join([found[p] for p in parts])
 
     @lru_cache(maxsize=4096)  # noqa: B019  one encoder lives as long as its worker
     def _run(self, n: int) -> bytes:
         """Ids of n marks in a row. Pieces of marks have one score, so the first pair that is a piece merges first."""
-        return np.array([i for p in self.vocabulary.merge(MARK * n) for i in self.vocabulary.id_list(p)], np.int32).tobytes()
+        return b"".join(self.vocabulary.id_bytes(p) for p in self.vocabulary.merge(MARK * n))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of int32; none for a null or empty text."""
@@ -164,10 +189,12 @@ class Encoder:
         cut = [None if c and "" in c else c for c in cut]  # runs of spaces, or one at an end
         spaced = {k: _RUN.findall(MARK + t.replace(" ", MARK)) for k, t in enumerate(texts) if t and cut[k] is None}
         words = set().union(*(c for c in cut if c), *([w for _, w in runs if w] for runs in spaced.values()))
-        if len(self.words) + len(words) > KEPT_WORDS:
-            self.words.clear()
-            self.lone.clear()
-        if new := words - self.words.keys():
+        if len(self.words) + len(words) > KEPT_WORDS // 2:
+            self.older, self.words = self.words, {}
+        new = words - self.words.keys()
+        known = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        if new := new - known:
             self._learn(new)
         get = self.words.__getitem__
         out = []
@@ -182,11 +209,12 @@ class Encoder:
 
     def _spaced(self, runs: list[tuple[str, str]]) -> Iterator[bytes]:
         """A word takes the last mark before it, unless that mark stays alone: then it merges with those before."""
+        lone = self.vocabulary.id_bytes(MARK)
         for marks, word in runs:
             n = len(marks)
             if not word:
                 yield self._run(n) if n else b""
-            elif word in self.lone:
+            elif self.words[word].startswith(lone):
                 yield self._run(n)
                 yield self.words[word][4:]
             else:
@@ -205,6 +233,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most TOGETHER rows and TOGETHER_BYTES of its last column (a longer text alone)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+    at = total = 0
+    for k, size in enumerate(sizes):
+        if k > at and (k - at >= TOGETHER or total + size > TOGETHER_BYTES):
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _id_lists(found: list[bytes]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
@@ -213,8 +254,7 @@ def _id_lists(found: list[bytes]) -> pa.Array:
 def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (), path: str | None = None, round_trip: bool = False) -> DataFrame:
     """Every row: the columns in keep, n_tokens, ids and, with round_trip, whether decoding gives the text back.
 
-    A null or empty text has no ids (and comes back as empty). Texts are encoded whole, a batch of at most
-    512 at a time. Repeated rows stay. Equal to the library's encoding by the same model.
+    A null or empty text has no ids (and comes back as empty). Texts are encoded whole, some MB at a time. Repeated rows stay. Equal to the library's encoding by the same model.
     """
     path = path or model_path()
     rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
@@ -225,8 +265,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in _cut(whole):
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 found = encoder.encode(texts)
                 added = [pa.array([len(x) // 4 for x in found], pa.int64()), _id_lists(found)]
