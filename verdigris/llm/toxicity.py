@@ -34,6 +34,8 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line", "pond scum")
 #: Documents of the fitting sample; documents that a lexicon entry must be in; entries at most; shortest beginning.
 SAMPLE, SUPPORT, ENTRIES, SHORTEST, LONGEST = 20_000, 8, 2_000, 5, 9
+#: Entries that a task counts before it passes the counts on.
+COUNTED = 200_000
 #: An entry's log odds, less one and a half standard errors, must be over this.
 LEAST_ODDS = 1.5
 
@@ -62,17 +64,23 @@ def _beginnings(words: set[str]) -> set[str]:
 
 
 def _count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) to (entry, in toxic documents, in others); what is in one document of a task alone still counts."""
+    """(toxic, text) to (entry, in toxic documents, in others): partial sums, passed on whenever there are COUNTED of them."""
     toxic, other = Counter(), Counter()
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        names = list(toxic.keys() | other.keys())
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[e] for e in part], pa.int64()), pa.array([other[e] for e in part], pa.int64())], names=["entry", "toxic", "other"])
+        toxic.clear()
+        other.clear()
+
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else other).update(_beginnings(set(fold(text or "").split())))
-    entries = list(toxic)  # an entry needs toxic documents; counts of the others matter only for those
-    rest = [e for e in other if e not in toxic]
-    for part, own in ((entries, toxic), (rest, None)):
-        for at in range(0, len(part), 50_000):
-            names = part[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([own[e] if own else 0 for e in names], pa.int64()), pa.array([other[e] for e in names], pa.int64())], names=["entry", "toxic", "other"])
+        for label, text in zip(batch.column(0), batch.column(1), strict=True):
+            (toxic if label.as_py() else other).update(_beginnings(set(fold(text.as_py() or "").split())))
+            if len(toxic) + len(other) > COUNTED:
+                yield from flushed()
+    yield from flushed()
 
 
 def _choose(rows: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> dict[str, float]:
@@ -173,7 +181,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, labe
     counts = rows.mapInArrow(_count_beginnings, "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     least = max(3, min(SUPPORT, n_toxic // 20))
     odds = F.log((F.col("t") + 0.5) / (F.col("o") + 0.5)) - math.log((n_toxic + 1) / (n_other + 1))
-    entries = counts.where((F.col("t") >= least) & (odds > LEAST_ODDS)).orderBy(F.desc("t"), "entry").limit(20 * ENTRIES)
+    entries = counts.where((F.col("t") >= least) & (odds > LEAST_ODDS)).orderBy(F.desc("t"), "entry").limit(5 * ENTRIES)
     lexicon = _choose([(r["entry"], r["t"], r["o"]) for r in entries.collect()], n_toxic, n_other)
     seen = rows.mapInArrow(_sample_features(lexicon), "toxic bigint, a double, b double, c double").toPandas()
     y = (seen["toxic"].to_numpy() > 0).astype(float)
