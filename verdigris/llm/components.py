@@ -31,7 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _roots(points: DataFrame) -> DataFrame:
     """(v, to) with every pointer moved on to its root, the vertex that points at itself; each step doubles what a pointer spans."""
-    points = checkpoint(points)
     while True:
         on = points.select(F.col("v").alias("to"), F.col("to").alias("next"))
         moved = checkpoint(points.join(on, "to").select("v", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))

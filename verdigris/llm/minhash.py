@@ -88,14 +88,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
+        last, x = None, np.zeros(0, np.int64)
         for batch in batches:
             linked = []
             for k in range(batch.num_rows):
-                first = batch.column(2)[k].as_py()
-                if (x := kept.get(hash(first))) is None:
-                    kept.clear()  # rows come by b: runs of one text
-                    x = kept[hash(first)] = positive_set(first, size)
+                text = batch.column(2)[k].as_py()
+                if text != last:  # rows come by b: runs of one text
+                    last, x = text, positive_set(text, size)
                 y = positive_set(batch.column(3)[k].as_py(), size)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -166,8 +165,8 @@ def _tiled(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """
     stars = heavy.join(heavy.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b"))
     regions = components(stars)
-    members = heavy.select("id", "n", "component").distinct().join(regions.withColumnRenamed("component", "region"), "id")
-    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    band_of = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    members = heavy.select("id", "n", "component").distinct().join(regions.withColumnRenamed("component", "region"), "id").withColumn("band", band_of)
     bands = members.groupBy("region", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     nearby = bands.join(bands.select("region", (F.col("band") - 1).alias("band"), F.col("tiles").alias("next_tiles")), ["region", "band"], "left")
     nearby = nearby.join(bands.select("region", (F.col("band") + 1).alias("band"), F.col("tiles").alias("last_tiles")), ["region", "band"], "left")

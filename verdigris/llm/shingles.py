@@ -8,7 +8,7 @@ import xxhash
 #: Odd multipliers of the mixing steps (splitmix64) and of the combination of words.
 _A, _B, _WORD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
