@@ -189,6 +189,20 @@ def test_masks_cover_two_substitutions():
         assert any(not {o + p for p in m} & set(bad) for m in decontaminate.MASKS for o in range(13 - m[-1]))
 
 
+def test_seeds_cover_two_substitutions(spark):
+    """Every 13 words of which two differ share a seed at one alignment, and every such copy at a document's end is found."""
+    import itertools
+
+    item = WORDS[:13]
+    bad = {d: [f"changed{k}" if k in pair else t for k, t in enumerate(item)] for d, pair in enumerate(itertools.combinations(range(13), 2))}
+    seeds = lambda rows: decontaminate._seeds(spark.createDataFrame(list(rows.items()), "doc long, words array<string>"), ["doc"]).collect()
+    own = {(r["at"], r["seed"]) for r in seeds({0: item})}
+    assert {r["doc"] for r in seeds(bad) if (r["at"], r["seed"]) in own} == set(bad)
+    docs = spark.createDataFrame([(d, " ".join(["before"] * (d % 4) + w)) for d, w in bad.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {(r["doc_id"], r["matched"], r["start"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(d, 11, d % 4) for d in bad}
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "too short an item"), (None, "word1 and word2 and word3 and word4 and word5 and")], "item_id long, text string")
     rows = decontaminate.contaminated(edge_docs, bench).collect()

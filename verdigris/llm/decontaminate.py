@@ -31,13 +31,14 @@ def words_of(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows (keep, words) with a row for each position and mask: keep, at (from 0), seed."""
+    """rows (keep, words) with a row for each mask and each position at which it fits: keep, at (from 0), seed."""
     w, n = F.col("words"), F.size("words")
     used = sorted({p for m in MASKS for p in m})
-    shifted = F.arrays_zip(*(F.slice(w, F.lit(p + 1), n - _REACH + 1).alias(f"w{p}") for p in used))
-    placed = rows.where(n >= _REACH).select(*keep, F.posexplode(shifted).alias("at", "z"))
-    seeds = F.array(*(F.xxhash64(F.lit(k), *(F.col(f"z.w{p}") for p in m)) for k, m in enumerate(MASKS)))
-    return placed.select(*keep, "at", F.explode(seeds).alias("seed"))
+    # arrays_zip pads with nulls, so each mask goes on to its own last position, not to that of the longest one.
+    shifted = F.arrays_zip(*(F.slice(w, F.lit(p + 1), F.greatest(n - p, F.lit(0))).alias(f"w{p}") for p in used))
+    placed = rows.where(n > 0).select(*keep, F.posexplode(shifted).alias("at", "z"))
+    seeds = F.array(*(F.when(F.col(f"z.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"z.w{p}") for p in m))) for k, m in enumerate(MASKS)))
+    return placed.select(*keep, "at", F.explode(seeds).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def _verified(hits: DataFrame, window: int, percent: int) -> DataFrame:
