@@ -203,6 +203,40 @@ def test_seeds_cover_two_substitutions(spark):
     assert {(r["doc_id"], r["matched"], r["start"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(d, 11, d % 4) for d in bad}
 
 
+def test_short_masks_cover_what_may_differ():
+    import itertools
+
+    for n in range(1, 13):
+        masks = next(m for k, m in decontaminate.SHORT.items() if n >= k)
+        for bad in itertools.combinations(range(n), n * 20 // 100):
+            assert any(not {o + p for p in m} & set(bad) for m in masks for o in range(n - m[-1]))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_short_items_equal_brute_force(spark, monkeypatch, broadcast):
+    """Items of 1 to 13 words, copied whole, with words changed, and cut off at a document's begin or end."""
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    rng = random.Random(5)
+    items = {n: [f"item{n}word{k}" for k in range(n)] for n in range(1, 14)} | {20 + n: [rng.choice(WORDS[:6]) for _ in range(n)] for n in range(2, 13)}
+    docs = {}
+    for n, item in items.items():
+        for changed in range(4):
+            for _ in range(3):
+                part = list(item)
+                for k in rng.sample(range(len(part)), min(changed, len(part))):
+                    part[k] = "changed"
+                docs[len(docs)] = [rng.choice(WORDS[:9]) for _ in range(rng.randrange(4))] + part + [rng.choice(WORDS) for _ in range(rng.randrange(4))]
+        docs[len(docs)] = item[1:] + ["after"]
+        docs[len(docs)] = ["before"] + item[:-2]
+    want = {(d, i): m for d, w in docs.items() for i, t in items.items() if (m := overlap(w, t)) is not None}
+    rows = decontaminate.contaminated(
+        spark.createDataFrame([(d, ", ".join(w)) for d, w in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in rows} == want and {i for _, i in want} == set(items)
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away"), (2, None), (3, ""), (4, "too short an item"), (None, "word1 and word2 and word3 and word4 and word5 and")], "item_id long, text string")
     rows = decontaminate.contaminated(edge_docs, bench).collect()

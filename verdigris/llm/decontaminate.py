@@ -2,16 +2,20 @@
 
 A seed is a hash of the words at the positions of a fixed mask; the positions between are ignored. MASKS hold six
 words each and are chosen so that of any WINDOW aligned words of which at most two differ, one mask at one offset
-reads only equal ones. Seeds of training texts and of benchmark items are joined; each hit fixes an alignment,
+reads only equal ones. Shorter items have masks of their own (SHORT), chosen in the same way for the words that may
+differ in them: two of 10 to 12, one of 5 to 9, none of 1 to 4. Seeds of training texts and of benchmark items are joined; each hit fixes an alignment,
 and around it the item is compared with the text word by word: the pair is contaminated if in some window of
 WINDOW words (the whole item if it is shorter) at least 80 of 100 are equal, substituted words allowed.
 
-Words are runs of letters and digits, lower-cased. Items of fewer words than the longest mask reaches are too
-short to be evidence and match nothing.
+Words are runs of letters and digits, lower-cased. There is no shortest item: one of a single word matches every
+text that has the word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +23,19 @@ from .shared import checkpoint
 
 #: Positions that a seed reads.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+#: Masks of shorter items by the fewest words that they are for; each row holds up to the next one's.
+SHORT = {
+    10: ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)),
+    5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+    4: ((0, 1, 2, 3),),
+    3: ((0, 1, 2),),
+    2: ((0, 1),),
+    1: ((0,),),
+}
 WINDOW, PERCENT = 13, 80
 #: Benchmark seeds and words up to which they are broadcast (about 100 bytes each in memory: some 50 MB).
 BROADCAST_SEEDS, BROADCAST_WORDS = 500_000, 500_000
+_BY_SIZE = {WINDOW: MASKS, **SHORT}
 _REACH = max(m[-1] for m in MASKS) + 1
 
 
@@ -30,14 +44,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows (keep, words) with a row for each mask and each position at which it fits: keep, at (from 0), seed."""
+def _least(size: Column) -> Column:
+    """The key of _BY_SIZE whose masks hold for so many aligned words."""
+    return F.coalesce(*(F.when(size >= k, k) for k in _BY_SIZE))
+
+
+def _seeds(rows: DataFrame, keep: list[str], sizes: Sequence[int] = (WINDOW,)) -> DataFrame:
+    """rows (keep, words) with a row for each mask of sizes and each position at which it fits: keep, at (from 0), seed."""
     w, n = F.col("words"), F.size("words")
-    used = sorted({p for m in MASKS for p in m})
+    masks = sorted({m for k in sizes for m in _BY_SIZE[k]})
+    used = sorted({p for m in masks for p in m})
     # arrays_zip pads with nulls, so each mask goes on to its own last position, not to that of the longest one.
     shifted = F.arrays_zip(*(F.slice(w, F.lit(p + 1), F.greatest(n - p, F.lit(0))).alias(f"w{p}") for p in used))
     placed = rows.where(n > 0).select(*keep, F.posexplode(shifted).alias("at", "z"))
-    seeds = F.array(*(F.when(F.col(f"z.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"z.w{p}") for p in m))) for k, m in enumerate(MASKS)))
+    seeds = F.array(*(F.when(F.col(f"z.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(str(m)), *(F.col(f"z.w{p}") for p in m))) for m in masks))
     return placed.select(*keep, "at", F.explode(seeds).alias("seed")).where(F.col("seed").isNotNull())
 
 
@@ -57,22 +77,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     matched: equal words at the best alignment; overlap: matched / item_words; start: the document's word (from
     0) at which the item begins there, the first of equally good ones; negative if the item's begin is missing.
-    Null and empty texts match nothing; a null id is kept as null; rows that share an id are one document with
+    Null and empty texts match nothing, items of any number of words are held against all texts, with the masks
+    that the items' sizes call for; masks don't cover a window over WINDOW or a percent under PERCENT; a null id is kept as null; rows that share an id are one document with
     several texts. An empty table on either side gives no row. Documents are read once and stay where they are
     if the benchmark's seeds are within the broadcast bounds, which are counted; else seeds are joined by a
     shuffle of (id, position, seed) and the texts that were hit are joined to them.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), words_of(F.col(f"`{item_text_col}`").cast("string")).alias("item_words"))
-    items = checkpoint(items.where(F.size("item_words") >= _REACH).distinct().withColumn("own", F.monotonically_increasing_id()))
-    wanted = checkpoint(_seeds(items.select("own", F.col("item_words").alias("words")), ["own"]).withColumnRenamed("at", "item_at").distinct())
-    n_words = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
+    least = _least(F.least(F.lit(window), F.size("item_words")))
+    items = checkpoint(items.where(F.size("item_words") > 0).distinct().withColumn("own", F.monotonically_increasing_id()))
+    n_words, sizes = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0)), F.sort_array(F.collect_set(least))).first()
+    sizes = sizes or [WINDOW]
+    of_items = [_seeds(items.where(least == k).select("own", F.col("item_words").alias("words")), ["own"], [k]) for k in sizes]
+    wanted = checkpoint(reduce(DataFrame.unionByName, of_items).withColumnRenamed("at", "item_at").distinct())
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if wanted.count() <= BROADCAST_SEEDS and n_words <= BROADCAST_WORDS:
-        hits = _seeds(texts, ["doc", "words"]).join(F.broadcast(wanted), "seed").select("doc", "words", "own", shift)
+        hits = _seeds(texts, ["doc", "words"], sizes).join(F.broadcast(wanted), "seed").select("doc", "words", "own", shift)
         hits = hits.join(F.broadcast(items), "own")
     else:
-        near = _seeds(texts, ["doc"]).join(wanted, "seed").select("doc", "own", shift).distinct()
+        near = _seeds(texts, ["doc"], sizes).join(wanted, "seed").select("doc", "own", shift).distinct()
         hits = near.join(items, "own").join(texts, near["doc"].eqNullSafe(texts["doc"])).select(near["doc"], "words", "own", "shift", "item", "item_words")
     held = _verified(hits, window, percent)
     best = held.groupBy("doc", "item").agg(F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("best"))
@@ -90,6 +114,7 @@ def oracle(window: int = WINDOW, percent: int = PERCENT) -> str:
     """The same in DuckDB SQL over documents and benchmark, by plain runs of four words instead of seeds.
 
     11 of 13 aligned words that are equal have a run of four, so both find the same for items of 13 words or more.
+    Its items start at nine words and runs of four are too long for some shorter ones; contaminated() finds those too.
     """
     cut = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     return f"""
