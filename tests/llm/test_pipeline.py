@@ -47,6 +47,12 @@ def test_stages_equal_plain_versions(spark, small):
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} and all(r["round_trip"] for r in after)
 
 
+def test_language_stage_without_labels_keeps_all(spark, small, edge_docs):
+    unlabelled = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.language_stage(spark, unlabelled, small)
+    assert out.columns == edge_docs.columns and out.count() == unlabelled.count()
+
+
 def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) < set(names)
