@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow_rows
+
 #: The control strings of the template, all with a first character that occurs nowhere else in them.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]")
 _TAIL = r"(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\])"
@@ -186,7 +188,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     rows = turns.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{turn_col}`").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kind = rows.schema["conv_id"].dataType.simpleString()
-    out = dealt.mapInArrow(_format_batches, f"conv_id {kind}, n_turns bigint, formatted string, loss_start array<bigint>, loss_end array<bigint>")
+    out = arrow_rows(dealt, _format_batches, f"conv_id {kind}, n_turns bigint, formatted string, loss_start array<bigint>, loss_end array<bigint>")
     return out.withColumnRenamed("conv_id", id_col)
 
 
@@ -229,5 +231,5 @@ def read_back(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """What the formatted text and its loss mask say, for each conversation: counts and SHA-256 digests of turns and loss text."""
     kind = chats.schema[id_col].dataType.simpleString()
     rows = chats.select(F.col(id_col).alias("conv_id"), "n_turns", "formatted", "loss_start", "loss_end")
-    out = rows.mapInArrow(_digest_batches, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    out = arrow_rows(rows, _digest_batches, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
     return out.withColumnRenamed("conv_id", id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpoint, stored
+from .shared import arrow_rows, checkpoint, stored
 
 COSINE, BLOCKS = 0.9, 4
 #: Vectors of a strip, about; own vectors compared at once; pairs verified at once.
@@ -182,7 +182,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
                     coords[k], data[k] = c, r.astype(kind).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims.astype(np.int32)), pa.array(data, pa.binary()), pa.array(coords, pa.list_(pa.float64()))], names=["id", "weight", "dims", "data", "coords"])
 
-    spots = stored(classes.select("class", "weight", "v").mapInArrow(placed, "id long, weight long, dims int, data binary, coords array<double>"))
+    spots = stored(arrow_rows(classes.select("class", "weight", "v"), placed, "id long, weight long, dims int, data binary, coords array<double>"))
     # Splitters of every block, for each vector length: strips of STRIP vectors, so as many numbers as strips.
     cuts: dict[tuple[int, int], np.ndarray] = {}
     for dims, n in spots.groupBy("dims").agg(F.count("*")).collect():
@@ -249,8 +249,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
             yield strip.found()
 
     order = ["dims", "block", "strip", "role"]
-    tiles = spots.mapInArrow(dealt, "dims int, block int, strip int, role int, id long, weight long, data binary").repartition("dims", "block", "strip").sortWithinPartitions(*order)
-    found = checkpoint(tiles.mapInArrow(joined, "id long, links long, to long"))
+    tiles = arrow_rows(spots, dealt, "dims int, block int, strip int, role int, id long, weight long, data binary").repartition("dims", "block", "strip").sortWithinPartitions(*order)
+    found = checkpoint(arrow_rows(tiles, joined, "id long, links long, to long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     named = classes.select("v", "weight", F.col("class").alias("id")).join(links, "id", "left").join(final, "id", "left").select("v", "weight", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("component"))

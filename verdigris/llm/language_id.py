@@ -11,28 +11,38 @@ row is flagged as ambiguous.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow_rows, with_scores
+
 #: Buckets of the hashed n-grams; characters worked on at once; relative loss gap under which a row is ambiguous.
 BUCKETS, AT_ONCE, AMBIGUOUS = 4096, 1 << 20, 0.1
 #: The prediction for a text that is null or has no letters.
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model can have: what reaches the driver is this times BUCKETS numbers at most.
+LANGUAGES = 1024
 _SPACE = 32
 
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def has_letters(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _letters(codes: np.ndarray) -> np.ndarray:
     """Code points of lower-case text with everything that is no letter as a space."""
-    table = np.array([chr(c).isalpha() for c in range(0x250)])
-    low = codes < len(table)
-    keep = np.where(low, table[np.minimum(codes, len(table) - 1)], (codes < 0x2000) | (codes > 0x2E7F))
-    return np.where(keep, codes, _SPACE)
+    return np.where(_is_letter()[codes], codes, _SPACE)
 
 
 def ngram_shares(texts: list[str]) -> np.ndarray:
@@ -98,7 +108,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     """The model from all rows of docs whose language isn't null and whose text has letters.
 
     Each document counts as one, however long. Every task gives a row for each language and bucket that it
-    has met, which are summed: what reaches the driver is languages times BUCKETS numbers.
+    has met, which are summed: what reaches the driver is languages times BUCKETS numbers. A column with more
+    than LANGUAGES values is refused with a ValueError: it holds no languages.
     """
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
 
@@ -111,12 +122,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                 own = np.array(langs[at : at + 256], dtype=object)
                 for lang in dict.fromkeys(own):
                     sums[lang] = sums.get(lang, 0) + shares[own == lang].sum(axis=0)
+            if len(sums) > LANGUAGES:
+                raise ValueError(f"more than {LANGUAGES} languages")
         for lang, vector in sums.items():
             used = np.flatnonzero(vector)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(vector[used])], names=["lang", "bucket", "share"])
 
-    summed = rows.mapInArrow(run, "lang string, bucket int, share double").groupBy("lang", "bucket").agg(F.sum("share").alias("share")).toPandas()
+    summed = arrow_rows(rows, run, "lang string, bucket int, share double").groupBy("lang", "bucket").agg(F.sum("share").alias("share")).limit(LANGUAGES * BUCKETS + 1).toPandas()
     langs = sorted(summed["lang"].unique())
+    if len(langs) > LANGUAGES or len(summed) > LANGUAGES * BUCKETS:
+        raise ValueError(f"more than {LANGUAGES} languages")
     profiles = np.zeros((len(langs), BUCKETS))
     profiles[[langs.index(x) for x in summed["lang"]], summed["bucket"]] = summed["share"]
     return train(langs, profiles)
@@ -160,19 +175,17 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[Co
     A null text or one without letters is `und` with score 0; so is every text if the model knows no
     language. Repeated rows stay. A tie goes to the language that sorts first.
     """
-    rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
-    schema = rows.schema[:-1].add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     names = np.array([*model["langs"], UNKNOWN], dtype=object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            n = batch.num_rows
+            n = len(batch)
             pred, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.ones(n, bool)
             for at in range(0, n if len(names) > 1 else 0, 256):
-                texts = batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()
-                own = np.array([k for k, t in enumerate(texts) if t and _LETTER.search(t)], int)
+                texts = batch.slice(at, 256).to_pylist()
+                own = np.array([k for k, t in enumerate(texts) if t and has_letters(t)], int)
                 if len(own):
                     pred[at + own], score[at + own], unsure[at + own] = decode(model, ngram_shares([texts[k] for k in own]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[pred], pa.string()), pa.array(score), pa.array(unsure)], names=schema.names)
+            yield pa.StructArray.from_arrays([pa.array(names[pred], pa.string()), pa.array(score), pa.array(unsure)], names=["lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, schema)
+    return with_scores(docs, run, "lang_pred string, score double, ambiguous boolean", text_col, keep)

@@ -1,7 +1,7 @@
 """Near-duplicates by word shingles with bottom-k sketches from one hash function.
 
 1. Sketches: a document's shingle set, hashed by one function; the K smallest hashes are its sketch. Documents
-   with equal sets are one class.
+   with equal sets (equal size and 128-bit digest of the whole set) are one class; classes are numbered.
 2. Inverted lists of retained values: a list's key is a run of three neighbouring values of a sketch, so that one
    common value alone makes no long list. Two sets of similarity 0.8 share such a run but for chance below 1e-9
    (always, if both have at most K values: their u common and other values have a run of three common ones
@@ -10,8 +10,8 @@
    similarity that the union's bottom-k sketch estimates, and verified on full sets.
 4. What this leaves open: members of one list in different components. Lists of up to LIGHT members give their
    pairs across components. Classes of longer ones are compared in blocks: classes that such lists
-   connect, of near sizes, in tiles of bounded weight, each pair of tiles one task that counts exact
-   intersections by matrix products and returns only links between components.
+   connect, of near sizes, in tiles of bounded weight. A pair of tiles is worked on in strips of ROWS rows, whose
+   exact intersections are counted by matrix products; only links between components are returned.
 5. Components of all verified links.
 """
 
@@ -24,13 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import checkpoint, stored
-from .shingles import fingerprint, shingle_set
+from .shared import arrow_rows, checkpoint, stored
+from .shingles import digest, shingle_set
 
 #: Values of a sketch; percent of similarity; members up to which a list gives its pairs; hashes in a tile.
 K, PERCENT, LIGHT, TILE = 64, 80, 16, 1 << 18
+#: Members of a list that are dealt to one task together; tasks that a band of a region goes to.
+PART, SALTS = 1024, 32
+#: Rows of a strip, and shingles that two strips are compared on at once: a strip's arrays take some MB.
+ROWS, AT_ONCE = 512, 2048
 #: Standard errors that the estimate may be under the threshold.
 SLACK = 6.0
 
@@ -41,8 +46,9 @@ def positive_set(text: str | None, size: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, print, sketch) of every row, in a table: set size, a hash of the set, the smallest K hashes."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    """(id, n, print, sketch) of every row, in a table: set size, a digest of the set, the smallest K hashes."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = rows.select("id").schema.add("n", "long").add("print", "binary").add("sketch", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -51,9 +57,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 sets = [positive_set(t.as_py(), size) for t in batch.column(1)]
                 heads = [s[:K] for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)), pa.array(np.concatenate(heads), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), lists], names=["id", "n", "print", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), lists], names=["id", "n", "print", "sketch"])
 
-    return stored(rows.mapInArrow(run, "id long, n long, print long, sketch array<bigint>"))
+    return stored(arrow_rows(rows, run, schema))
 
 
 def list_keys(classes: DataFrame) -> DataFrame:
@@ -81,10 +87,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return union.where(shared >= t - SLACK * math.sqrt(t * (1 - t)) / F.sqrt(F.size("u"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have the similarity; texts: (id, text). Only texts of the pairs are dealt."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(texts.join(wanted, "id", "left_semi"), compression="zstd")
+def _texts_of(wanted: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of the wanted classes (id), in a table: the text of each class's first document."""
+    firsts = classes.select("id", "first").join(wanted.distinct(), "id", "left_semi")
+    return stored(texts.join(firsts, "first").select("id", "text"), compression="zstd")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets have the similarity. Only texts of the pairs are dealt."""
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, texts)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,46 +111,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return rows.select("a", "b", F.col("tb"), F.col("ta")).mapInArrow(run, "a long, b long")
+    return arrow_rows(rows.select("a", "b", F.col("tb"), F.col("ta")), run, "a long, b long")
+
+
+class _Side:
+    """One side of a pair of tiles: rows (side, id, component, set) by component, with the values of each strip."""
+
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]]):
+        rows = sorted(rows, key=lambda r: r[2])
+        self.ids, self.components = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.sizes, self.sets = np.array([len(r[3]) for r in rows]), [r[3] for r in rows]
+        self.strips = [slice(k, min(k + ROWS, len(rows))) for k in range(0, len(rows), ROWS)]
+        self.flat = [np.concatenate(self.sets[s]) for s in self.strips]
+        self.owner = [np.repeat(np.arange(s.stop - s.start), self.sizes[s]) for s in self.strips]
+
+    def incidence(self, k: int, values: np.ndarray) -> np.ndarray:
+        """Strip k's rows by sorted values: 1 where the row's set has the value."""
+        at = np.searchsorted(values, self.flat[k])
+        at[at == len(values)] = 0
+        own = values[at] == self.flat[k]
+        out = np.zeros((self.strips[k].stop - self.strips[k].start, len(values)), np.float32)
+        out[self.owner[k][own], at[own]] = 1
+        return out
 
 
 def _tile_links(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links between components among rows (side, id, component, set): of side 0 with side 1, or of side 2 with itself.
 
-    Exact intersection sizes by products of incidence matrices over the values that both sides have. Of the
-    links found only those that join components not joined yet are returned.
+    Exact intersection sizes by products of incidence matrices, strip by strip over the values that both strips
+    have, so that memory doesn't grow with the rows. Of the links found only those that join components not
+    joined yet are returned, and strips of one component are not compared.
     """
     left = [r for r in rows if r[0] != 1]
-    right = [r for r in rows if r[0] != 0]
-    if not left or not right:
+    if not left or (left[0][0] == 0 and len(left) == len(rows)):
         return []
-
-    def flat(side: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(r[3]) for r in side])
-        return np.concatenate([r[3] for r in side]), np.repeat(np.arange(len(side)), sizes), sizes
-
-    lv, lo, ln = flat(left)
-    rv, ro, rn = flat(right)
-    common = np.intersect1d(lv, rv)
-    if len(left) and left[0][0] == 2:
-        values, times = np.unique(lv, return_counts=True)
-        common = values[times > 1]
-    counts = np.zeros((len(left), len(right)), np.float32)
-    step = 2048
-    order_l, order_r = np.searchsorted(common, lv), np.searchsorted(common, rv)
-    ok_l, ok_r = (order_l < len(common)), (order_r < len(common))
-    ok_l[ok_l] = common[order_l[ok_l]] == lv[ok_l]
-    ok_r[ok_r] = common[order_r[ok_r]] == rv[ok_r]
-    for at in range(0, len(common), step):
-        x, y = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-        own = ok_l & (order_l >= at) & (order_l < at + step)
-        x[lo[own], order_l[own] - at] = 1
-        own = ok_r & (order_r >= at) & (order_r < at + step)
-        y[ro[own], order_r[own] - at] = 1
-        counts += x @ y.T
-    linked = 100 * counts >= percent * (ln[:, None] + rn[None, :] - counts)
-    lc, rc = np.array([r[2] for r in left]), np.array([r[2] for r in right])
-    linked &= lc[:, None] != rc[None, :]
+    same = left[0][0] == 2
+    one = _Side(left)
+    two = one if same else _Side([r for r in rows if r[0] == 1])
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -148,29 +156,59 @@ def _tile_links(rows: list[tuple[int, int, int, np.ndarray]], percent: int) -> l
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        p, q = find(int(lc[i])), find(int(rc[j]))
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((left[i][1], right[j][1]))
+    for i, s in enumerate(one.strips):
+        for j, t in enumerate(two.strips):
+            if same and j < i:
+                continue
+            if len({find(int(c)) for c in np.unique(np.concatenate((one.components[s], two.components[t])))}) < 2:
+                continue
+            if same and i == j:
+                values, times = np.unique(one.flat[i], return_counts=True)
+                common = values[times > 1]
+            else:
+                common = np.intersect1d(one.flat[i], two.flat[j])
+            counts = np.zeros((s.stop - s.start, t.stop - t.start), np.float32)
+            for at in range(0, len(common), AT_ONCE):
+                counts += one.incidence(i, common[at : at + AT_ONCE]) @ two.incidence(j, common[at : at + AT_ONCE]).T
+            linked = (100 + percent) * counts.astype(np.float64) >= percent * (one.sizes[s][:, None] + two.sizes[t][None, :])
+            linked &= one.components[s][:, None] != two.components[t][None, :]
+            x, y = np.nonzero(linked)
+            if not len(x):
+                continue
+            joins, first = np.unique(np.stack((one.components[s][x], two.components[t][y])), axis=1, return_index=True)
+            for k in range(joins.shape[1]):
+                p, q = find(int(joins[0, k])), find(int(joins[1, k]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(one.ids[s][x[first[k]]]), int(two.ids[t][y[first[k]]])))
     return out
 
 
-def _tiled(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _by_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows (key, id, members, ...) joined with lists (key, members, ...): a list is dealt out in parts of about PART members."""
+    parts = F.ceil(F.col("members") / PART).cast("long")
+    one = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    two = lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("members")
+    return one.join(two, ["key", "part"]).drop("part")
+
+
+def _tiled(heavy: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components of the classes that long lists (key, id, n, component) connect, by tiles.
 
     Classes whose lists connect them are a region. A region's classes of sizes in one step of 100/percent
     are a band; a link's ends are in one band or two neighbouring ones. Bands are cut into tiles of about TILE
     hashes, and each tile meets itself, the others of its band and those of the next band.
     """
-    stars = heavy.join(heavy.groupBy("key").agg(F.min("id").alias("a")), "key").select("a", F.col("id").alias("b"))
+    stars = _by_list(heavy, heavy.groupBy("key", "members").agg(F.min("id").alias("a"))).select("a", F.col("id").alias("b"))
     regions = components(stars)
     band_of = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     members = heavy.select("id", "n", "component").distinct().join(regions.withColumnRenamed("component", "region"), "id").withColumn("band", band_of)
     bands = members.groupBy("region", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     nearby = bands.join(bands.select("region", (F.col("band") - 1).alias("band"), F.col("tiles").alias("next_tiles")), ["region", "band"], "left")
     nearby = nearby.join(bands.select("region", (F.col("band") + 1).alias("band"), F.col("tiles").alias("last_tiles")), ["region", "band"], "left")
-    placed = members.join(nearby, ["region", "band"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # A region can hold much of the table: its bands go to SALTS tasks each, for which the few rows of `nearby` are repeated.
+    nearby = nearby.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
+    placed = members.withColumn("salt", F.pmod(F.xxhash64("id", "region"), F.lit(SALTS))).join(nearby, ["region", "band", "salt"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
 
     def meets(side: int, band: Column, first: Column, second: Column) -> Column:
         return F.struct(F.lit(side).alias("side"), band.alias("low"), first.cast("int").alias("p"), second.cast("int").alias("q"))
@@ -182,14 +220,14 @@ def _tiled(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     none = F.array().cast("array<struct<side:int,low:int,p:int,q:int>>")
     dealt = placed.select("region", "id", "component", F.inline(F.concat(within, F.coalesce(up, none), F.coalesce(down, none))))
 
-    sets = texts.join(members.select("id").distinct(), "id", "left_semi")
+    sets = _texts_of(members.select("id"), classes, texts)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [positive_set(t.as_py(), size).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
 
-    sets = stored(sets.mapInArrow(to_sets, "id long, hashes binary"))
+    sets = stored(arrow_rows(sets, to_sets, "id long, hashes binary"))
     tiles = dealt.join(sets, "id").repartition("region", "low", "p", "q").sortWithinPartitions("region", "low", "p", "q").select("region", "low", "p", "q", "side", "id", "component", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,50 +247,61 @@ def _tiled(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         if held:
             yield links()
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return arrow_rows(tiles, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: id_col, n_shingles, component_id and kept (the id is the component's smallest).
 
     Links are pairs with 100 * intersection >= percent * union of their shingle sets; percent is 80 or more.
-    A document without words has an empty set and is linked with nothing. Equal texts are one class, never
-    paired. Rows that share an id are one document with several texts: what links to any links to it. A
-    null id is linked with nothing: component null, kept. An empty table gives no row.
+    Ids are of any type that sorts. A document without words has an empty set and is linked with nothing.
+    Equal sets are one class, never paired: equal means equal size and 128-bit digest of the whole set. Rows
+    that share an id are one document with several texts: what links to any links to it. A null id is linked
+    with nothing: component null, kept. An empty table gives no row. A hot list or class is split by AQE where
+    it is joined, and summed before it is dealt elsewhere: tables between steps are written, so that none
+    inherits a layout by key.
     """
     if percent < 80:
         raise ValueError("the lists' runs are laid out for a similarity of 0.8 or more")
     rows = sketches(docs, id_col, text_col, size)
     known = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = stored(known.groupBy("n", "print").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    classes = stored(known.groupBy("n", "print").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    texts = docs.select(F.col(f"`{id_col}`").alias("first"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    links = class_links(classes, texts, size, percent)
+    # Rows that share an id join the classes of their texts, which may have other first documents.
+    several = known.groupBy("id").agg(F.min(F.struct("n", "print")).alias("x"), F.max(F.struct("n", "print")).alias("y")).where(F.col("x") != F.col("y")).select("id")
+    several = known.join(several, "id", "left_semi").select(F.col("id").alias("doc"), "n", "print").join(classes.select("n", "print", "id"), ["n", "print"])
+    same_id = several.join(several.groupBy("doc").agg(F.min("id").alias("a")), "doc").select("a", F.col("id").alias("b"))
+    final = components(links.union(same_id))
+    # Each class by its component's smallest document, then each row by its class.
+    linked = final.join(classes.select("id", "first"), "id")
+    smallest = linked.groupBy("component").agg(F.min("first").alias("root"))
+    roots = linked.join(smallest, "component").select("id", "root")
+    named = classes.select("n", "print", "first", "id").join(roots, "id", "left").select("n", "print", F.coalesce("root", "first").alias("root"))
+    out = rows.join(named, ["n", "print"], "left").withColumn("root", F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("root"))))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
+
+
+def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the classes (id, n, sketch, first) as all links of their similarity do; texts: (first, text)."""
     keys = list_keys(classes)
-    lists = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("members")).where(F.col("first") != F.col("last"))
+    lists = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.max("id").alias("last"), F.count("*").alias("members")).where(F.col("least.id") != F.col("last"))
     # Most values are in one document alone: only rows of lists with two members go on.
-    listed = checkpoint(keys.join(lists, "key").select("key", "id", "n", "first", "members"))
-    sizes = listed.where(F.col("id") == F.col("first")).groupBy("key").agg(F.max("n").alias("m"))
-    pairs = listed.where(F.col("id") != F.col("first")).join(sizes, "key").where(_near_sizes(F.col("n"), F.col("m"), percent)).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    listed = stored(keys.join(lists, "key").select("key", "id", "n", "least", "members"))
+    pairs = listed.where((F.col("id") != F.col("least.id")) & _near_sizes(F.col("n"), F.col("least.n"), percent)).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
     pairs = checkpoint(_estimated(pairs, classes, percent))
-    links = checkpoint(_verified(pairs, texts, size, percent))
+    links = checkpoint(_verified(pairs, classes, texts, size, percent))
     found = components(links)
     labelled = listed.join(found, "id", "left").select("key", "id", "n", "members", F.coalesce("component", "id").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") != F.col("d")).select("key")
-    opened = checkpoint(labelled.join(open_keys, "key"))
+    open_lists = labelled.groupBy("key", "members").agg(F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") != F.col("d")).select("key", "members")
+    opened = stored(_by_list(labelled, open_lists))
     light = opened.where(F.col("members") <= LIGHT)
     one, two = light.select("key", F.col("id").alias("a"), F.col("n").alias("x"), F.col("component").alias("c")), light.select("key", F.col("id").alias("b"), F.col("n").alias("y"), F.col("component").alias("d"))
     across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near_sizes(F.col("x"), F.col("y"), percent)).select("a", "b").distinct()
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = checkpoint(_estimated(across.join(tested, ["a", "b"], "left_anti"), classes, percent))
-    more = [checkpoint(_verified(across, texts, size, percent))]
+    every = links.union(checkpoint(_verified(across, classes, texts, size, percent)))
     heavy = opened.where(F.col("members") > LIGHT)
     if not heavy.isEmpty():
-        more.append(checkpoint(_tiled(heavy, texts, size, percent)))
-    every = links
-    for part in more:
-        every = every.union(part)
-    final = components(every)
-    # Each class by its smallest id, then each row by its class.
-    named = classes.select("n", "print", F.col("id").alias("first")).join(final.withColumnRenamed("id", "first"), "first", "left").select("n", "print", F.coalesce("component", "first").alias("component"))
-    # An id with several texts has a class for each.
-    out = rows.join(named, ["n", "print"], "left").withColumn("component", F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("component"))))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+        every = every.union(checkpoint(_tiled(heavy, classes, texts, size, percent)))
+    return every

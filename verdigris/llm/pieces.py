@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import arrow_rows
+
 MARK = "\u2581"
 MODEL = "piece_bpe_32k.model"
-#: Words whose ids a worker keeps: those met since the last turn and those of the turn before.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, those met since the last turn and those of the turn before, and pairs of pieces.
+KEPT_WORDS, KEPT_JOINS = 300_000, 300_000
 #: Texts and bytes of text that are encoded together: the more, the more prefixes their new words share.
 TOGETHER, TOGETHER_BYTES = 2048, 6 << 20
 _RUN = re.compile(f"({MARK}*)([^{MARK}]*)")
@@ -93,7 +95,7 @@ class Vocabulary:
         return found
 
     def _joins(self, left: str, right: str) -> bool:
-        if self.n_joins > 1_000_000:
+        if self.n_joins > KEPT_JOINS:
             self.joins.clear()
             self.n_joins = 0
         self.n_joins += 1
@@ -221,6 +223,12 @@ class Encoder:
                 yield self._run(n - 1) if n > 1 else b""
                 yield self.words[word]
 
+    def forget(self) -> None:
+        """Gives up what it has seen, not the vocabulary: a worker that waits for its next task stays small."""
+        self.words, self.older = {}, {}
+        self.vocabulary.joins, self.vocabulary.n_joins = {}, 0
+        self._run.cache_clear()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         out = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids.tolist()))
@@ -229,7 +237,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """The worker's own; it outlives a task, so that later tasks find the words of earlier ones."""
+    """The worker's own; its vocabulary outlives a task."""
     return Encoder(path)
 
 
@@ -273,8 +281,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (
                     same = [encoder.decode(np.frombuffer(x, np.int32)) == (t or "").replace(MARK, " ") for x, t in zip(found, texts, strict=True)]
                     added.append(pa.array(same, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
+        encoder.forget()
 
-    return rows.mapInArrow(run, schema)
+    return arrow_rows(rows, run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[Column, ...] = (), path: str | None = None) -> DataFrame:
@@ -289,4 +298,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[Column, ...] = (),
             texts = [None if x is None else encoder.decode(np.array(x, np.int32)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return arrow_rows(picked, run, schema)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import shingles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +44,51 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/verdigris-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: workers of several cores share an executor.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are small, unless a size was set."""
+    if spark.conf.get(_BATCHES, "67108864b") == "67108864b":
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    """What a task has kept goes: the words that it has met, Arrow's free pages and, where the C library can, its own."""
+    shingles.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_rows(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches; a worker gives back what it doesn't need any more."""
+    _small_batches(df.sparkSession)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(freed, schema)
+
+
+def with_scores(docs: DataFrame, scored: Callable, schema: str, text_col: str, keep: tuple[Column, ...]) -> DataFrame:
+    """The columns in keep and, for each row, the fields of schema that scored(texts) gives, batch by batch.
+
+    Only the text crosses to Python, once: not deterministic to the optimiser, so that a filter on a
+    field doesn't compute it again.
+    """
+
+    _small_batches(docs.sparkSession)
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(texts)
+        _give_back()
+
+    udf = F.arrow_udf(run, schema).asNondeterministic()
+    rows = docs.select(*keep, udf(F.col(f"`{text_col}`").cast("string")).alias("__vg_scored"))
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), "__vg_scored.*")

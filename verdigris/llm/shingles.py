@@ -21,6 +21,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Gives up the words' hashes that are kept."""
+    _hashes.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Each 64-bit value scattered, one to one."""
     with np.errstate(over="ignore"):
@@ -59,6 +64,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(combine([words[k : n - size + 1 + k] for k in range(size)]))
 
 
-def fingerprint(values: np.ndarray) -> int:
-    """A signed 64-bit hash of a sorted set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes()))))
+def digest(values: np.ndarray) -> bytes:
+    """128 bits of a sorted set: sets with one digest are taken as equal."""
+    return xxhash.xxh3_128_digest(values.tobytes())

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import arrow_rows, stored
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Tokens of a block, and blocks of a group.
@@ -82,7 +82,7 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, path: str | N
                 yield from cut(8 * BLOCK)
         yield from cut(1)
 
-    return stored(rows.mapInArrow(run, schema), compression="zstd")
+    return stored(arrow_rows(rows, run, schema), compression="zstd")
 
 
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -103,7 +103,7 @@ def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in inner]))).astype(np.int32)), pa.array(np.concatenate(inner).astype(np.int64) if inner else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(4)), lists], names=["file", "block", "n", "n_separators", "head", "tail", "inner"])
 
-    return blocks.select("file", "block", "data").mapInArrow(run, "file long, block long, n long, n_separators long, head long, tail long, inner array<bigint>")
+    return arrow_rows(blocks.select("file", "block", "data"), run, "file long, block long, n long, n_separators long, head long, tail long, inner array<bigint>")
 
 
 def stitch(summaries: DataFrame) -> DataFrame:

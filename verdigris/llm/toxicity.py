@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import arrow_rows, stored, with_scores
+
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ո": "n", "м": "m", "т": "t", "к": "k", "в": "b", "н": "h", "г": "r", "ь": "b",
@@ -32,7 +34,8 @@ HOMOGLYPHS = {
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line", "pond scum")
-#: Documents of the fitting sample; documents that a lexicon entry must be in; entries at most; shortest beginning.
+#: Documents of the fitting sample; documents that a lexicon entry must be in; entries of a lexicon at most, those with
+#: the most evidence; letters of the shortest and the longest beginning (whole words have any length).
 SAMPLE, SUPPORT, ENTRIES, SHORTEST, LONGEST = 20_000, 8, 2_000, 5, 9
 #: Entries that a task counts before it passes the counts on.
 COUNTED = 200_000
@@ -57,9 +60,8 @@ def _beginnings(words: set[str]) -> set[str]:
     """The beginnings of words that can be lexicon entries; a whole word ends in a space."""
     found = set()
     for w in words:
-        if len(w) >= 3:
-            found.add(f"{w} ")
-            found.update(w[:k] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+        found.add(f"{w} ")
+        found.update(w[:k] for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
     return found
 
 
@@ -83,17 +85,12 @@ def _count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield from flushed()
 
 
-def _choose(rows: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> dict[str, float]:
-    """Entries and weights: the surest first; one that begins like a chosen entry must be much surer than it."""
-    scored = []
-    for entry, t, o in rows:
-        odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((o + 0.5) / (n_other - o + 0.5))
-        error = math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
-        scored.append((odds - 1.5 * error, t, entry, odds))
+def _choose(entries: list[tuple[str, float]]) -> dict[str, float]:
+    """Entries and weights (log odds) of those given, the surest first; one that begins like a chosen entry must be much heavier than it."""
     chosen: dict[str, float] = {}
-    for sure, _, entry, odds in sorted(scored, key=lambda x: (-x[0] * math.sqrt(x[1]), x[2])):
-        if sure <= LEAST_ODDS or len(chosen) >= ENTRIES:
-            continue
+    for entry, odds in entries:
+        if len(chosen) >= ENTRIES:
+            break
         if any(entry[:k] in chosen and odds < chosen[entry[:k]] + 1 for k in range(SHORTEST, len(entry))):
             continue
         chosen[entry] = odds
@@ -138,9 +135,9 @@ def _features(weight: float, hits: int, words: int) -> tuple[float, float, float
     return math.log1p(100 * weight / (words + 20)), float(hits > 0), math.log1p(weight) - math.log1p(words / 50)
 
 
-def _sample_features(lexicon: dict[str, float]):
+def _sample_features(lexicon: dict[str, float], exceptions: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(lexicon)
+        machine = automaton(lexicon, exceptions)
         for batch in batches:
             rows = [_features(*matched(t or "", machine)) for t in batch.column(1).to_pylist()]
             cols = np.array(rows, float).reshape(len(rows), 3)
@@ -162,48 +159,52 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> dict:
-    """The model: lexicon and coefficients, from at most about `sample` documents that labels (id_col, label_col) has.
+def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
+    """The model: lexicon, coefficients and exception phrases, from at most about `sample` documents that labels (id_col, label_col) has.
 
     Labels are one an id (the largest where they differ); null labels don't count. The sampled ids are the
-    only thing broadcast, `sample` rows at most but for the hash's chance.
+    only thing broadcast, `sample` rows at most but for the hash's chance. The sampled texts are written
+    once, as a table of that bounded size, and read by each step. Words in an exception phrase don't count
+    in fitting either.
     """
     ids = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__vg_id")).agg(F.max(label_col).alias("__vg_y"))
     found = ids.agg(F.count("*").alias("n")).first()["n"]
     if not found:
-        return {"lexicon": {}, "coefficients": [0.0, 0.0, 0.0, -6.0]}
+        return {"lexicon": {}, "coefficients": [0.0, 0.0, 0.0, -6.0], "exceptions": exceptions}
     drawn = ids.where(F.pmod(F.xxhash64("__vg_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, sample / found)))
     rows = labelled.select(F.col(f"`{id_col}`").alias("__vg_id"), F.col(f"`{text_col}`").alias("__vg_text")).join(F.broadcast(drawn), "__vg_id").select(F.col("__vg_y").cast("long"), "__vg_text")
+    rows = stored(rows, compression="zstd")
     totals = {r["y"]: r["n"] for r in rows.groupBy((F.col("__vg_y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = totals.get(True, 0), totals.get(False, 0)
     if not n_toxic or not n_other:
-        return {"lexicon": {}, "coefficients": [0.0, 0.0, 0.0, 6.0 if n_toxic else -6.0]}
-    counts = rows.mapInArrow(_count_beginnings, "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
+        return {"lexicon": {}, "coefficients": [0.0, 0.0, 0.0, 6.0 if n_toxic else -6.0], "exceptions": exceptions}
+    counts = arrow_rows(rows, _count_beginnings, "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     least = max(3, min(SUPPORT, n_toxic // 20))
-    odds = F.log((F.col("t") + 0.5) / (F.col("o") + 0.5)) - math.log((n_toxic + 1) / (n_other + 1))
-    entries = counts.where((F.col("t") >= least) & (odds > LEAST_ODDS)).orderBy(F.desc("t"), "entry").limit(5 * ENTRIES)
-    lexicon = _choose([(r["entry"], r["t"], r["o"]) for r in entries.collect()], n_toxic, n_other)
-    seen = rows.mapInArrow(_sample_features(lexicon), "toxic bigint, a double, b double, c double").toPandas()
+    t, o = F.col("t"), F.col("o")
+    odds = F.log((t + 0.5) / (n_toxic - t + 0.5)) - F.log((o + 0.5) / (n_other - o + 0.5))
+    sure = odds - 1.5 * F.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
+    entries = counts.select("entry", "t", odds.alias("odds"), sure.alias("sure")).where((t >= least) & (F.col("sure") > LEAST_ODDS))
+    entries = entries.orderBy(F.desc(F.col("sure") * F.sqrt("t")), "entry").limit(5 * ENTRIES)
+    lexicon = _choose([(r["entry"], r["odds"]) for r in entries.collect()])
+    seen = arrow_rows(rows, _sample_features(lexicon, exceptions), "toxic bigint, a double, b double, c double").toPandas()
     y = (seen["toxic"].to_numpy() > 0).astype(float)
-    return {"lexicon": lexicon, "coefficients": logistic(seen[["a", "b", "c"]].to_numpy(), y).tolist()}
+    return {"lexicon": lexicon, "coefficients": logistic(seen[["a", "b", "c"]].to_numpy(), y).tolist(), "exceptions": exceptions}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Every row of docs: the columns in keep, toxic_score (0 to 1), toxic_hits and toxic_words.
 
-    A null or empty text, or one without letters, scores as a text without matches. Repeated rows stay.
+    A null or empty text, or one without letters, scores as a text without matches. Repeated rows stay. Only
+    the text goes to Python; the columns in keep stay in the JVM.
     """
-    lexicon, coefficients = model["lexicon"], np.array(model["coefficients"])
-    rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
-    schema = rows.schema[:-1].add("toxic_score", "double").add("toxic_hits", "long").add("toxic_words", "long")
+    lexicon, coefficients, exceptions = model["lexicon"], np.array(model["coefficients"]), tuple(model.get("exceptions", EXCEPTIONS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(lexicon)
-        for batch in batches:
-            seen = [matched(t.as_py() or "", machine) for t in batch.column(batch.num_columns - 1)]
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = automaton(lexicon, exceptions)
+        for batch in texts:
+            seen = [matched(t.as_py() or "", machine) for t in batch]
             x = np.array([_features(*s) for s in seen], float).reshape(len(seen), 3)
             z = np.clip(np.column_stack((x, np.ones(len(x)))) @ coefficients, -30, 30)
-            added = [pa.array(1 / (1 + np.exp(-z))), pa.array([s[1] for s in seen], pa.int64()), pa.array([s[2] for s in seen], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
+            yield pa.StructArray.from_arrays([pa.array(1 / (1 + np.exp(-z))), pa.array([s[1] for s in seen], pa.int64()), pa.array([s[2] for s in seen], pa.int64())], names=["toxic_score", "toxic_hits", "toxic_words"])
 
-    return rows.mapInArrow(run, schema)
+    return with_scores(docs, run, "toxic_score double, toxic_hits long, toxic_words long", text_col, keep)
