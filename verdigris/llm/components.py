@@ -29,6 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+#: Parts that a component's members go to where the smallest of their names is handed out.
+PARTS = 16
+
+
+def smallest_names(found: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, root) for every id of found (id, component): root is the smallest name in its component; names: (id, first).
+
+    Minima are taken on each side of the shuffle; a large component's members get theirs in PARTS tasks.
+    """
+    linked = found.join(names.select("id", "first"), "id")
+    roots = linked.groupBy("component").agg(F.min("first").alias("root")).withColumn("part", F.explode(F.array(*(F.lit(k).cast("long") for k in range(PARTS)))))
+    return linked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).join(roots, ["component", "part"]).select("id", "root")
+
+
 def _roots(points: DataFrame) -> DataFrame:
     """(v, to) with every pointer moved on to its root, the vertex that points at itself; each step doubles what a pointer spans."""
     while True:

@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     that the items' sizes call for; masks don't cover a window over WINDOW or a percent under PERCENT; a null id is kept as null; rows that share an id are one document with
     several texts. An empty table on either side gives no row. Documents are read once and stay where they are
     if the benchmark's seeds are within the broadcast bounds, which are counted; else seeds are joined by a
-    shuffle of (id, position, seed) and the texts that were hit are joined to them.
+    shuffle of (id, position, seed) and the texts that were hit are joined to them; both ways give the same rows.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), words_of(F.col(f"`{text_col}`").cast("string")).alias("words"))
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), words_of(F.col(f"`{item_text_col}`").cast("string")).alias("item_words"))
@@ -96,8 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = _seeds(texts, ["doc", "words"], sizes).join(F.broadcast(wanted), "seed").select("doc", "words", "own", shift)
         hits = hits.join(F.broadcast(items), "own")
     else:
-        near = _seeds(texts, ["doc"], sizes).join(wanted, "seed").select("doc", "own", shift).distinct()
-        hits = near.join(items, "own").join(texts, near["doc"].eqNullSafe(texts["doc"])).select(near["doc"], "words", "own", "shift", "item", "item_words")
+        # A hit finds its own text again by the id and a hash of the words; a hot seed is split by AQE, as nothing else needs its rows together.
+        texts = texts.withColumn("print", F.xxhash64("words"))
+        near = _seeds(texts, ["doc", "print"], sizes).join(wanted, "seed").select("doc", "print", "own", shift).distinct()
+        hits = near.join(items, "own").join(texts, near["doc"].eqNullSafe(texts["doc"]) & (near["print"] == texts["print"])).select(near["doc"], "words", "own", "shift", "item", "item_words")
     held = _verified(hits, window, percent)
     best = held.groupBy("doc", "item").agg(F.max(F.struct("matched", (-F.col("shift")).alias("back"), "item_words")).alias("best"))
     return best.select(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, smallest_names
 from .shared import arrow_rows, checkpoint, stored
 
 COSINE, BLOCKS = 0.9, 4
@@ -155,16 +155,20 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, nor do rows with
     a null id (component null, kept) or vectors of different lengths. Repeated vectors link with each
-    other. An empty table gives no row; other columns aren't read.
+    other. Ids are of any type that sorts; components may be of any finite size. An empty table gives no row;
+    other columns aren't read.
     """
     # Single-precision input is dealt as it is, half the bytes, and widened where it is compared.
     single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
     kind = np.float32 if single else np.float64
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     good = F.col("v").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0)
     good &= F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(good, F.col("v")))
-    classes = stored(rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("class"), F.count("*").alias("weight")))
+    # Equal vectors are told by 128 bits, so that rows find their class by two numbers.
+    rows = rows.select("id", "v", F.xxhash64("v").alias("x"), F.xxhash64(F.lit("second"), F.col("v")).alias("y"))
+    known = rows.where(F.col("v").isNotNull())
+    classes = stored(known.groupBy("x", "y").agg(F.min("id").alias("first"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("class", F.monotonically_increasing_id()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(class, weight, dims, data, coordinates): the first rotated coordinate of each block."""
@@ -176,6 +180,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 raw = np.stack([flat[starts[k] : starts[k] + d] for k in own])
+                if not single:  # by a power of two, which is exact, so that no square over- or underflows
+                    raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
                 turned = _rotated(raw)
                 heads = turned[:, _bounds(turned.shape[1])[:-1]]
                 for k, c, r in zip(own, heads.tolist(), raw, strict=True):
@@ -184,14 +190,14 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
 
     spots = stored(arrow_rows(classes.select("class", "weight", "v"), placed, "id long, weight long, dims int, data binary, coords array<double>"))
     # Splitters of every block, for each vector length: strips of STRIP vectors, so as many numbers as strips.
-    cuts: dict[tuple[int, int], np.ndarray] = {}
-    for dims, n in spots.groupBy("dims").agg(F.count("*")).collect():
-        strips = max(1, math.ceil(n / STRIP))
-        own = spots.where(F.col("dims") == dims)
-        at = [k / strips for k in range(1, strips)]
-        blocks = len(_bounds(1 << max(0, dims - 1).bit_length())) - 1
-        found = own.agg(*(F.percentile_approx(F.col("coords")[b], at or [0.5], 10_000) for b in range(blocks))).first()
-        cuts |= {(dims, b): np.unique(found[b]) if at else np.zeros(0) for b in range(blocks)}
+    # A length of few vectors is one strip; all others are cut by one job.
+    counts = {r["dims"]: r["n"] for r in spots.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    blocks = {d: len(_bounds(1 << max(0, d - 1).bit_length())) - 1 for d in counts}
+    cuts = {(d, b): np.zeros(0) for d in counts for b in range(blocks[d])}
+    many = [(d, b, math.ceil(n / STRIP)) for d, n in counts.items() if n > STRIP for b in range(blocks[d])]
+    if many:
+        at = spots.agg(*(F.percentile_approx(F.when(F.col("dims") == d, F.col("coords")[b]), [k / strips for k in range(1, strips)], 10_000) for d, b, strips in many)).first()
+        cuts |= {(d, b): np.unique(found) for (d, b, _), found in zip(many, at, strict=True)}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every vector to its own strip (role 0) and, in each block, to half of those in reach (role 1).
@@ -252,7 +258,10 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     tiles = arrow_rows(spots, dealt, "dims int, block int, strip int, role int, id long, weight long, data binary").repartition("dims", "block", "strip").sortWithinPartitions(*order)
     found = checkpoint(arrow_rows(tiles, joined, "id long, links long, to long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    final = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    named = classes.select("v", "weight", F.col("class").alias("id")).join(links, "id", "left").join(final, "id", "left").select("v", "weight", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(named, "v", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0).cast("long")).alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    roots = smallest_names(components(found.select(F.col("id").alias("a"), F.col("to").alias("b"))), classes.select(F.col("class").alias("id"), "first"))
+    named = classes.select("x", "y", "weight", "first", F.col("class").alias("id")).join(links, "id", "left").join(roots, "id", "left")
+    named = named.select("x", "y", "weight", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("root", "first").alias("root"))
+    none = F.lit(None).cast("long")
+    keyed = rows.select("id", *(F.when(F.col("v").isNotNull(), F.col(c)).otherwise(none).alias(c) for c in ("x", "y")))
+    out = keyed.join(named, ["x", "y"], "left").withColumn("root", F.coalesce("root", "id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0).cast("long")).alias("n_links"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))

@@ -5,7 +5,7 @@ curve, rows are put in order by (index, id, size, checksum), and the order is cu
 counts. Neighbours on the curve have close values in every dimension, so the minimum and maximum that a
 shard keeps of each dimension (shard_manifest) let a reader skip most shards whichever dimension it filters.
 
-The quantiles are 2**bits - 1 values a dimension, the only thing that reaches the driver besides the plan.
+The quantiles are 2**bits - 1 values a dimension, strings whole, the only thing that reaches the driver besides the plan.
 A hot value of a dimension can't load one task: the range partitioning orders by the index and then by the
 id, so that a cell of the curve is split wherever it is large.
 """
@@ -31,7 +31,7 @@ def text_size(text: Column) -> Column:
 
 
 def _position(df: DataFrame, name: str) -> Column:
-    """The column as a double that keeps its order; a string counts by its first six bytes."""
+    """What a dimension is cut by: numbers and times as a double that keeps their order, anything else as a string."""
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")
     if isinstance(kind, T.NumericType):
@@ -40,8 +40,26 @@ def _position(df: DataFrame, name: str) -> Column:
         return F.unix_micros(column).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return column.cast("string")
+
+
+def string_splitters(values: DataFrame, cells: int) -> list[str]:
+    """The values at the cells' quantiles of a column of strings, cells - 1 at most, whole and exact; one on several is repeated.
+
+    Repeats are counted first, the distinct values are put in order by a range shuffle, counts are summed along
+    it (within a partition, then over the partitions' totals), and the values that a quantile falls on return.
+    """
+    name = F.col(values.columns[0])
+    counts = values.where(name.isNotNull()).groupBy(name.alias("value")).agg(F.count("*").alias("n"))
+    laid = checkpoint(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    totals = laid.groupBy(part.alias("part")).agg(F.sum("n").alias("part_n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("start"), F.sum("part_n").over(Window.partitionBy()).alias("total"))
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    reached = laid.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("end", F.col("start") + F.sum("n").over(upto))
+    hits = F.expr(f"least(end * {cells}L, total * {cells}L - 1) div total - ((end - n) * {cells}L) div total")
+    return sorted(r["value"] for r in reached.select("value", hits.alias("hits")).where("hits > 0").collect() for _ in range(r["hits"]))
 
 
 def hilbert_index(codes: Sequence[Column], bits: int) -> Column:
@@ -96,7 +114,7 @@ def _index_of(axes: Column, n: int, bits: int) -> Column:
     return F.transform(F.transform(F.transform(F.array(axes), gray), flat), woven)[0]
 
 
-def quantised(df: DataFrame, dims: Sequence[str], bits: int, splitters: dict[str, list[float]] | None = None) -> tuple[DataFrame, list[str], dict[str, list[float]]]:
+def quantised(df: DataFrame, dims: Sequence[str], bits: int, splitters: dict[str, list[float] | list[str]] | None = None) -> tuple[DataFrame, list[str], dict[str, list[float] | list[str]]]:
     """df with a code from 0 to 2**bits - 1 for each dimension, the codes' names and the splitters.
 
     A code is the number of splitters at or below the value; null is code 0. Given splitters are used as
@@ -107,16 +125,19 @@ def quantised(df: DataFrame, dims: Sequence[str], bits: int, splitters: dict[str
     placed = df.withColumns({f"__vg_pos{i}": _position(df, d) for i, d in enumerate(dims)})
     if splitters is None:
         at = F.array(*(F.lit(k / cells) for k in range(1, cells)))
-        row = placed.agg(*(F.percentile_approx(f"__vg_pos{i}", at, ACCURACY).alias(f"q{i}") for i in range(len(dims)))).first()
-        splitters = {d: list(row[i] or []) for i, d in enumerate(dims)}
+        kinds = {d: placed.schema[f"__vg_pos{i}"].dataType for i, d in enumerate(dims)}
+        numbers = [(i, d) for i, d in enumerate(dims) if not isinstance(kinds[d], T.StringType)]
+        row = placed.agg(*(F.percentile_approx(f"__vg_pos{i}", at, ACCURACY).alias(d) for i, d in numbers)).first() if numbers else []
+        splitters = {d: list(q or []) for (_, d), q in zip(numbers, row, strict=True)}
+        splitters |= {d: string_splitters(placed.select(f"__vg_pos{i}"), cells) for i, d in enumerate(dims) if d not in splitters}
     codes = {
-        name: reduce(add, [F.coalesce(F.col(f"__vg_pos{i}") >= F.lit(float(s)), F.lit(False)).cast("int") for s in splitters[d]], F.lit(0))
+        name: reduce(add, [F.coalesce(F.col(f"__vg_pos{i}") >= F.lit(s), F.lit(False)).cast("int") for s in splitters[d]], F.lit(0))
         for i, (name, d) in enumerate(zip(names, dims, strict=True))
     }
     return placed.withColumns(codes).drop(*(f"__vg_pos{i}" for i in range(len(dims)))), names, splitters
 
 
-def hilbert_shards(df: DataFrame, id_col: str, text_col: str, dims: Sequence[str], n_shards: int = 40, bits: int = 4, keep: Sequence[str] = (), splitters: dict[str, list[float]] | None = None) -> DataFrame:
+def hilbert_shards(df: DataFrame, id_col: str, text_col: str, dims: Sequence[str], n_shards: int = 40, bits: int = 4, keep: Sequence[str] = (), splitters: dict[str, list[float] | list[str]] | None = None) -> DataFrame:
     """All rows of df in n_shards runs along the curve, with row counts at most one apart (law `rows`).
 
     Returns id_col, size, text_crc32, law, shard, slot, grown_shard, curve_index and the columns in keep.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import components
+from .components import components, smallest_names
 from .shared import arrow_rows, checkpoint, stored
 from .shingles import digest, shingle_set
 
@@ -272,11 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = known.groupBy("id").agg(F.min(F.struct("n", "print")).alias("x"), F.max(F.struct("n", "print")).alias("y")).where(F.col("x") != F.col("y")).select("id")
     several = known.join(several, "id", "left_semi").select(F.col("id").alias("doc"), "n", "print").join(classes.select("n", "print", "id"), ["n", "print"])
     same_id = several.join(several.groupBy("doc").agg(F.min("id").alias("a")), "doc").select("a", F.col("id").alias("b"))
-    final = components(links.union(same_id))
     # Each class by its component's smallest document, then each row by its class.
-    linked = final.join(classes.select("id", "first"), "id")
-    smallest = linked.groupBy("component").agg(F.min("first").alias("root"))
-    roots = linked.join(smallest, "component").select("id", "root")
+    roots = smallest_names(components(links.union(same_id)), classes)
     named = classes.select("n", "print", "first", "id").join(roots, "id", "left").select("n", "print", F.coalesce("root", "first").alias("root"))
     out = rows.join(named, ["n", "print"], "left").withColumn("root", F.when(F.col("n") == 0, F.col("id")).otherwise(F.when(F.col("id").isNotNull(), F.col("root"))))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))

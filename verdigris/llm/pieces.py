@@ -9,6 +9,9 @@ that merging by score reaches. A sequence of pieces is that one exactly if every
 neighbours is what merging makes of their own characters. So the forward step at a character keeps, of the pieces
 that end there, the one that may follow the survivor at its start: there is one for every prefix, and the
 state is that piece. Runs of spaces, whose pieces all have the same score, are merged directly.
+
+A unigram vocabulary is encoded by the plain Viterbi pass: the state of a prefix is the best sum of scores that ends
+there and the piece that it ends with. Other kinds of vocabularies are refused.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .shared import arrow_rows
 
 MARK = "\u2581"
 MODEL = "piece_bpe_32k.model"
+#: Fixed values of the library's format: kinds of vocabularies; what an unknown character scores under the lowest score.
+UNIGRAM, BYTE_PAIR, UNKNOWN_PENALTY = 1, 2, 10.0
 #: Words whose ids a worker keeps, those met since the last turn and those of the turn before, and pairs of pieces.
 KEPT_WORDS, KEPT_JOINS = 300_000, 300_000
 #: Texts and bytes of text that are encoded together: the more, the more prefixes their new words share.
@@ -42,11 +47,51 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def message_fields(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(number, value, start, end) of each field of a protocol buffer message; value: of an integer field, else 0."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        start, value, size = at, 0, {1: 8, 5: 4}.get(tag & 7, 0)
+        if tag & 7 == 0:
+            value = varint()
+        elif tag & 7 == 2:
+            size = varint()
+            start = at
+        at += size
+        yield tag >> 3, value, start, at
+
+
+def model_kind(data: bytes) -> int:
+    """The vocabulary's kind in a serialised model: field 3 of the training settings, which are field 2; 1 if it isn't there."""
+    kind = UNIGRAM
+    for number, _, start, end in message_fields(data):
+        if number == 2:
+            for inner, value, _, _ in message_fields(data[start:end]):
+                kind = value if inner == 3 else kind
+    return kind
+
+
 class Vocabulary:
     """Pieces, scores and the forward pass over words."""
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.kind = model_kind(model.serialized_model_proto())
+        if self.kind not in (UNIGRAM, BYTE_PAIR):
+            raise ValueError("neither a unigram nor a byte-pair vocabulary")
         n = model.get_piece_size()
         self.bytes_of = [b""] * n
         self.ids, self.scores, self.byte_ids = {}, {}, [0] * 256
@@ -60,8 +105,9 @@ class Vocabulary:
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes on past the end of a word")
-        if list(model.encode("  a ", out_type=str)) != self.pieces_of(f"{MARK}{MARK}{MARK}a{MARK}"):
-            raise ValueError("the model's normaliser is not the one expected: a mark in front, nothing else changed")
+        if not all(self.byte_ids):
+            raise ValueError("a vocabulary without a piece for every byte")
+        self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.feeds = any("\n" in p for p in self.ids)
         self.joins: dict[str, dict[str, bool]] = {}
         self.n_joins = 0
@@ -73,6 +119,8 @@ class Vocabulary:
             for c in piece:
                 place = place.setdefault(c, {})
             place[""] = piece
+        if list(model.encode("  a ", out_type=str)) != self.pieces_of(f"{MARK}{MARK}{MARK}a{MARK}"):
+            raise ValueError("the model's normaliser is not the one expected: a mark in front, nothing else changed")
 
     def merge(self, text: str) -> list[str]:
         """What merging makes of the characters: the pair of neighbours with the largest score, the first such, again and again."""
@@ -157,9 +205,54 @@ class Vocabulary:
             yield word, b"".join(parts)
             before = word
 
+    def best(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """forward() of a unigram vocabulary: the pieces with the largest sum of scores; a tie goes to the longer last piece.
+
+        Words may have several marks in front. A character without a piece scores `unknown`. Sums are in double
+        precision and by word; the library, with single-precision sums of whole texts, may return a lesser one.
+        """
+        state: list[tuple[float, str]] = []
+        open_at: list[list[tuple[int, dict]]] = []
+        before = ""
+        for word in words:
+            shared = 0
+            for a, b in zip(before, word):  # noqa: B905  the shorter ends it
+                if a != b:
+                    break
+                shared += 1
+            del state[shared:], open_at[shared:]
+            going = open_at[-1] if open_at else []
+            for end in range(shared, len(word)):
+                c, best, on = word[end], None, []
+                for start, place in (*going, (end, self.trie)):
+                    place = place.get(c)
+                    if place is None:
+                        continue
+                    on.append((start, place))
+                    if piece := place.get(""):
+                        total = self.scores[piece] + (state[start - 1][0] if start else 0.0)
+                        if best is None or total > best[0]:
+                            best = total, piece
+                if c not in self.ids:
+                    total = self.unknown + (state[end - 1][0] if end else 0.0)
+                    if best is None or total > best[0]:
+                        best = total, c
+                state.append(best)
+                open_at.append(on)
+                going = on
+            parts, end = [], len(word)
+            while end:
+                parts.append(self.id_bytes(state[end - 1][1]))
+                end -= len(state[end - 1][1])
+            yield word, b"".join(reversed(parts))
+            before = word
+
     def pieces_of(self, marked: str) -> list[str]:
-        """Of a marked text, by merging directly: for checks and for runs of marks."""
-        return self.merge(marked)
+        """Of a marked text of known characters, directly: for checks."""
+        if self.kind == BYTE_PAIR:
+            return self.merge(marked)
+        names = {i: p for p, i in self.ids.items()}
+        return [names[i] for run in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) for _, ids in self.best([run]) for i in np.frombuffer(ids, np.int32).tolist()]
 
 
 class Encoder:
@@ -173,6 +266,11 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """Ids of new words, each with its mark in front; a line feed, which no piece holds, parts a word."""
         v = self.vocabulary
+        if v.kind == UNIGRAM:
+            marked = {w: w if w.startswith(MARK) else MARK + w for w in words}
+            found = dict(v.best(sorted(set(marked.values()))))
+            self.words |= {w: found[m] for w, m in marked.items()}
+            return
         split = {w: (MARK + w).split("\n") if not v.feeds else [MARK + w] for w in words}
         found = dict(v.forward(sorted({p for parts in split.values() for p in parts if p})))
         found[""] = b""
@@ -190,6 +288,8 @@ class Encoder:
         cut = [t.split(" ") if t and MARK not in t else None for t in texts]
         cut = [None if c and "" in c else c for c in cut]  # runs of spaces, or one at an end
         spaced = {k: _RUN.findall(MARK + t.replace(" ", MARK)) for k, t in enumerate(texts) if t and cut[k] is None}
+        if self.vocabulary.kind == UNIGRAM:  # a run of marks goes with its word
+            spaced = {k: [("", marks + word) for marks, word in runs if marks or word] for k, runs in spaced.items()}
         words = set().union(*(c for c in cut if c), *([w for _, w in runs if w] for runs in spaced.values()))
         if len(self.words) + len(words) > KEPT_WORDS // 2:
             self.older, self.words = self.words, {}
@@ -214,7 +314,9 @@ class Encoder:
         lone = self.vocabulary.id_bytes(MARK)
         for marks, word in runs:
             n = len(marks)
-            if not word:
+            if self.vocabulary.kind == UNIGRAM:
+                yield self.words[word]
+            elif not word:
                 yield self._run(n) if n else b""
             elif self.words[word].startswith(lone):
                 yield self._run(n)

@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401  pa.fs
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import arrow_rows, stored
@@ -85,6 +86,30 @@ def write_token_files(docs: DataFrame, id_col: str, text_col: str, path: str | N
     return stored(arrow_rows(rows, run, schema), compression="zstd")
 
 
+def flat_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """Flat, unindexed token files under path as blocks (file, block, data), for scan_blocks and stitch: each task reads byte ranges.
+
+    Spark lists the files without reading them; a range of `block` ids is one row, opened and read where it is
+    scanned by the file system library's handler of the path's scheme (file, hdfs, s3, gs, abfs). file numbers
+    the files in the order of their paths' hashes. Bytes after the last whole id are an error.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length"))
+    step = width * block
+    ranges = files.where(F.col("length") > 0).select("path", "length", F.xxhash64("path").alias("file"), F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, file, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if length % width:
+                    raise ValueError(f"{name} is cut within an id")
+                system, place = pa.fs.FileSystem.from_uri(name)
+                with system.open_input_file(place) as opened:
+                    data = opened.read_at(min(step, length - number * step), number * step)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return arrow_rows(ranges.repartition("file", "block"), run, "file long, block long, data binary")
+
+
 def scan_blocks(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
     """A summary of each block (file, block, data): n, n_separators, head, tail and inner (counts between separators).
 
@@ -142,7 +167,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or public_tokenizers.path(VOCABULARY)
     separator = encoding(path).n_vocab
     table = write_token_files(docs, id_col, text_col, path)
-    counted = stitch(scan_blocks(table.where(F.col("data").isNotNull()), separator, 2 if separator < 65_536 else 4))
+    # The summaries are written once: the prefix scan reads them three times.
+    counted = stitch(stored(scan_blocks(table.where(F.col("data").isNotNull()), separator, 2 if separator < 65_536 else 4)))
     names = table.where(F.col("data").isNull()).select("file", "ordinal", F.col("name").alias(id_col))
     return names.join(counted, ["file", "ordinal"]).select(id_col, "n_tokens", "file", "ordinal")
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
+
 #: Fixed values: (action, host, path). A rule fits its host and all subdomains if the path starts with its path.
 RULES = (
     ("allow", "com", "/"),
@@ -65,6 +67,33 @@ def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Col
     return F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two) if long_suffixes else two
 
 
+def public_suffixes(lines: DataFrame) -> DataFrame:
+    """(rule, kind) of a public suffix list, one line a row in the list's usual format: comments (//), `*.` and `!` rules.
+
+    kind: 0 a suffix, 1 any one label before it, 2 an exception, a registered name of its own.
+    """
+    line = F.lower(F.regexp_extract(F.col(lines.columns[0]), r"^\s*(\S*)", 1))
+    rules = lines.select(line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("//"))
+    kind = F.when(F.col("line").startswith("!"), 2).when(F.col("line").startswith("*."), 1).otherwise(0)
+    return rules.select(F.regexp_replace("line", r"^(!|\*\.)", "").alias("rule"), kind.alias("kind")).distinct()
+
+
+def registered(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts (host, ...) with domain and suffix by a public suffix list (public_suffixes).
+
+    The longest rule that a host's end matches holds, an exception before all; no match: the last label. Only
+    distinct ends of hosts meet the list, whose size Spark checks before it broadcasts it.
+    """
+    labels = F.split("host", r"\.")
+    ends = hosts.select("host").distinct().select("host", F.size(labels).alias("labels"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("n"))
+    ends = ends.withColumn("rule", F.expr("substring_index(host, '.', -n)"))
+    size = F.when(F.col("kind") == 2, F.col("n") - 1).when(F.col("kind") == 1, F.least(F.col("n") + 1, F.col("labels"))).otherwise(F.col("n"))
+    found = ends.join(suffixes, "rule").groupBy("host").agg(F.max(F.struct((F.col("kind") == 2).alias("exception"), size.alias("size"))).alias("best"))
+    n = F.coalesce(F.col("best.size"), F.lit(1))
+    tail = lambda k: F.concat_ws(".", F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - k + 1, F.lit(1)), k))
+    return hosts.join(found, "host", "left").withColumns({"suffix": tail(n), "domain": tail(n + 1)}).drop("best")
+
+
 def page_outcome(html: Column, junk_runs: int = JUNK_RUNS) -> Column:
     """The label of a page: 1 if its html is full of junk marks, else 0; null html: no label."""
     return F.when(html.isNull(), F.lit(None)).otherwise((F.regexp_count(html, F.lit(JUNK)) >= junk_runs).cast("long"))
@@ -91,26 +120,28 @@ def _level(counts: DataFrame, key: str, prior: Column) -> DataFrame:
     return one.withColumn(f"{key}_k", strength.scalar()).withColumn(f"{key}_mean", (F.col("bad") + k * F.col("__vg_prior")) / (F.col("n") + k)).drop("__vg_prior")
 
 
-def host_reputation(labelled: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(labelled: DataFrame, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
     """A row for each host of labelled (host, outcome): n, bad, its posterior mean and the lower bound.
 
     Null outcomes don't count. Counts are summed on each side of the shuffle first, so a hot host is one
-    row a task. Levels join by domain and by suffix; each level's strength is a scalar subquery.
+    row a task. They are written once, a row a host, and all levels are made of them; each level's strength is
+    a scalar subquery. suffixes: a table of public_suffixes; without one LONG_SUFFIXES hold.
     """
     hosts = labelled.where(F.col("outcome").isNotNull()).groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("outcome").cast("double").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = registered(hosts, suffixes) if suffixes is not None else hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = checkpoint(hosts)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    levels = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Two pages, one bad, keep the rate of all pages away from 0 and 1.
-    every = suffixes.agg((F.sum("bad") + 1) / (F.sum("n") + 2))
-    suffixes = _level(suffixes.withColumn("__vg_all", every.scalar()), "suffix", F.col("__vg_all")).select("suffix", "suffix_mean")
-    domains = _level(domains.join(suffixes, "suffix"), "domain", F.col("suffix_mean")).select("domain", "domain_mean")
+    every = levels.agg((F.sum("bad") + 1) / (F.sum("n") + 2))
+    levels = _level(levels.withColumn("__vg_all", every.scalar()), "suffix", F.col("__vg_all")).select("suffix", "suffix_mean")
+    domains = checkpoint(_level(domains.join(levels, "suffix"), "domain", F.col("suffix_mean")).select("domain", "domain_mean"))
     hosts = _level(hosts.join(domains, "domain"), "host", F.col("domain_mean"))
     mean, k = F.col("host_mean"), F.col("n") + F.col("host_k")
     return hosts.select("host", "n", "bad", "host_mean", (mean - z * F.sqrt(mean * (1 - mean) / (k + 1))).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, bad_rate: float = BAD_RATE) -> DataFrame:
+def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, bad_rate: float = BAD_RATE, suffixes: DataFrame | None = None) -> DataFrame:
     """A row for each page: id_col, host, path, rule, verdict, judged_by (`rule`, `host` or `prior`).
 
     labelled has host and outcome. The verdict is the rule's; else block where the posterior's lower bound
@@ -119,7 +150,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     """
     urls = pages.select(F.col(f"`{id_col}`").alias("__vg_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     urls = urls.withColumn("__vg_rule", rule_of(F.col("host"), F.col("path"), rules))
-    known = host_reputation(labelled, z).select("host", (F.col("bound") > bad_rate).alias("__vg_bad"))
+    known = host_reputation(labelled, z, suffixes).select("host", (F.col("bound") > bad_rate).alias("__vg_bad"))
     out = urls.join(known, "host", "left")
     return out.select(
         F.col("__vg_id").alias(id_col),
