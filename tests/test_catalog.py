@@ -46,10 +46,44 @@ def test_shuffled_options_keep_their_answer(spark):
 
 
 def test_unlabelled_rows_go_and_names_are_ids(spark):
-    spec = catalog.named("banking77", "intent", "Which banking intent best describes this customer message?", ["Card Arrival", "pin blocked"], lambda: F.col("text"), variant_field="customer_message", variant_ask="What does the customer want help with?")
+    spec = catalog.intents(["card_arrival", "pin_blocked"])
     df = spark.createDataFrame([(0, "x"), (-1, "y"), (1, "z")], TEXT)
     rows = catalog.convert(df, spec, F.col("text"), variant=True).collect()
-    assert [r["gold"] for r in rows] == ["card_arrival", "pin_blocked"] and rows[0]["keys"] == ["pin_blocked", "card_arrival"]
+    assert [r["gold"] for r in rows] == ["card_arrival", "pin_blocked"] and rows[0]["keys"] == ["pin_blocked", "card_arrival"] and rows[0]["descriptions"] == [None, None]
+    row = catalog.convert(spark.createDataFrame([(1, "w " * 300)], "label int, content string"), catalog.categories(["Company", "Natural Place"]), F.lit(1)).first()
+    assert row["gold"] == "natural_place" and row["keys"] == ["company", "natural_place"] and row["state"].count("w") == 200
+
+
+def test_draws(spark):
+    """Shares of what is drawn, and that what isn't drawn stays whole."""
+    n = 3000
+    df = spark.range(n).selectExpr("id", "cast(id % 4 AS int) AS label", "cast(id % 6 AS int) AS coarse_label", "concat('text ', id) AS text", "'is it' AS question", "concat('p ', id) AS passage", "id % 2 = 0 AS answer")
+    trec = catalog.convert(df, catalog.SPECS["trec"], F.col("id")).collect()
+    assert {tuple(r["descriptions"]) for r in trec} == {tuple(catalog.TREC.values())} and {r["instructions"] for r in trec} == {"What kind of answer does this question ask for?"}
+    news = catalog.convert(df, catalog.SPECS["agnews"], F.col("id")).collect()
+    said = [d for r in news for d in r["descriptions"]]
+    assert abs(said.count(None) / len(said) - 0.3) < 0.03 and abs(sum(d is not None and d.startswith("{") for d in said) / len(said) - 0.1) < 0.02
+    asked = [r["instructions"] for r in news]
+    assert abs(sum(a.startswith("{") for a in asked) / n - 0.15) < 0.03 and {json.loads(a)["focus"] for a in asked if a.startswith("{")} == set(catalog.FOCUS)
+    assert {json.loads(a)["question"] if a.startswith("{") else a for a in asked} == {"What is the topic of this article?"}
+    boolq = catalog.convert(df, catalog.SPECS["boolq"], F.col("id")).collect()
+    given = [tuple(r["descriptions"]) for r in boolq]
+    assert set(given) == {(None, None), (catalog.PASSAGE["false"], catalog.PASSAGE["true"])} and abs(given.count((None, None)) / n - 0.6) < 0.04
+    bank = catalog.convert(df, catalog.intents(["card_arrival", "a_b", "c", "d"]), F.col("id")).collect()
+    words = {r["descriptions"][0] for r in bank} - {None}
+    assert words == {w.format("card arrival") for w in catalog.INTENT_WORDS} and all(len({d.split(" card")[0] for d in r["descriptions"][:1] if d}) < 2 for r in bank)
+    topics = catalog.topic_questions(df, F.col("id")).collect()
+    assert len(topics) == 2 * n and len({(r["row_key"], r["qid"]) for r in topics}) == 2 * n
+    assert all((r["gold"] == "true") == (r["qid"] == "is_" + list(catalog.AGNEWS)[int(r["row_key"]) % 4]) for r in topics)
+    assert {r["instructions"] for r in topics} == {f"Is this article about {x}?" for x in ("world news", "sports", "business", "science and technology")}
+
+
+def test_origins():
+    assert catalog.TRAINABLE == ("agnews", "trec", "banking77", "boolq", "mnli", "sst5") and len(catalog.EXTENDED) == 7
+    assert catalog.source_path("trec", "test", "/data/") == "/data/CogComp/trec/default/refs/convert/parquet/test"
+    assert catalog.source_path("qnli", "validation", "s3://b", "abc") == "s3://b/nyu-mll/glue/qnli/abc/validation"
+    with pytest.raises(ValueError):
+        catalog.source_path("qnli", "train", "/")
 
 
 def test_scorers(spark):

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import subprocess
 import sys
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as tx
-from verdigris.operators import evaluation, generators, leakage, splits, targets
+from verdigris.operators import evaluation, leakage, splits, targets
 from verdigris.plans import registry
 from verdigris.plans.pipeline import Stages, markdown
 from verdigris.sources import readers, sinks
@@ -87,14 +88,6 @@ def test_targets_resume_and_last_wins(spark):
     assert targets.incomplete(rows, rows.where("ord = 2")) and not targets.incomplete(rows, rows)
 
 
-def test_generators(spark):
-    pairs = generators.composition_pairs(spark, 15, 1)
-    rows = pairs.collect()
-    assert rows == pairs.collect() and all((r["label"] != r["partner_label"]) == (r["kind"] == "relevant") for r in rows)
-    kept = generators.contrastive_pairs(spark, 10, 1).collect()
-    assert len(kept) == 20 and all(r["label_a"] != r["label_b"] for r in kept)
-
-
 def test_stages_skip_and_refuse(spark, tmp_path):
     stages, runs = Stages(str(tmp_path)), []
     make = lambda: runs.append(1) or spark.range(3)
@@ -149,3 +142,21 @@ def test_core_stands_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and set(e.oracle_sql()) <= set(e.queries()) and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"} | {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+
+
+def test_groups_beyond_any_pool(spark):
+    """The fold over all groups of a source, against a plain one: later groups that fit are taken."""
+    rng = random.Random(5)
+    rows = [(s, f"{s}/{k}", rng.choice((1, 1, 2, 7, 30)), ) for s in ("p", "q") for k in range(400)] + [("r", "r/0", 90), ("r", "r/1", 3)]
+    df = spark.createDataFrame(rows, "source string, group_id string, rows long")
+    for cap in (3, 25, 60):
+        want = {}
+        for s in ("p", "q", "r"):
+            total = 0
+            for g, n in sorted(((g, n) for x, g, n in rows if x == s), key=lambda x: hashlib.sha256(f"9:order:{x[0]}".encode()).hexdigest()):
+                if total + n <= cap:
+                    total += n
+                    want[g] = n
+        assert {r["group_id"]: r["rows"] for r in splits.take_groups(df, "source", "rows", 9, cap).collect()} == want
+    many = spark.range(3000).selectExpr("'s' AS source", "concat('s/', id) AS group_id", "1L AS rows")
+    assert splits.take_groups(many, "source", "rows", 1, 2000).count() == 2000

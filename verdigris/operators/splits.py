@@ -20,22 +20,47 @@ def first_groups(groups: DataFrame, by: str, seed: int, k: int) -> DataFrame:
     return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def take_groups(groups: DataFrame, by: str, size: str, seed: int, cap: int, pool: int = 1600) -> DataFrame:
+def take_groups(groups: DataFrame, by: str, size: str, seed: int, cap: int, pool: int | None = None) -> DataFrame:
     """Whole groups in hash order while a `by`'s rows stay within cap; a group that doesn't fit is passed over, not the end.
 
-    Only the first `pool` groups of each `by` are looked at, the pool's own limit, so the ordered fold works on an
-    array of bounded length.
+    pool: only the first so many groups of each `by` are drawn from. Without it every group is considered, in rounds:
+    each folds the next cap + 1 groups that still fit (no more can be taken), until none is left that fits. A round
+    brings one row a `by` to the driver and costs one top-n shuffle; singletons need one round.
     """
-    pooled = first_groups(groups, by, seed, pool)
-    items = pooled.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "group_id", F.col(size).cast("long").alias("n")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<rank:int,group_id:string,n:bigint>>").alias("kept"))
+    sized = groups.select(by, "group_id", F.col(size).cast("long").alias("n")).where((F.col("n") > 0) & (F.col("n") <= cap))
+    if pool is not None:
+        allowed = first_groups(groups, by, seed, pool)
+        return _folded(allowed, by, F.col(size).cast("long"), cap, F.lit(0).cast("long")).select(by, "group_id", "rank", F.col("n").alias("rows"))
+    spark, key, out, taken = groups.sparkSession, tx.order_hash(F.col("group_id"), seed), None, None
+    sized = sized.withColumn("key", key)
+    state = spark.createDataFrame([], f"{by} {dict(sized.dtypes)[by]}, total long, last string, base int")
+    while True:
+        left = sized.join(F.broadcast(state), by, "left").withColumns({"total": F.coalesce("total", F.lit(0).cast("long")), "base": F.coalesce("base", F.lit(0))})
+        left = left.where((F.col("last").isNull() | (F.col("key") > F.col("last"))) & (F.col("n") <= cap - F.col("total")))
+        order = Window.partitionBy(by).orderBy("key", "group_id")
+        batch = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap + 1).persist()
+        ends = batch.groupBy(by).agg(F.max("key").alias("last"), F.max("rank").alias("seen"), F.first("total").alias("before"), F.first("base").alias("base"))
+        taken = _folded(batch, by, F.col("n"), cap, F.first("total")).select(by, "group_id", (F.col("rank") + F.col("base")).alias("rank"), F.col("n").alias("rows"))
+        out = taken if out is None else out.unionByName(taken)
+        sums = taken.groupBy(by).agg(F.sum("rows").alias("more"))
+        now = ends.join(sums, by, "left").select(by, (F.col("before") + F.coalesce("more", F.lit(0))).alias("total"), "last", (F.col("base") + F.col("seen")).cast("int").alias("base"), (F.col("seen") > cap).alias("open")).collect()
+        if not any(r["open"] and r["total"] < cap for r in now):
+            return out
+        state = spark.createDataFrame([(r[by], r["total"], r["last"], r["base"]) for r in now], state.schema)
+
+
+def _folded(ranked: DataFrame, by: str, n: Column, cap: int, start: Column) -> DataFrame:
+    """(by, group_id, rank, n, base) of the ranked groups that a fold in their order takes, from start rows on."""
+    base = F.first("base") if "base" in ranked.columns else F.lit(0)
+    items = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "group_id", n.alias("n")))).alias("items"), start.alias("start"), base.alias("base"))
+    begin = F.struct(F.col("start").alias("total"), F.array().cast("array<struct<rank:int,group_id:string,n:bigint>>").alias("kept"))
     folded = F.aggregate(
         "items",
-        start,
+        begin,
         lambda acc, g: F.when(acc["total"] + g["n"] > cap, acc).otherwise(F.struct((acc["total"] + g["n"]).alias("total"), F.concat(acc["kept"], F.array(g)).alias("kept"))),
         lambda acc: acc["kept"],
     )
-    return items.select(by, F.inline(folded)).select(by, "group_id", "rank", F.col("n").alias("rows"))
+    return items.withColumn("taken", folded).select(by, "base", F.inline("taken"))
 
 
 def disjointness(records: DataFrame) -> DataFrame:

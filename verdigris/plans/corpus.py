@@ -31,7 +31,7 @@ def _identified(records: DataFrame) -> DataFrame:
 def _capped(records: DataFrame, seed: int, cap: int) -> DataFrame:
     """Whole groups of each source in hash order, up to cap records."""
     groups = records.groupBy("source_family", "group_id").agg(F.count("*").alias("rows"))
-    kept = splits.take_groups(groups, "source_family", "rows", seed, cap, pool=10 * cap)
+    kept = splits.take_groups(groups, "source_family", "rows", seed, cap)
     return records.join(kept.select("source_family", "group_id"), ["source_family", "group_id"], "left_semi")
 
 

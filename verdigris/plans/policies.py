@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import policy as pl
-from verdigris.operators import generators
+from verdigris.operators import cases
 from verdigris.session import table
 
 Q, SQL = {}, {}
@@ -165,14 +165,43 @@ def policy_pair_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_composition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded pairs for every shape: one fact flips the label (relevant) or does not (irrelevant)."""
-    return generators.composition_pairs(spark, groups=20, seed=42)
+    """Composed cases of three shapes: pairs that differ in a deciding fact, and in none that counts."""
+    return cases.compositions(spark, 20, 42, ("negation", "conjunction", "exception"))
 
 
 @query()
 def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeded contrastive pairs of the late-fee and spend-threshold families, checked."""
-    return generators.contrastive_pairs(spark, pairs=50, seed=42)
+    """Checked contrastive pairs of all eleven families, with their texts."""
+    return cases.contrastive(spark, 50, 42)[0]
+
+
+def _u(name: str) -> str:
+    return f"(CAST('0x' || substr(sha256('42:late_fee:{name}:' || id), 1, 13) AS BIGINT) / {float(1 << 52)})"
+
+
+def _chosen(values: str, name: str) -> str:
+    return f"({values})[1 + CAST(floor({_u(name)} * len({values})) AS INTEGER)]"
+
+
+@query(
+    f"""WITH d AS (SELECT id, {_chosen("[5, 10, 15]", "grace,cap")} AS grace, {_chosen("[30, 60, 45]", "grace,cap")} AS cap,
+      {_chosen("['Mira','Noah','Priya','Tomas','Aiko','Lena','Omar','Sana','Jonas','Ravi','Elin','Kofi']", "name")} AS name,
+      {_chosen("[120, 450, 980, 2300]", "amount")} AS amount, {_chosen("['bank transfer','card','cheque']", "method")} AS method,
+      CAST(floor({_u("level")} * 3) AS INTEGER) AS one, CAST(floor({_u("other")} * 2) AS INTEGER) AS step, {_u("value_a")} AS ua, {_u("value_b")} AS ub,
+      [{_u("order0")}, {_u("order1")}, {_u("order2")}] AS o FROM range(40) AS r(id)),
+    s AS (SELECT *, 'a' AS sibling, one AS level, ua AS u FROM d UNION ALL SELECT *, 'b', (one + 1 + step) % 3, ub FROM d),
+    v AS (SELECT *, CASE level WHEN 0 THEN 0 WHEN 1 THEN grace + 1 ELSE cap + 1 END AS low, CASE level WHEN 0 THEN grace WHEN 1 THEN cap ELSE cap + 60 END AS high FROM s),
+    w AS (SELECT *, low + CAST(floor(u * (high - low + 1)) AS INTEGER) AS days FROM v),
+    t AS (SELECT *, [name || chr(39) || 's invoice for $' || format('{{:,}}', amount) || ' fell due last quarter.', 'Payment was received ' || days || ' days after the due date.', 'The payment was made by ' || method || '.'] AS told FROM w)
+    SELECT 'contrastive/late_fee/42-late_fee-' || lpad(id::VARCHAR, 4, '0') || '/' || sibling AS record_id, CAST(level AS VARCHAR) AS gold,
+      'Invoices paid within ' || grace || ' days after the due date incur no fee. Payments between ' || (grace + 1) || ' and ' || cap || ' days late incur a 2% fee. Payments later than ' || cap || ' days incur a 10% fee and a hold on the account.' AS policy,
+      array_to_string(list_transform(list_sort([{{'u': o[1], 'i': 1}}, {{'u': o[2], 'i': 2}}, {{'u': o[3], 'i': 3}}]), lambda x: told[x.i]), ' ') AS case_text FROM t"""
+)
+def contrastive_late_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One family's pairs with texts and gold levels, whose draws SQL can repeat."""
+    rows = cases.contrastive(spark, 40, 42, ("late_fee",))[0]
+    state = F.from_json("state", "policy string, case string")
+    return rows.select("record_id", "gold", state["policy"].alias("policy"), state["case"].alias("case_text"))
 
 
 @query("SELECT o_orderkey, monthname(o_orderdate) || ' ' || day(o_orderdate) || ', ' || year(o_orderdate) AS day, '$' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS total FROM orders")

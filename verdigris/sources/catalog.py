@@ -29,6 +29,56 @@ SST5_VARIANT = ("strongly negative opinion", "somewhat negative opinion", "mixed
 EMOTION = ("sadness", "joy", "love", "anger", "fear", "surprise")
 AMAZON = ("1 star: very negative", "2 stars: negative", "3 stars: mixed", "4 stars: positive", "5 stars: very positive")
 FOUR = ("a", "b", "c", "d")
+#: Wordings of an intent's description, what an instruction may ask to look at, a passage question's criteria.
+INTENT_WORDS = ("Customer asks about {}", "Issue concerning {}", "Request related to {}", "{}")
+FOCUS = ("Use only the information given.", "Pick the single best fit.", "Consider the whole message.")
+PASSAGE = {"true": "The passage supports a yes answer", "false": "The passage supports a no answer or does not say"}
+#: Shares of instructions with a focus and of passage questions with criteria; of descriptions left out and put as objects.
+FOCUSED, CRITERIA_SHARE, DRAWN, DRAWN_INTENTS = 0.15, 0.4, (0.3, 0.1), (0.5, 0.0)
+
+
+@dataclass(frozen=True)
+class Origin:
+    """Where a source's rows come from: repository, configuration, branch to pin, splits, and the column that groups rows."""
+
+    repo: str
+    config: str | None
+    branch: str | None
+    train: str | None
+    evaluation: str
+    field: str
+
+
+#: The public sources. With a train split: trained on; UNSEEN and EXTENDED only evaluate.
+ORIGINS = {
+    "agnews": Origin("fancyzhx/ag_news", None, None, "train", "test", "text"),
+    "trec": Origin("CogComp/trec", None, "refs/convert/parquet", "train", "test", "text"),
+    "banking77": Origin("legacy-datasets/banking77", None, None, "train", "test", "text"),
+    "boolq": Origin("google/boolq", None, None, "train", "validation", "passage"),
+    "mnli": Origin("nyu-mll/multi_nli", None, None, "train", "validation_matched", "premise"),
+    "sst5": Origin("SetFit/sst5", None, None, "train", "test", "text"),
+    "paws": Origin("google-research-datasets/paws", "labeled_final", None, None, "test", "sentence1"),
+    "qnli": Origin("nyu-mll/glue", "qnli", None, None, "validation", "sentence"),
+    "emotion": Origin("dair-ai/emotion", "split", None, None, "test", "text"),
+    "mmlu": Origin("cais/mmlu", "all", None, None, "test", "question"),
+    "arc": Origin("allenai/ai2_arc", "ARC-Challenge", None, None, "test", "question"),
+    "sciq": Origin("allenai/sciq", None, None, None, "test", "question"),
+    "tweet_offensive": Origin("cardiffnlp/tweet_eval", "offensive", None, None, "test", "text"),
+    "imdb": Origin("stanfordnlp/imdb", None, None, None, "test", "text"),
+    "amazon": Origin("SetFit/amazon_reviews_multi_en", None, None, None, "test", "text"),
+    "dbpedia14": Origin("fancyzhx/dbpedia_14", None, None, None, "test", "content"),
+}
+TRAINABLE = tuple(n for n, o in ORIGINS.items() if o.train)
+UNSEEN = ("paws", "qnli", "emotion")
+EXTENDED = tuple(n for n in ORIGINS if n not in (*TRAINABLE, *UNSEEN))
+
+
+def source_path(name: str, split: str, root: str, revision: str | None = None) -> str:
+    """Where a source's split is kept under root: repository, configuration, revision (its branch if none is pinned), split."""
+    o = ORIGINS[name]
+    if split not in (o.train, o.evaluation):
+        raise ValueError(f"{name} has no split {split}")
+    return "/".join(x.strip("/") if k else x.rstrip("/") for k, x in enumerate((root, o.repo, o.config or "default", revision or o.branch or "main", split)))
 
 
 def literal(values: Sequence[str | None]) -> Column:
@@ -51,6 +101,10 @@ class Spec:
     variant_ask: Callable[[], Column] | None = None
     variant_options: dict[str, str | None] | tuple[str, ...] = ()
     keys: Callable[[Column], tuple[Column, Column, Column]] | None = None  # from the row's key: keys, descriptions, gold
+    drawn: tuple[float, float] | None = None  # shares of descriptions left out and put as objects
+    focused: bool = False  # a share of instructions asks to look at something
+    criteria: dict[str, str] | None = None  # of a yes/no question, for a share of rows
+    worded: tuple[str, ...] = ()  # wordings that a row's descriptions are put in, one for all of them
 
     @property
     def family(self) -> str:
@@ -101,14 +155,15 @@ def _json(**fields: Column) -> Column:
 
 _COL = lambda name: lambda: F.col(name)
 _YES = {"true": None, "false": None}
+#: Fixed values below: the questions' texts.
 SPECS = {
     s.name: s
     for s in (
-        Spec("agnews", "topic", "choice", _COL("text"), say("Which topic is this article about?"), nth(list(AGNEWS), "label"), AGNEWS, True, "article", say("Which newspaper section would this story run in?"), AGNEWS_VARIANT),
+        Spec("agnews", "topic", "choice", _COL("text"), say("What is the topic of this article?"), nth(list(AGNEWS), "label"), AGNEWS, True, "article", say("Which newspaper section would this story run in?"), AGNEWS_VARIANT, drawn=DRAWN, focused=True),
         Spec("trec", "answer_type", "choice", _COL("text"), say("What kind of answer does this question ask for?"), nth(list(TREC), "coarse_label"), TREC, True, "question", say("What type of information would a correct answer provide?"), TREC_VARIANT),
-        Spec("boolq", "answer", "noul", _COL("passage"), lambda: tx.question_mark(F.col("question")), boolean(_COL("answer")), _YES, True, "passage", lambda: F.concat(F.lit("According to the passage: "), tx.question_mark(F.col("question"))), {"true": "The passage confirms it", "false": "The passage denies it or does not say"}),
-        Spec("mnli", "relation", "choice", _COL("premise"), quoting('Hypothesis: "', "hypothesis", '" How does it relate to the premise?'), nth(list(MNLI), "label"), MNLI, True, "premise", quoting('Does the premise support, rule out, or leave open this hypothesis: "', "hypothesis", '"?'), MNLI_VARIANT),
-        Spec("sst5", "sentiment", "score", _COL("text"), say("What is the sentiment of this review sentence?"), numbered("label"), SST5, True, "review", say("How positive or negative is the writer's opinion?"), SST5_VARIANT),
+        Spec("boolq", "answer", "noul", _COL("passage"), lambda: tx.question_mark(F.col("question")), boolean(_COL("answer")), _YES, True, "passage", lambda: F.concat(F.lit("According to the passage: "), tx.question_mark(F.col("question"))), {"true": "The passage confirms it", "false": "The passage denies it or does not say"}, focused=True, criteria=PASSAGE),
+        Spec("mnli", "relation", "choice", _COL("premise"), quoting('Hypothesis: "', "hypothesis", '" How does it relate to the premise?'), nth(list(MNLI), "label"), MNLI, True, "premise", quoting('Does the premise support, rule out, or leave open this hypothesis: "', "hypothesis", '"?'), MNLI_VARIANT, drawn=DRAWN, focused=True),
+        Spec("sst5", "sentiment", "score", _COL("text"), say("What is the sentiment of this review sentence?"), numbered("label"), SST5, True, "review", say("How positive or negative is the writer's opinion?"), SST5_VARIANT, focused=True),
         Spec("emotion", "emotion", "choice", _COL("text"), say("Which emotion does the writer express?"), nth(EMOTION, "label"), dict.fromkeys(EMOTION), False),
         Spec("qnli", "answers", "noul", _COL("sentence"), quoting('Does the sentence contain the answer to this question: "', "question", '"'), boolean(lambda: F.col("label") == 0), _YES),
         Spec("paws", "paraphrase", "noul", _COL("sentence1"), quoting('Does this sentence mean the same thing: "', "sentence2", '"'), boolean(lambda: F.col("label") == 1), {"true": "Same meaning, possibly reworded", "false": "Different meaning, even if most words match"}),
@@ -122,10 +177,27 @@ SPECS = {
 }
 
 
-def named(name: str, qid: str, ask: str, names: Sequence[str], text: Callable[[], Column], label: str = "label", variant_field: str | None = None, variant_ask: str | None = None) -> Spec:
-    """A choice over names that come with the data (intents, categories): ids in lower case with underscores, no descriptions."""
+def intents(names: Sequence[str]) -> Spec:
+    """Customer messages by intent, the names that come with the data: descriptions in one of several wordings, half left out."""
+    words = {n: n.replace("_", " ") for n in names}
+    return Spec("banking77", "intent", "choice", _COL("text"), say("Which banking intent best describes this customer message?"), nth(names, "label"), words, True, "customer_message", say("What does the customer want help with?"), dict.fromkeys(reversed(names)), drawn=DRAWN_INTENTS, focused=True, worded=INTENT_WORDS)
+
+
+def categories(names: Sequence[str]) -> Spec:
+    """Encyclopedia texts, their first 200 words, by category: ids in lower case with underscores, no descriptions."""
     ids = [n.lower().replace(" ", "_") for n in names]
-    return Spec(name, qid, "choice", text, say(ask), nth(ids, label), dict.fromkeys(ids), True, variant_field, say(variant_ask) if variant_ask else None, dict.fromkeys(reversed(ids)))
+    return Spec("dbpedia14", "category", "choice", lambda: tx.word_clip(F.col("content"), 200), say("Which category does the subject of this encyclopedia text belong to?"), nth(ids, "label"), dict.fromkeys(ids))
+
+
+def topic_questions(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """Two yes/no questions a news row, about two of the four topics drawn by the row's key; as convert() gives them."""
+    topics = shuffled(literal(list(AGNEWS)), key.cast("string"), seed)
+    about = F.create_map(*(F.lit(x) for k, v in AGNEWS.items() for x in (k, v.split(":")[0].lower())))
+    gold = nth(list(AGNEWS), "label")()
+    rows = rows.where(F.coalesce(F.expr("try_cast(label as int)"), F.lit(0)) != -1).select(key.cast("string").alias("row_key"), F.col("text").alias("state"), gold.alias("topic_gold"), F.explode(F.slice(topics, 1, 2)).alias("topic"))
+    ask = F.concat(F.lit("Is this article about "), about[F.col("topic")], F.lit("?"))
+    out = rows.select("row_key", "state", F.concat(F.lit("is_"), "topic").alias("qid"), F.lit("noul").alias("type"), ask.alias("instructions"), literal(["false", "true"]).alias("keys"), literal([None, None]).alias("descriptions"), F.when(F.col("topic") == F.col("topic_gold"), "true").otherwise("false").alias("gold"), F.lit("agnews.topic").alias("schema_family"))
+    return out.withColumn("valid", F.lit(True))
 
 
 def convert(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, seed: int = 42) -> DataFrame:
@@ -148,8 +220,17 @@ def convert(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, see
         ids, said = list(options), list(options.values())
         if spec.kind == "noul":
             ids, said = ["false", "true"], [options.get("false"), options.get("true")]
-        drawn = not variant and spec.kind == "choice" and spec.wrap
         keys, gold = literal(ids), spec.gold()
-        descriptions = F.array(*(described(F.lit(d), u(f"desc{i}")) if drawn and d else F.lit(d).cast("string") for i, d in enumerate(said)))
-    out = rows.select(key.cast("string").alias("row_key"), state.alias("state"), F.lit(spec.qid).alias("qid"), F.lit(spec.kind).alias("type"), (spec.variant_ask if variant else spec.ask)().alias("instructions"), keys.alias("keys"), descriptions.alias("descriptions"), gold.alias("gold"), F.lit(f"{spec.name}.variant" if variant else spec.family).alias("schema_family"))
+        worded = F.floor(u("words") * len(spec.worded)).cast("int")
+        put = lambda d: F.get(F.array(*(F.lit(w.format(d)) for w in spec.worded)), worded) if spec.worded and d else F.lit(d).cast("string")
+        if spec.drawn and not variant:
+            descriptions = F.array(*(described(put(d), u(f"desc{i}"), *spec.drawn) for i, d in enumerate(said)))
+        else:
+            descriptions = literal(said)
+        if spec.criteria and not variant:
+            descriptions = F.when(u("criteria") < CRITERIA_SHARE, literal([spec.criteria["false"], spec.criteria["true"]])).otherwise(descriptions)
+    ask = (spec.variant_ask if variant else spec.ask)()
+    if spec.focused and not variant:
+        ask = F.when(u("focused") < FOCUSED, _json(question=ask, focus=F.get(literal(FOCUS), F.floor(u("focus") * len(FOCUS)).cast("int")))).otherwise(ask)
+    out = rows.select(key.cast("string").alias("row_key"), state.alias("state"), F.lit(spec.qid).alias("qid"), F.lit(spec.kind).alias("type"), ask.alias("instructions"), keys.alias("keys"), descriptions.alias("descriptions"), gold.alias("gold"), F.lit(f"{spec.name}.variant" if variant else spec.family).alias("schema_family"))
     return out.withColumn("valid", F.coalesce(F.array_contains("keys", F.col("gold")), F.lit(False)))
