@@ -53,6 +53,57 @@ def render_content(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: None if r is None else _rendered(_parsed(r), 0))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def render_all(raw: pd.Series) -> pd.Series:
+    """render_content of each element; nulls in the array stay."""
+    return raw.map(lambda values: None if values is None else [None if r is None else _rendered(_parsed(r), 0) for r in values])
+
+
+@F.pandas_udf(T.StringType())
+def row_hash(raw: pd.Series) -> pd.Series:
+    """SHA-256 of a row given as JSON text, as JSON with sorted keys."""
+    return raw.map(lambda r: None if r is None else hashlib.sha256(json.dumps(json.loads(r), sort_keys=True).encode()).hexdigest())
+
+
+@F.pandas_udf(T.StringType())
+def sorted_json(raw: pd.Series) -> pd.Series:
+    """JSON text with sorted keys."""
+    return raw.map(lambda r: None if r is None else json.dumps(json.loads(r), sort_keys=True))
+
+
+def _first_object(text: str | None) -> dict | None:
+    decoder, at = json.JSONDecoder(), -1 if text is None else text.find("{")
+    while at >= 0:
+        try:
+            return decoder.raw_decode(text, at)[0]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def _answer(value: object, kind: str, keys: list[str]) -> str | None:
+    """The key that a JSON value names; null if it names none."""
+    if kind == "choice":
+        key = value.strip().strip("\"'") if isinstance(value, str) else None
+    elif kind == "noul":
+        word = value.strip().lower() if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else None
+        key = word if word in ("true", "false") else None
+    else:
+        whole = isinstance(value, int) and not isinstance(value, bool)
+        key = str(value) if whole else str(int(value)) if isinstance(value, str) and value.strip().isdigit() else None
+    return key if key in keys else None
+
+
+@F.pandas_udf(T.StructType().add("parse_ok", T.BooleanType()).add("answers", T.ArrayType(T.StringType())))
+def parsed_answers(text: pd.Series, qids: pd.Series, kinds: pd.Series, keys: pd.Series) -> pd.DataFrame:
+    """Of free text and a record's questions: whether there is a JSON object, and each question's key out of it (null: none)."""
+    out = []
+    for t, ids, types, names in zip(text, qids, kinds, keys, strict=True):
+        found = _first_object(t)
+        out.append((found is not None, [_answer((found or {}).get(q), k, list(n)) for q, k, n in zip(ids, types, names, strict=True)]))
+    return pd.DataFrame(out, columns=["parse_ok", "answers"])
+
+
 @F.pandas_udf(T.StringType())
 def casefold_hash(text: pd.Series) -> pd.Series:
     """text_hash with full Unicode case folding."""

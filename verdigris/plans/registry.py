@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import documents, policies, requests
+from verdigris.plans import documents, encoding, policies, requests
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return documents.Q | requests.Q | policies.Q
+    return documents.Q | requests.Q | policies.Q | encoding.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return documents.SQL | requests.SQL | policies.SQL
+    return documents.SQL | requests.SQL | policies.SQL | encoding.SQL

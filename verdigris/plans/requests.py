@@ -401,12 +401,11 @@ def parse_answers_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(F.array_contains(keys, level), level).alias("answer"))
 
 
-@query("SELECT event_id, props AS object FROM events")
+@query("""SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || '}' AS object FROM events""")
 def first_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first object in a text with a broken one before it and another behind it."""
+    """The first object in a text with a broken one before it and another behind it, as it is found."""
     text = F.concat(F.lit("x {not json} "), F.col("props"), F.lit(' then {"k": -1}'))
-    found = py.first_json_object(text)
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.from_json(found, "k long") == F.from_json("props", "k long"), F.col("props")).alias("object"))
+    return table(spark, sf_dir, "events").select("event_id", py.first_json_object(text).alias("object"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE ' ' || event_type END AS answer, CASE WHEN event_id % 3 = 0 THEN 'a ' || event_type ELSE ' ' || event_type END AS last FROM events")
@@ -445,12 +444,29 @@ def scorer_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.get("keys", nm.argmax(F.col("logits"))).alias("choice"), F.round(F.array_max("logits"), 6).alias("logit"))
 
 
-@query("SELECT event_id, event_id % 6 AS n, (['abbreviation','entity','description','human','location','number'])[1 + event_id % 6] AS gold, 'choice' AS type, 6 AS keys, true AS valid, true AS variant_valid FROM events")
+@query(
+    """SELECT event_id, (['abbreviation','entity','description','human','location','number'])[1 + event_id % 6] AS gold, 'choice' AS type, 'abbreviation|entity|description|human|location|number' AS keys,
+    'Asks what an abbreviation stands for|Asks about a thing, object, animal, product, or creative work|Asks for a definition, description, reason, or manner|Asks about a person, group, or organisation|Asks about a place|Asks for a number, date, count, or other numeric value' AS descriptions,
+    'number|location|human|entity|description|abbreviation' AS variant_keys, 'A quantity, date or measurement|A place|A person or organisation|A thing, product, animal or work|An explanation or definition|The expansion of an abbreviation' AS variant_descriptions, true AS valid, true AS variant_valid FROM events"""
+)
 def source_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogued converter over event rows, in its normal and its changed schema."""
+    """A catalogued converter over event rows, in its normal and its changed schema: keys, descriptions and gold."""
     rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"), (F.col("event_id") % 6).alias("coarse_label"))
     spec = catalog.SPECS["trec"]
     one, other = (catalog.convert(rows, spec, F.col("event_id"), variant=v) for v in (False, True))
-    both = one.join(other.select("row_key", F.col("valid").alias("variant_valid"), F.col("gold").alias("other")), "row_key").where(F.col("gold") == F.col("other"))
-    key = F.col("row_key").cast("long")
-    return both.select(key.alias("event_id"), (key % 6).alias("n"), "gold", "type", F.size("keys").alias("keys"), "valid", "variant_valid")
+    joined = lambda c: F.array_join(c, "|")
+    other = other.select("row_key", F.col("valid").alias("variant_valid"), F.col("gold").alias("other"), joined("keys").alias("variant_keys"), joined("descriptions").alias("variant_descriptions"))
+    both = one.join(other, "row_key").where(F.col("gold") == F.col("other"))
+    return both.select(F.col("row_key").cast("long").alias("event_id"), "gold", "type", joined("keys").alias("keys"), joined("descriptions").alias("descriptions"), "variant_keys", "variant_descriptions", "valid", "variant_valid")
+
+
+@query(
+    """SELECT event_id, state, CASE WHEN label = 0 THEN 'sadness' WHEN label = 1 THEN 'joy' WHEN label = 2 THEN 'love' WHEN label = 3 THEN 'anger' WHEN label = 4 THEN 'fear' ELSE 'surprise' END AS emotion, CASE WHEN label = 1 THEN 'true' ELSE 'false' END AS offensive, 'Contains insults, threats, profanity directed at someone, or hateful content' AS meant
+    FROM (SELECT event_id, event_type AS state, event_id % 6 AS label FROM events)"""
+)
+def bare_converters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two converters without draws over event rows: an emotion and an offence question."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"), (F.col("event_id") % 6).cast("int").alias("label"))
+    one, two = (catalog.convert(rows, catalog.SPECS[n], F.col("event_id")) for n in ("emotion", "tweet_offensive"))
+    two = two.select("row_key", F.col("gold").alias("offensive"), F.get("descriptions", F.lit(1)).alias("meant"))
+    return one.join(two, "row_key").select(F.col("row_key").cast("long").alias("event_id"), "state", F.col("gold").alias("emotion"), "offensive", "meant")
