@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verdigris-"))
     return context.getCheckpointDir().get()
 
