@@ -121,7 +121,10 @@ def test_stream_resumes(spark, tmp_path):
     for _ in range(2):
         resume.collect_stream(spark.readStream.schema("id long").parquet(src), score, target, mark, ["id"]).awaitTermination()
     spark.range(2, 6).write.mode("append").parquet(src)
-    resume.collect_stream(spark.readStream.schema("id long").parquet(src), score, target, mark, ["id"]).awaitTermination()
+    last = resume.collect_stream(spark.readStream.schema("id long").parquet(src), score, target, mark, ["id"])
+    last.awaitTermination()
+    log = resume.session_log(last)
+    assert sum(b["rows"] for b in log) == 4 and all(b["seconds"] >= 0 and b["began"] for b in log)
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(6))
 
 

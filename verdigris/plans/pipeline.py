@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fingerprint(inputs: dict) -> str:
@@ -16,21 +16,28 @@ def fingerprint(inputs: dict) -> str:
 
 
 class Stages:
-    """A folder of stage results. A stage with the same inputs is not run again; with others it is an error."""
+    """A folder of stage results on any store. A stage with the same inputs is not run again; with others it is an error.
+
+    A stage's mark is a table of one row, written after its result: a stage without a mark is run again.
+    """
 
     def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.folder = str(folder).rstrip("/")
 
     def run(self, name: str, inputs: dict, stage: Callable[[], DataFrame]) -> str:
         """The path of the stage's table, made now or before."""
-        done, mark, out = self.folder / f"{name}.json", fingerprint(inputs), str(self.folder / name)
-        if done.exists():
-            if json.loads(done.read_text())["fingerprint"] != mark:
-                raise ValueError(f"stage {name} was run with other inputs; choose another folder")
-            return out
-        stage().write.mode("overwrite").parquet(out)
-        done.write_text(json.dumps({"fingerprint": mark, "inputs": inputs}))
+        spark, mark, out = SparkSession.active(), fingerprint(inputs), f"{self.folder}/{name}"
+        try:
+            found = spark.read.schema("fingerprint string, inputs string").json(f"{out}.mark").first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            found = None
+        if found is None:
+            stage().write.mode("overwrite").parquet(out)
+            spark.createDataFrame([(mark, json.dumps(inputs))], "fingerprint string, inputs string").coalesce(1).write.mode("overwrite").json(f"{out}.mark")
+        elif found["fingerprint"] != mark:
+            raise ValueError(f"stage {name} was run with other inputs; choose another folder")
         return out
 
 

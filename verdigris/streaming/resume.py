@@ -35,3 +35,9 @@ def collect_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], t
         score(new).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_log(query: StreamingQuery) -> list[dict]:
+    """A session's batches that had rows: number, when it began, rows, and wall seconds."""
+    found = (p for p in query.recentProgress if p["numInputRows"])
+    return [{"batch": p["batchId"], "began": p["timestamp"], "rows": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000} for p in found]
