@@ -16,6 +16,7 @@ there and the piece that it ends with. Other kinds of vocabularies are refused.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,8 @@ UNIGRAM, BYTE_PAIR, UNKNOWN_PENALTY = 1, 2, 10.0
 KEPT_WORDS, KEPT_JOINS = 300_000, 300_000
 #: Texts and bytes of text that are encoded together: the more, the more prefixes their new words share.
 TOGETHER, TOGETHER_BYTES = 2048, 6 << 20
+#: Characters from which a text is merged with a heap of pairs; shorter ones by trying all pairs, which is faster there.
+LONG = 256
 _RUN = re.compile(f"({MARK}*)([^{MARK}]*)")
 
 
@@ -124,6 +127,8 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """What merging makes of the characters: the pair of neighbours with the largest score, the first such, again and again."""
+        if len(text) > LONG:
+            return self._merge_long(text)
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -136,6 +141,43 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merge_long(self, text: str) -> list[str]:
+        """merge() of a long text: pairs wait in a heap, parts are linked to their neighbours; a pair whose parts have changed is passed over."""
+        parts: list[str] = list(text)
+        n = len(parts)
+        after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
+        score = self.scores.get
+        waiting = [(-found, k, 1, 1) for k in range(n - 1) if (found := score(parts[k] + parts[k + 1])) is not None]
+        heapq.heapify(waiting)
+        while waiting:
+            _, k, left, right = heapq.heappop(waiting)
+            to = after[k]
+            if len(parts[k]) != left or to >= n or len(parts[to]) != right:
+                continue
+            parts[k] += parts[to]
+            parts[to] = ""
+            after[k] = to = after[to]
+            if to < n:
+                ahead[to] = k
+                if (found := score(parts[k] + parts[to])) is not None:
+                    heapq.heappush(waiting, (-found, k, len(parts[k]), len(parts[to])))
+            if (back := ahead[k]) >= 0 and (found := score(parts[back] + parts[k])) is not None:
+                heapq.heappush(waiting, (-found, back, len(parts[back]), len(parts[k])))
+        return [p for p in parts if p]
+
+    def merge_marks(self, n: int) -> list[str]:
+        """merge() of n marks. Where all pieces of marks have one score, the first pair that is a piece merges first: a new mark can only merge with the part before it, and what that makes with the one before."""
+        sizes = {len(p) for p in self.ids if p.strip(MARK) == ""}
+        if n <= LONG or len({self.scores[MARK * k] for k in sizes if k > 1}) > 1:
+            return self.merge(MARK * n)
+        parts: list[int] = []
+        for _ in range(n):
+            last = 1
+            while parts and parts[-1] + last in sizes:
+                last += parts.pop()
+            parts.append(last)
+        return [MARK * k for k in parts]
+
     def _whole(self, piece: str) -> bool:
         found = self.whole.get(piece)
         if found is None:
@@ -262,6 +304,7 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[int, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words, each with its mark in front; a line feed, which no piece holds, parts a word."""
@@ -278,10 +321,14 @@ class Encoder:
         for w, parts in split.items():
             self.words[w] = feed.join([found[p] for p in parts])
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one encoder lives as long as its worker
     def _run(self, n: int) -> bytes:
-        """Ids of n marks in a row. Pieces of marks have one score, so the first pair that is a piece merges first."""
-        return b"".join(self.vocabulary.id_bytes(p) for p in self.vocabulary.merge(MARK * n))
+        """Ids of n marks in a row; those of short runs are kept."""
+        if n > LONG:
+            return b"".join(map(self.vocabulary.id_bytes, self.vocabulary.merge_marks(n)))
+        found = self.marks.get(n)
+        if found is None:
+            found = self.marks[n] = b"".join(map(self.vocabulary.id_bytes, self.vocabulary.merge_marks(n)))
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of int32; none for a null or empty text."""
@@ -329,7 +376,6 @@ class Encoder:
         """Gives up what it has seen, not the vocabulary: a worker that waits for its next task stays small."""
         self.words, self.older = {}, {}
         self.vocabulary.joins, self.vocabulary.n_joins = {}, 0
-        self._run.cache_clear()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
