@@ -70,3 +70,18 @@ def test_learned_language_columns(spark, small):
     out = queries.op9_language_id(spark, small)
     assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
     assert np.isfinite(out.agg(F.sum("score")).first()[0]) and language_id.UNKNOWN == "und"
+
+
+def test_all_stages_over_odd_rows(spark, small, edge_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing names: the whole chain, and over no rows at all."""
+    odd = edge_docs.withColumns({"row": F.lit("x"), "a.b": F.lit(1), "toxic_score": F.lit(2.0), "lang_pred": F.lit("q")})
+    for docs, want in ((odd, True), (odd.where("false"), False)):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, small)
+            if name != "sentencepiece":
+                assert out.columns == docs.columns
+            at = spark.createDataFrame(out.collect(), out.schema)
+        rows = at.collect()
+        assert all(r["round_trip"] for r in rows) and len(rows) == (len({r["n_tokens"] for r in rows}) if want else 0)
+        assert not want or {r["doc_id"] for r in rows} >= {1, 5, 7}

@@ -244,3 +244,12 @@ def test_planted_bad_hosts_are_blocked(spark):
     rows = url_reputation.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labelled).collect()
     assert {r["page_id"] for r in rows if r["verdict"] == "block"} == {*range(1000, 1080), 2000} and len(rows) == len(pages)
     assert url_reputation.filter_urls(spark.createDataFrame([], "page_id long, url string"), labelled).count() == 0
+
+
+def test_too_many_entries_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "river stone" if k % 2 else "awful dreadful nasty") for k in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(80)], "doc_id long, toxic int")
+    assert "awful " in toxicity.fit(docs, "doc_id", "text", labels)["lexicon"]
+    monkeypatch.setattr(toxicity, "ENTRIES", 2)
+    with pytest.raises(ValueError, match="lexicon entries"):
+        toxicity.fit(docs, "doc_id", "text", labels)

@@ -34,9 +34,11 @@ HOMOGLYPHS = {
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line", "pond scum")
-#: Documents of the fitting sample; documents that a lexicon entry must be in; entries of a lexicon at most, those with
-#: the most evidence; letters of the shortest and the longest beginning (whole words have any length).
-SAMPLE, SUPPORT, ENTRIES, SHORTEST, LONGEST = 20_000, 8, 2_000, 5, 9
+#: Documents of the fitting sample; documents that a lexicon entry must be in; letters of the shortest and the longest
+#: beginning (whole words have any length).
+SAMPLE, SUPPORT, SHORTEST, LONGEST = 20_000, 8, 5, 9
+#: Entries with evidence that a fit may have, what reaches the driver; more are refused. A sample of SAMPLE documents has far fewer.
+ENTRIES = 200_000
 #: Entries that a task counts before it passes the counts on.
 COUNTED = 200_000
 #: An entry's log odds, less one and a half standard errors, must be over this.
@@ -89,8 +91,6 @@ def _choose(entries: list[tuple[str, float]]) -> dict[str, float]:
     """Entries and weights (log odds) of those given, the surest first; one that begins like a chosen entry must be much heavier than it."""
     chosen: dict[str, float] = {}
     for entry, odds in entries:
-        if len(chosen) >= ENTRIES:
-            break
         if any(entry[:k] in chosen and odds < chosen[entry[:k]] + 1 for k in range(SHORTEST, len(entry))):
             continue
         chosen[entry] = odds
@@ -164,8 +164,8 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, labe
 
     Labels are one an id (the largest where they differ); null labels don't count. The sampled ids are the
     only thing broadcast, `sample` rows at most but for the hash's chance. The sampled texts are written
-    once, as a table of that bounded size, and read by each step. Words in an exception phrase don't count
-    in fitting either.
+    once, as a table of that bounded size, and read by each step. All entries with evidence are taken; more than
+    ENTRIES are refused with a ValueError. Words in an exception phrase don't count in fitting either.
     """
     ids = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__vg_id")).agg(F.max(label_col).alias("__vg_y"))
     found = ids.agg(F.count("*").alias("n")).first()["n"]
@@ -184,8 +184,10 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, labels: DataFrame, labe
     odds = F.log((t + 0.5) / (n_toxic - t + 0.5)) - F.log((o + 0.5) / (n_other - o + 0.5))
     sure = odds - 1.5 * F.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
     entries = counts.select("entry", "t", odds.alias("odds"), sure.alias("sure")).where((t >= least) & (F.col("sure") > LEAST_ODDS))
-    entries = entries.orderBy(F.desc(F.col("sure") * F.sqrt("t")), "entry").limit(5 * ENTRIES)
-    lexicon = _choose([(r["entry"], r["odds"]) for r in entries.collect()])
+    known = entries.orderBy(F.desc(F.col("sure") * F.sqrt("t")), "entry").limit(ENTRIES + 1).collect()
+    if len(known) > ENTRIES:
+        raise ValueError(f"more than {ENTRIES} lexicon entries: fit on a smaller sample")
+    lexicon = _choose([(r["entry"], r["odds"]) for r in known])
     seen = arrow_rows(rows, _sample_features(lexicon, exceptions), "toxic bigint, a double, b double, c double").toPandas()
     y = (seen["toxic"].to_numpy() > 0).astype(float)
     return {"lexicon": lexicon, "coefficients": logistic(seen[["a", "b", "c"]].to_numpy(), y).tolist(), "exceptions": exceptions}
