@@ -1,8 +1,8 @@
-"""DuckDB SQL for the queries that SQL can express: op2, op4, op5, op6, op8."""
+"""DuckDB SQL for the queries that SQL can express: op2, op4, op5, op6, op8, op11, op13."""
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import centroids, decontaminate
 from . import url_reputation as u
 
 _REACH = """reach AS (SELECT a AS id, a AS to_id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.to_id)"""
@@ -64,6 +64,13 @@ def op5() -> str:
       CASE WHEN {rule.replace('host', 'p.host')} IS NOT NULL THEN 'rule' WHEN blocked IS NOT NULL THEN 'host' ELSE 'prior' END AS judged_by FROM p LEFT JOIN b USING (host)
     """
 
+OP11 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_dedup": OP2, "op4_decontamination": decontaminate.oracle(), "op5_url_filter": op5(), "op6_chat_format": OP6, "op8_embedding_dedup": OP8}
+    return {"op2_minhash_dedup": OP2, "op4_decontamination": decontaminate.oracle(), "op5_url_filter": op5(), "op6_chat_format": OP6, "op8_embedding_dedup": OP8, "op11_threshold_topk": OP11, "op13_centroid_clusters": centroids.oracle()}

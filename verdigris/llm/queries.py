@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embeddings, hilbert, language_id, minhash, oracles, pieces, token_counts, toxicity, url_reputation
+from . import centroids, chat_format, decontaminate, embeddings, hilbert, language_id, minhash, oracles, pieces, token_counts, topk, toxicity, url_reputation, whitening
 from .shared import table
 
 
@@ -69,12 +69,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "toxic_hits", "toxic_words")
 
 
+def op11_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=64)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """By name: op1 to op10."""
-    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op4_decontamination, op5_url_filter, op6_chat_format, op7_token_counts, op8_embedding_dedup, op9_language_id, op10_toxicity)
+    """By name: op1 to op13."""
+    found = (op1_hilbert_sharding, op2_minhash_dedup, op3_sentencepiece, op4_decontamination, op5_url_filter, op6_chat_format, op7_token_counts, op8_embedding_dedup, op9_language_id, op10_toxicity, op11_threshold_topk, op12_tsqr_whitening, op13_centroid_clusters)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of op2, op4, op5, op6 and op8; the others are beyond DuckDB (CRC-32, learned models, vocabularies)."""
+    """SQL of op2, op4, op5, op6, op8, op11 and op13; the others are beyond DuckDB (CRC-32, learned models, vocabularies, eigenvectors)."""
     return oracles.oracle_sql()
