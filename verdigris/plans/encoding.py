@@ -36,7 +36,7 @@ def _strings(*values: str | None) -> Column:
     return F.array(*(F.lit(v).cast("string") for v in values))
 
 
-def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's priority as the state of two questions, packed."""
     one = F.struct(F.lit("Who is it").alias("instructions"), _strings("ops", "dev team").alias("options"))
     two = F.struct(F.lit("Fine").alias("instructions"), _strings("no", "yes").alias("options"))
@@ -46,28 +46,28 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = "list_transform(list_filter(string_split(o_orderpriority, ' '), lambda w: w <> ''), lambda w: length(w) + 100)"
 _BRANCHES = "[2,103,102,102,3,103,4,3,103,104,4,5], [2,104,3,102,4,3,103,4,5]"
-_LAYOUT = f"s AS (SELECT o_orderkey, [1] || {_S} AS s, {_BRANCHES.replace('], [', '] AS b1, [')} AS b2 FROM orders)"
+LAYOUT_SQL = f"s AS (SELECT o_orderkey, [1] || {_S} AS s, {_BRANCHES.replace('], [', '] AS b1, [')} AS b2 FROM orders)"
 
 
 @query(
-    f"""WITH {_LAYOUT} SELECT o_orderkey AS record_id, array_to_string(s || b1 || b2, ',') AS ids, array_to_string(list_transform(s, lambda x: 0) || list_transform(b1, lambda x: 1) || list_transform(b2, lambda x: 2), ',') AS seg,
+    f"""WITH {LAYOUT_SQL} SELECT o_orderkey AS record_id, array_to_string(s || b1 || b2, ',') AS ids, array_to_string(list_transform(s, lambda x: 0) || list_transform(b1, lambda x: 1) || list_transform(b2, lambda x: 2), ',') AS seg,
     array_to_string(range(len(s)) || range(len(s), len(s) + 12) || range(len(s), len(s) + 9), ',') AS pos, array_to_string(list_transform(s, lambda x: -1) || [-1,-1,-1,-1,0,0,0,1,1,1,1,-2,-1,-1,0,0,0,1,1,1,-2], ',') AS opt,
     array_to_string([len(s) + 11, len(s) + 20], ',') AS decide_idx, array_to_string([len(s) + 6, len(s) + 10, len(s) + 16, len(s) + 19], ',') AS opt_idx FROM s"""
 )
 def packed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, segments, positions, option marks and readouts of packed requests."""
-    rows = _layouts(spark, sf_dir)
+    rows = order_layouts(spark, sf_dir)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows.select("record_id", *(joined(F.col(c)).alias(c) for c in ("ids", "seg", "pos", "opt", "decide_idx")), joined(F.flatten("opt_idx")).alias("opt_idx"))
 
 
 @query(
-    f"""WITH {_LAYOUT}, q AS (SELECT o_orderkey, s, 1 AS question, b1 AS b, [6, 10] AS o FROM s UNION ALL SELECT o_orderkey, s, 2, b2, [4, 7] FROM s)
+    f"""WITH {LAYOUT_SQL}, q AS (SELECT o_orderkey, s, 1 AS question, b1 AS b, [6, 10] AS o FROM s UNION ALL SELECT o_orderkey, s, 2, b2, [4, 7] FROM s)
     SELECT o_orderkey AS record_id, CAST(question AS INTEGER) AS question, array_to_string(s, ',') AS state_ids, array_to_string(b, ',') AS ids, CAST(len(s) AS INTEGER) AS first_pos, CAST(len(b) - 1 AS INTEGER) AS decide, array_to_string(o, ',') AS opts FROM q"""
 )
 def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed requests taken apart into a row for each question."""
-    rows = encoding.rows_of(_layouts(spark, sf_dir))
+    rows = encoding.rows_of(order_layouts(spark, sf_dir))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows.select("record_id", "question", joined("state_ids").alias("state_ids"), joined("ids").alias("ids"), F.get("pos", F.lit(0)).alias("first_pos"), "decide", joined("opts").alias("opts"))
 
