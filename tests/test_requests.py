@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import python_udfs as py
 from verdigris.functions import questions as qs
 from verdigris.operators import encoding, teacher
+from verdigris.sources import readers
 from verdigris.sources import requests as rq
 
 IDS = {"state": 1, "question": 2, "option": 3, "end_option": 4, "decide": 5}
@@ -156,19 +157,19 @@ def test_parsed_answers(spark):
 
 def test_custom_corpus(spark, tmp_path):
     lines = [
-        {"line": 1, "state": {"b": "Some words", "a": 1}, "questions": {"z": {"type": "choice", "instructions": "Which?", "criteria": {"y": "why", "x": None}, "label": "x"}, "a": {"type": "noul", "criteria": {"true": "Is"}, "label": True}}, "schema_family": "s"},
-        {"line": 2, "state": "plain", "questions": {"s": {"type": "score", "criteria": ["low", "high"], "label": "high"}, "t": {"type": "score", "criteria": ["low", "high"], "label": 0}, "bad": {"type": "choice", "criteria": {"k": None}, "label": "q"}}},
+        {"state": {"b": "Some words", "a": 1}, "questions": {"z": {"type": "choice", "instructions": "Which?", "criteria": {"y": "why", "x": None}, "label": "x"}, "a": {"type": "noul", "criteria": {"true": "Is"}, "label": True}}, "schema_family": "s"},
+        {"state": "plain", "questions": {"s": {"type": "score", "criteria": ["low", "high"], "label": "high"}, "t": {"type": "score", "criteria": ["low", "high"], "label": 0}, "bad": {"type": "choice", "criteria": {"k": None}, "label": "q"}}},
     ]
     (tmp_path / "c.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\n")
     rows = rq.labelled_lines(spark, str(tmp_path / "c.jsonl"))
     found = {(r["line"], r["qid"]): (r["keys"], r["descriptions"], r["gold"], r["valid"]) for r in rows.collect()}
     assert found == {
-        (1, "z"): (["y", "x"], ["why", None], "x", True), (1, "a"): (["false", "true"], [None, "Is"], "true", True),
-        (2, "s"): (["0", "1"], ["low", "high"], "1", True), (2, "t"): (["0", "1"], ["low", "high"], "0", True), (2, "bad"): (["k"], [None], "q", False),
+        (0, "z"): (["y", "x"], ["why", None], "x", True), (0, "a"): (["false", "true"], [None, "Is"], "true", True),
+        (2, "s"): (["0", "1"], ["low", "high"], "1", True), (2, "t"): (["0", "1"], ["low", "high"], "0", True), (2, "bad"): (["k"], [None], None, False),
     }
-    forbidden = spark.createDataFrame([(hashlib.sha256(b"plain").hexdigest(),)], "text_sha256 string")
-    kept = rq.custom_records(rows, "own", 3, forbidden).collect()
-    assert {r["record_id"] for r in kept} == {"own/1"} and all(r["text_sha256"] == hashlib.sha256(b"b: some words a: 1").hexdigest() for r in kept)
+    forbidden = spark.createDataFrame([(hashlib.sha256(b"plain").hexdigest(),)], "hash string")
+    kept = rq.custom_records(rows, "own", 3, forbidden).where("not excluded").collect()
+    assert {r["record_id"] for r in kept} == {"own/0"} and all(r["text_sha256"] == hashlib.sha256(b"b: some words a: 1").hexdigest() for r in kept)
     with pytest.raises(ValueError, match="splits"):
         rq.custom_records(rows, "own", 3, forbidden, {"train": 100})
     panels = rq.panel_files(spark, {"p": str(tmp_path / "c.jsonl")}).collect()
@@ -212,3 +213,41 @@ def test_hashes_and_texts(spark):
     seen = spark.createDataFrame([("p", "p/1", True), ("p", "p/2", False), ("q", "q/1", True)], "source_family string, record_id string, excluded boolean")
     kept = spark.createDataFrame([("p", "p/2"), ("p", "p/2")], "source_family string, record_id string")
     assert {r["source_family"]: (r["candidates"], r["excluded"], r["records"], r["questions"]) for r in rq.panel_manifest(seen, kept).collect()} == {"p": (2, 1, 1, 2), "q": (1, 1, 0, 0)}
+
+
+def test_forbidden_texts_in_a_field_and_typed_values(spark, tmp_path):
+    secret = "A forbidden text of more than five words"
+    asks = lambda label, kind="noul", criteria=None: {"q": {"type": kind, "instructions": 1.50, "criteria": criteria, "label": label}}
+    lines = [
+        {"state": {"a": secret.upper()}, "questions": asks("True")}, {"state": {"a": [{"b": f"  {secret} "}], "c": 1}, "questions": asks(True)}, {"state": {"a": "too short"}, "questions": asks("FALSE")},
+        {"state": "true", "questions": asks(False)}, {"state": "1e5", "questions": asks("1", "score", ["l", "m"])}, {"state": 1e5, "questions": asks(2, "score", ["l", "m"])},
+        {"state": "null", "questions": asks("x", "choice", {"x": True, "y": "1.50"})}, {"state": None, "questions": asks("maybe")}, {"state": '{"a": 1}', "questions": {}}, {"state": "1.50", "questions": asks(" 1 ", "score", [1, 2.0])},
+    ]
+    (tmp_path / "c.jsonl").write_text("\n".join([*map(json.dumps, lines), "no json", "[]"]))
+    forbidden = spark.createDataFrame([(hashlib.sha256(secret.lower().encode()).hexdigest(),)], "hash string")
+    rows = rq.custom_records(rq.labelled_lines(spark, str(tmp_path)), "own", 3, forbidden, several=True)
+    found = {r["line"]: r for r in rows.collect()}
+    assert {k for k, r in found.items() if r["excluded"]} == {0, 1} and found[0]["record_id"] == "own/c.jsonl/0"
+    assert [found[k]["text"] for k in (3, 4, 5, 6, 7, 8, 9)] == ["true", "1e5", "100000.0", "null", "", '{"a": 1}', "1.50"]
+    assert [found[k]["gold"] for k in (0, 1, 2, 3, 4, 5, 6, 7, 9)] == ["true", "true", "false", "false", "1", None, "x", None, "1"]
+    assert found[3]["instructions"] == "1.5" and found[6]["descriptions"] == ["True", "1.50"] and found[9]["descriptions"] == ["1", "2.0"]
+    assert [found[k]["qid"] for k in (8, 10, 11)] == [None] * 3
+    assert rq.custom_report(rows).collect()[0].asDict() == {"source_family": "own", "read": 12, "excluded_text_collision": 2, "no_question": 3, "invalid_labels": 2}
+
+
+@pytest.mark.parametrize("size", ["7b", "64b", "128m"])
+def test_line_numbers_equal_splitlines(spark, tmp_path, size):
+    """Files cut in many ranges, with every kind of line end, blank lines, and none at the end."""
+    texts = {"a.txt": "one\n\ntwo\r\nthree\rfour\n" * 40 + "last", "b.txt": "x\n" * 333, "c.txt": "", "d.txt": "\n\n", "e.txt": "only"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        lines = readers.text_lines(spark, str(tmp_path))
+        found = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["value"]) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert found == sorted((name, k, line) for name, text in texts.items() for k, line in enumerate(text.splitlines()))

@@ -40,19 +40,31 @@ def _strings(value: object):
 
 
 def _parsed(raw: str | None) -> object:
-    """JSON, or the text itself if it is none."""
+    """The object or array that the text holds as JSON; any other text, numbers and words like true and null too, is itself."""
     try:
-        return json.loads(raw)
+        value = json.loads(raw)
     except (TypeError, ValueError):
         return raw
+    return value if isinstance(value, dict | list) else raw
+
+
+def _hashes(value: object) -> list[str]:
+    """Hashes of the rendered value and of each string in it of five words or more, sorted."""
+    return sorted({_fold_hash(_rendered(value, 0)), *(_fold_hash(s) for s in _strings(value) if len(s.split()) >= 5)})
 
 
 @F.pandas_udf(T.StringType())
 def render_content(raw: pd.Series) -> pd.Series:
-    """JSON text to the text that a model sees; field names stay as labels. Null stays null."""
+    """Text, or an object or array as JSON, to the text that a model sees; field names stay as labels. Null stays null."""
     return raw.map(lambda r: None if r is None else _rendered(_parsed(r), 0))
 
 
+@F.pandas_udf(T.StringType())
+def render_json(raw: pd.Series) -> pd.Series:
+    """render_content of a value of any type, given as JSON: a text is in quotes, true reads True, null is empty."""
+    return raw.map(lambda r: None if r is None else _rendered(json.loads(r), 0))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def render_all(raw: pd.Series) -> pd.Series:
     """render_content of each element; nulls in the array stay."""
@@ -113,14 +125,7 @@ def casefold_hash(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def state_hashes(raw: pd.Series) -> pd.Series:
     """Hashes of a state's rendered text and of each string in it of five words or more, sorted."""
-
-    def hashes(r: str | None):
-        if r is None:
-            return None
-        value = _parsed(r)
-        return sorted({_fold_hash(_rendered(value, 0)), *(_fold_hash(s) for s in _strings(value) if len(s.split()) >= 5)})
-
-    return raw.map(hashes)
+    return raw.map(lambda r: None if r is None else _hashes(_parsed(r)))
 
 
 @F.pandas_udf(T.StringType())
@@ -139,3 +144,48 @@ def first_json_object(text: pd.Series) -> pd.Series:
         return None
 
     return text.map(first)
+
+
+def _gold(kind: str | None, label: object, options: list) -> str | None:
+    """The key that a label names: an option id, true or false in any case, a level by number or by its text."""
+    if kind == "noul":
+        word = str(label).lower()
+        return word if word in ("true", "false") else None
+    if kind == "score":
+        if isinstance(label, str) and label in options:
+            return str(options.index(label))
+        whole = not isinstance(label, bool) and str(label).strip().lstrip("-").isdigit()
+        return str(int(label)) if whole and 0 <= int(label) < len(options) else None
+    return label if kind == "choice" and isinstance(label, str) and label in options else None
+
+
+def _labelled(raw: str) -> dict:
+    try:
+        top = json.loads(raw)
+    except ValueError:
+        top = None
+    if not isinstance(top, dict) or not isinstance(top.get("questions"), dict):
+        return {"state": None, "text": None, "hashes": None, "schema_family": None, "notes": None, "questions": []}
+    told = lambda v: None if v is None else _rendered(v, 0)
+    asked = []
+    for qid, q in top["questions"].items():
+        q = q if isinstance(q, dict) else {}
+        kind, criteria = q.get("type"), q.get("criteria")
+        named = criteria if isinstance(criteria, dict) else {}
+        options = list(named) if kind == "choice" else criteria if kind == "score" and isinstance(criteria, list) else []
+        keys = options if kind == "choice" else ["false", "true"] if kind == "noul" else [str(k) for k in range(len(options))]
+        said = [named.get(k) for k in keys] if kind in ("choice", "noul") else options
+        asked.append({"qid": qid, "type": kind if isinstance(kind, str) else None, "instructions": told(q.get("instructions")), "keys": keys, "descriptions": [told(d) for d in said], "gold": _gold(kind, q.get("label"), options)})
+    state = top.get("state")
+    family = top.get("schema_family")
+    return {"state": json.dumps(state, ensure_ascii=False), "text": _rendered(state, 0), "hashes": _hashes(state), "schema_family": family if isinstance(family, str) else None, "notes": told(top.get("notes")), "questions": asked}
+
+
+_TEXTS = T.ArrayType(T.StringType())
+_QUESTION = T.StructType().add("qid", "string").add("type", "string").add("instructions", "string").add("keys", _TEXTS).add("descriptions", _TEXTS).add("gold", "string")
+
+
+@F.pandas_udf(T.StructType().add("state", "string").add("text", "string").add("hashes", _TEXTS).add("schema_family", "string").add("notes", "string").add("questions", T.ArrayType(_QUESTION)))
+def labelled_request(raw: pd.Series) -> pd.DataFrame:
+    """A labelled request as JSON, with every value's own type: state as JSON, its text and hashes, and the questions with texts and gold keys (null: the label names none). What is no request has no questions."""
+    return pd.DataFrame([_labelled(r) for r in raw], columns=["state", "text", "hashes", "schema_family", "notes", "questions"])

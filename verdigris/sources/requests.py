@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from verdigris.functions import python_udfs as py
 from verdigris.functions import questions as qs
 from verdigris.functions import text as tx
-from verdigris.sources.readers import folder_digest
+from verdigris.operators import leakage
+from verdigris.sources.readers import folder_digest, text_lines
 
 #: Shares of splits by group, the only rule there is.
 SPLIT_SPEC = {"train": 70, "dev": 10, "calibration": 10, "test": 10}
@@ -52,35 +53,39 @@ def provenance(repo: str, config: str | None, revision: str | None, split: str,
 
 
 def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """A custom corpus, one labelled request a line with its number in the field `line`: a row for each question.
+    """A custom corpus, one labelled request a line: a row for each question, with the file and the line's number in it (from 0).
 
-    state and instructions stay JSON text; label as text; criteria as keys and descriptions by type. Lines are read
-    whole and parsed by a schema of maps, whose order is the file's.
+    state is JSON, of any type; text is how it reads; instructions and descriptions are texts already. hashes are of the
+    state's text and of each of its strings of five words or more. gold is the key that the label names; valid tells
+    whether there is one. Blank lines are skipped; a line that is no request is one row without a question.
+    """
+    lines = text_lines(spark, path).where(F.trim("value") != "").withColumn("r", py.labelled_request("value"))
+    rows = lines.select("file", "line", "r.state", "r.text", "r.hashes", "r.schema_family", "r.notes", F.explode_outer("r.questions").alias("q"))
+    fields = ("qid", "type", "instructions", "keys", "descriptions", "gold")
+    return rows.select("file", "line", "state", "text", "hashes", "schema_family", "notes", *(F.col(f"q.{c}").alias(c) for c in fields), F.col("q.gold").isNotNull().alias("valid"))
+
+
+def custom_records(lines: DataFrame, name: str, seed: int, forbidden: DataFrame, spec: Mapping[str, int] = SPLIT_SPEC, several: bool = False) -> DataFrame:
+    """Questions of a custom corpus with record and group ids and splits, and `excluded`: whether any of the state's hashes is among forbidden (hash).
+
+    A forbidden text in one field of a state excludes it as the whole text does. Record ids are the corpus' name and the line; with
+    several files also the file's name.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    top = F.from_json("value", "line long, state string, questions map<string,string>, schema_family string, notes string")
-    rows = lines.select(top.alias("r")).select("r.line", "r.state", "r.schema_family", "r.notes", F.explode("r.questions").alias("qid", "q"))
-    kind = F.get_json_object("q", "$.type")
-    criteria = F.from_json(F.get_json_object("q", "$.criteria"), "map<string,string>")
-    levels = F.from_json(F.get_json_object("q", "$.criteria"), "array<string>")
-    names = F.when(kind == "choice", F.map_keys(criteria)).when(kind == "score", levels)
-    keys = qs.question_keys(kind, names)
-    meant = F.array(*(F.try_element_at(criteria, F.lit(k)) for k in ("false", "true")))
-    said = F.when(kind == "choice", F.map_values(criteria)).when(kind == "score", levels).otherwise(meant)
-    label = F.get_json_object("q", "$.label")
-    gold = F.when(kind == "score", F.coalesce(F.when(F.array_contains(keys, label), label), (F.array_position(levels, label) - 1).cast("string"))).otherwise(label)
-    out = rows.select("line", "state", "schema_family", "notes", "qid", kind.alias("type"), F.get_json_object("q", "$.instructions").alias("instructions"), keys.alias("keys"), said.alias("descriptions"), gold.alias("gold"))
-    return out.withColumn("valid", F.coalesce(F.array_contains("keys", F.col("gold")), F.lit(False)))
-
-
-def custom_records(lines: DataFrame, name: str, seed: int, forbidden: DataFrame, spec: Mapping[str, int] = SPLIT_SPEC) -> DataFrame:
-    """Questions of a custom corpus with record and group ids and splits; states whose text is among forbidden (text_sha256) go."""
     if dict(spec) != SPLIT_SPEC:
         raise ValueError(f"splits are {SPLIT_SPEC}")
-    text = py.render_content("state")
-    rows = lines.withColumn("text_sha256", tx.text_hash(text)).withColumn("group_id", tx.group_id(F.lit(name), text))
-    rows = rows.join(forbidden.select("text_sha256").distinct(), "text_sha256", "left_anti")
-    return rows.select(F.concat(F.lit(f"{name}/"), F.col("line").cast("string")).alias("record_id"), "group_id", F.lit(name).alias("source_family"), tx.split_of(F.col("group_id"), seed).alias("split"), *[c for c in lines.columns if c != "line"], "text_sha256")
+    file = F.regexp_extract("file", r"([^/]*)$", 1)
+    record = F.concat_ws("/", F.lit(name), file, F.col("line").cast("string")) if several else F.concat_ws("/", F.lit(name), F.col("line").cast("string"))
+    rows = lines.withColumns({"record_id": record, "text_sha256": py.casefold_hash("text")})
+    rows = rows.withColumn("group_id", F.concat(F.lit(f"{name}/"), F.substring("text_sha256", 1, 20)))
+    hit = leakage.colliding(rows.select("record_id", "hashes").distinct(), "record_id", "hashes", forbidden).withColumn("excluded", F.lit(True))
+    rows = rows.join(hit, "record_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
+    return rows.select("record_id", "group_id", F.lit(name).alias("source_family"), tx.split_of(F.col("group_id"), seed).alias("split"), *lines.columns, "text_sha256", "excluded")
+
+
+def custom_report(records: DataFrame) -> DataFrame:
+    """By corpus: lines read, those that are excluded for a forbidden text, and by reason those without a valid label or question."""
+    line = records.groupBy("source_family", "record_id").agg(F.first("excluded").alias("excluded"), F.count("qid").alias("questions"), F.count_if(~F.col("valid")).alias("invalid"))
+    return line.groupBy("source_family").agg(F.count("*").alias("read"), F.count_if("excluded").alias("excluded_text_collision"), F.count_if((F.col("questions") == 0) & ~F.col("excluded")).alias("no_question"), F.sum(F.when(~F.col("excluded") & (F.col("questions") > 0), F.col("invalid")).otherwise(0)).cast("long").alias("invalid_labels"))
 
 
 def panel_files(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
