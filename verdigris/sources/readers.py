@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verdigris.sources import digests
+
 
 @dataclass(frozen=True)
 class Source:
@@ -65,14 +66,17 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_digest(spark: SparkSession, path: str) -> str:
-    """A SHA-256 over the folder's files, by name and content digest; contents stay on the executors."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
-    listed = [(r["name"], r["digest"]) for r in files.orderBy("name").collect()]
-    return hashlib.sha256(repr(listed).encode()).hexdigest()
+    """A digest over all files under a path, by byte ranges, files and folders; contents stay on the executors."""
+    return digests.tree_digest(spark, path)
+
+
+def watched(spark: SparkSession, path: str, records: int, digest: str) -> digests.Watched:
+    """A stored split that is checked against its manifest's entry in the scan that reads it: use its rows, then check()."""
+    return digests.Watched(spark.read.parquet(path), records, digest, path)
 
 
 def verified(spark: SparkSession, path: str, records: int, digest: str | None = None) -> DataFrame:
-    """A stored split whose row count (and digest) must be those of its manifest."""
+    """A stored split whose row count (and the digest of its files) must be those of its manifest; read here once for that."""
     rows = spark.read.parquet(path)
     found = rows.count()
     if found != records:
