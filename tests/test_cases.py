@@ -1,12 +1,15 @@
 """Generated cases against labels read back from their texts alone."""
 
+import itertools
 import json
 import re
 from collections import Counter
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from verdigris.functions import policy as pl
 from verdigris.operators import cases
 
 PAIRS = 12
@@ -122,3 +125,57 @@ def test_other_shapes_and_styles(spark):
     shapes = ("disjunction", "conditional", "nested_or", "final_negation")
     rows = cases.compositions(spark, 3, 5, shapes, styles=(1, 2, 3, 4)).collect()
     assert len(rows) == 4 * 3 * len(shapes) and all("{" not in r["state"][1:] for r in rows)
+
+
+def test_every_group_of_rare_deciding_facts_has_cases(spark):
+    """Shapes in which a draw seldom decides: all groups have their four cases, whose labels hold for the facts told."""
+    ids = spark.range(400).select((F.col("id") * 14 + 6).alias("id"))  # all of nested_and
+    rows = cases.compositions(spark, ids, 11, styles=(0,)).collect()
+    assert Counter((r["family"], r["pair_kind"], r["sibling"]) for r in rows) == {("nested_and", k, x): 400 for k in ("relevant", "irrelevant") for x in "ab"}
+    golds = {}
+    for r in rows:
+        state = json.loads(r["state"])
+        facts = dict(re.fullmatch(r"The (.+) is (.+)", s).groups() for s in state["case"].rstrip(".").split(". "))
+        rule = re.fullmatch(r"Approve exactly when \(\((.+)\) AND \((.+)\)\) AND \((.+)\)\. Otherwise deny\..*", state["policy"]).groups()
+        assert all(holds(w, facts) for w in rule) == (r["gold"] == "accept")
+        golds.setdefault((r["group_id"], r["pair_kind"]), set()).add(r["gold"])
+    assert all(len(g) == (2 if kind == "relevant" else 1) for (_, kind), g in golds.items())
+
+
+@pytest.mark.parametrize("shape", list(pl.SHAPES))
+def test_deciding_vectors(spark, shape):
+    """The tree's values by plain Python equal the compiled columns', and the deciding atoms are those that a search finds."""
+    tree = pl.SHAPES[shape]
+    n = max(pl.used_atoms(tree)) + 1
+    every = list(itertools.product((True, False, None), repeat=n))
+    table = spark.createDataFrame(every, ",".join(f"a{i} boolean" for i in range(n)))
+    got = {tuple(r)[:n]: r["v"] for r in table.withColumn("v", pl.compiled(tree, [F.col(f"a{i}") for i in range(n)])).collect()}
+    assert got == {t: pl.evaluated(tree, t) for t in every}
+    change = lambda t, i, v: (*t[:i], v, *t[i + 1 :])
+    want = [(t, tuple(i for i in pl.used_atoms(tree) if got[change(t, i, not t[i])] != got[t] and got[change(t, i, None)] is None)) for t in every if None not in t]
+    assert pl.deciding_vectors(tree) == [(t, d) for t, d in want if d] and pl.deciding_vectors(tree)
+
+
+def test_drawn_facts_are_uniform_among_the_deciding(spark):
+    """Of two atoms under `and`, the combinations come as often as they have assignments."""
+    rows = cases.compositions(spark, 3000, 5, ("conjunction",), styles=(0,)).where("pair_kind = 'relevant' and sibling = 'a'").collect()
+    seen, want, total = Counter(), Counter(), 0
+    for r in rows:
+        state = json.loads(r["state"])
+        facts = dict(re.fullmatch(r"The (.+) is (.+)", s).groups() for s in state["case"].rstrip(".").split(". "))
+        words = re.fullmatch(r"Approve exactly when \((.+)\) AND \((.+)\)\. Otherwise.*", state["policy"]).groups()
+        seen[tuple(holds(w, facts) for w in words)] += 1
+        ways = [{"less": (1, 4), "at m": (2, 3), "grea": (3, 2), "at l": (4, 1), "equa": (1, 4), "betw": (3, 2)}.get(w.split(" is ")[-1][:4], (2, 2) if "elapsed" in w else (1, 1) if w.endswith("is yes") else (3, 6)) for w in words]
+        own = {(True, True): ways[0][0] * ways[1][0], (True, False): ways[0][0] * ways[1][1], (False, True): ways[0][1] * ways[1][0]}
+        for k, v in own.items():
+            want[k] += v / sum(own.values())
+        total += 1
+    assert seen.keys() == want.keys() and all(abs(seen[k] - want[k]) < 5 * total**0.5 for k in want)
+
+
+def test_pairs_of_a_table(spark):
+    ids = spark.createDataFrame([(k * 10_007,) for k in range(44)], "id long")
+    rows, report = cases.contrastive(spark, ids, 3)
+    found = rows.collect()
+    assert len(found) == 88 and {r["family"] for r in found} == {f for k, f in enumerate(cases.FAMILIES) if any(i * 10_007 % 11 == k for i in range(44))}
+    assert sum(r["n"] for r in report.collect()) == 44 and len({r["group_id"] for r in found}) == 44

@@ -5,6 +5,7 @@ Unknown is null: SQL's three-valued logic is the one that rules need.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -27,8 +28,18 @@ SHAPES: dict[str, object] = {
     "final_negation": ("not", ("or", ("and", 0, 1), 2)),
     "final_exception": ("or", ("unless", 0, 1), 2),
 }
-#: Wording of comparisons.
-COMPARED = {"lt": "less than", "le": "at most", "gt": "greater than", "ge": "at least", "eq": "equal to"}
+#: An atom in words, by kind: its fields by number, its threshold t, and t + 10 as u.
+ATOM_WORDS = {
+    "lt": "{0} is less than {t}",
+    "le": "{0} is at most {t}",
+    "gt": "{0} is greater than {t}",
+    "ge": "{0} is at least {t}",
+    "eq": "{0} is equal to {t}",
+    "range": "{0} is between {t} and {u}, including both endpoints",
+    "match": "{0} is the same person as {1}",
+    "elapsed": "the elapsed days from {0} to {1} are at most {t}",
+    "flag": "{0} is yes",
+}
 
 
 def atom(kind: str, x: Column, threshold: Column | None = None, other: Column | None = None) -> Column:
@@ -58,6 +69,35 @@ def compiled(tree: object, atoms: Sequence[Column]) -> Column:
     return {"not": lambda: ~v[0], "and": lambda: v[0] & v[1], "or": lambda: v[0] | v[1], "unless": lambda: v[0] & ~v[1]}[kind]()
 
 
+def evaluated(tree: object, truths: Sequence[bool | None]) -> bool | None:
+    """The tree's value for atoms that are true, false or unknown (None)."""
+    if isinstance(tree, int):
+        return truths[tree]
+    kind, *below = tree
+    v = [evaluated(t, truths) for t in below]
+    if kind == "if":
+        return v[1] if v[0] or (v[0] is None and v[1] is v[2]) else None if v[0] is None else v[2]
+    if kind == "not":
+        return None if v[0] is None else not v[0]
+    if kind == "unless":
+        kind, v = "and", [v[0], None if v[1] is None else not v[1]]
+    wins = kind == "or"
+    return wins if wins in v else None if None in v else not wins
+
+
+def deciding_vectors(tree: object) -> list[tuple[tuple[bool, ...], tuple[int, ...]]]:
+    """Every way for the tree's atoms to be true or false in which an atom decides, with the atoms that do: its opposite changes the value, and without it the value is unknown."""
+    used = used_atoms(tree)
+    out = []
+    for truths in itertools.product((True, False), repeat=max(used) + 1):
+        value = evaluated(tree, truths)
+        with_one = lambda i, t, truths=truths: evaluated(tree, [*truths[:i], t, *truths[i + 1 :]])
+        deciding = tuple(i for i in used if with_one(i, not truths[i]) != value and with_one(i, None) is None)
+        if deciding:
+            out.append((truths, deciding))
+    return out
+
+
 def used_atoms(tree: object) -> list[int]:
     """Atom numbers in order of first use."""
     if isinstance(tree, int):
@@ -66,14 +106,7 @@ def used_atoms(tree: object) -> list[int]:
 
 
 def atom_text(kind: str, fields: Sequence[str], threshold: int | None = None) -> str:
-    if kind in COMPARED:
-        return f"{fields[0]} is {COMPARED[kind]} {threshold}"
-    return {
-        "range": lambda: f"{fields[0]} is between {threshold} and {threshold + 10}, including both endpoints",
-        "match": lambda: f"{fields[0]} is the same person as {fields[1]}",
-        "elapsed": lambda: f"the elapsed days from {fields[0]} to {fields[1]} are at most {threshold}",
-        "flag": lambda: f"{fields[0]} is yes",
-    }[kind]()
+    return ATOM_WORDS[kind].format(*fields, t=threshold, u=None if threshold is None else threshold + 10)
 
 
 #: Surface forms of each operation by style; styles 1 and 2 read the same.

@@ -9,13 +9,14 @@ from __future__ import annotations
 import string
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import mul, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import policy as pl
 from verdigris.functions import text as tx
+from verdigris.store import numbered
 
 #: What names, roles, things and programmes are drawn from.
 NAMES = ("Mira", "Noah", "Priya", "Tomas", "Aiko", "Lena", "Omar", "Sana", "Jonas", "Ravi", "Elin", "Kofi")
@@ -172,11 +173,11 @@ def _side(family: str, side: str) -> tuple[Column, Column, Column, Column]:
     return sentences, label(facts), known, ~label(facts).eqNullSafe(label(dict(facts)))
 
 
-def candidates(spark: SparkSession, family: str, n: int, seed: int) -> DataFrame:
-    """n drawn pairs of a family: id, policy, sentences, labels, and why the pair is rejected (null: it isn't)."""
+def candidates(ids: DataFrame, family: str, seed: int) -> DataFrame:
+    """A drawn pair of a family for each id: id, policy, sentences, labels, and why the pair is rejected (null: it isn't)."""
     own = FAMILIES[family]
     u = lambda name: uniform(seed, f"{family}:{name}", F.col("id"))
-    rows = spark.range(n)
+    rows = ids.select("id")
     for names, values in own["choose"].items():
         chosen = F.floor(u(names) * len(values)).cast("int")
         several = names.split(",")
@@ -198,31 +199,42 @@ def candidates(spark: SparkSession, family: str, n: int, seed: int) -> DataFrame
     return rows.select("*", why.alias("why"))
 
 
-def contrastive(spark: SparkSession, pairs: int, seed: int, families: Sequence[str] = tuple(FAMILIES), tries: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Two cases a pair, `pairs` checked pairs of each family, and a report (family, why, n) of the pairs drawn.
+def contrastive(spark: SparkSession, pairs: int | DataFrame, seed: int, families: Sequence[str] = tuple(FAMILIES), tries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Two cases a pair and a report (family, why, n) of the pairs drawn; both cases tell their sentences in one drawn order.
 
-    The first valid ones of `tries` times as many candidates are taken; if a family has too few the report is
-    looked at and a ValueError raised. Both cases tell their sentences in one drawn order.
+    pairs: how many checked pairs of each family; the first valid ones of `tries` times as many candidates are taken, and if a
+    family has too few a ValueError is raised. Or a table of ids: each gives a pair of one family, dealt by the id, whose name has
+    the id; pairs that the checks reject are only in the report.
     """
     cases, reports = [], []
+    drawn, table = {}, not isinstance(pairs, int)
+    for k, family in enumerate(families):
+        ids = pairs.where(F.pmod("id", F.lit(len(families))) == k) if table else spark.range(pairs * tries)
+        drawn[family] = candidates(ids, family, seed)
+        reports.append(drawn[family].groupBy(F.lit(family).alias("family"), "why").agg(F.count("*").alias("n")))
+    report = reduce(DataFrame.unionByName, reports)
+    if not table:
+        reasons = {(r["family"], r["why"]): r["n"] for r in report.collect()}  # a row for each family and reason
+        short = [f for f in families if reasons.get((f, None), 0) < pairs]
+        if short:
+            raise ValueError(f"too few valid pairs: {short}")
     for family in families:
         kind, ask, options = FAMILIES[family]["ask"]
-        drawn = candidates(spark, family, pairs * tries, seed)
-        reports.append(drawn.groupBy(F.lit(family).alias("family"), "why").agg(F.count("*").alias("n")))
-        kept = drawn.where(F.col("why").isNull()).withColumn("rank", F.row_number().over(Window.orderBy("id"))).where(F.col("rank") <= pairs)
+        kept = drawn[family].where(F.col("why").isNull())
+        if table:
+            kept = kept.withColumn("rank", F.col("id"))
+        elif all(why is None for f, why in reasons if f == family):
+            kept = kept.withColumn("rank", F.col("id")).where(F.col("rank") < pairs)
+        else:
+            kept = numbered(kept, "id", name="rank").where(F.col("rank") < pairs)
         order = F.array_sort(F.array(*(F.struct(uniform(seed, f"{family}:order{i}", F.col("id")).alias("u"), F.lit(i).alias("i")) for i in range(3))))
-        name = F.concat(F.lit(f"contrastive/{family}/{seed}-{family}-"), F.lpad((F.col("rank") - 1).cast("string"), 4, "0"))
+        name = F.concat(F.lit(f"contrastive/{family}/{seed}-{family}-"), F.format_string("%04d", F.col("rank").cast("long")))
         sides = F.array(*(F.struct(F.lit(s).alias("sibling"), F.col(f"sentences_{s}").alias("sentences"), F.col(f"label_{s}").alias("gold")) for s in "ab"))
         told = kept.withColumn("order", order).select(name.alias("group_id"), "policy", "order", F.inline(sides))
         case = F.array_join(F.transform("order", lambda x: F.get("sentences", x["i"])), " ")
         keys = ["false", "true"] if kind == "noul" else [k for k, _ in options] if kind == "choice" else [str(i) for i in range(len(options))]
         said = [None, None] if kind == "noul" else [d for _, d in options] if kind == "choice" else options
         cases.append(told.select(F.concat("group_id", F.lit("/"), "sibling").alias("record_id"), "group_id", F.lit(family).alias("family"), "sibling", F.to_json(F.struct("policy", case.alias("case"))).alias("state"), F.lit(kind).alias("type"), F.lit(ask).alias("instructions"), F.array(*(F.lit(k) for k in keys)).alias("keys"), F.array(*(F.lit(d).cast("string") for d in said)).alias("descriptions"), "gold", F.lit(f"contrastive_{family}").alias("task")))
-    report = reduce(DataFrame.unionByName, reports)
-    valid = {r["family"]: r["n"] for r in report.where(F.col("why").isNull()).collect()}
-    short = [f for f in families if valid.get(f, 0) < pairs]
-    if short:
-        raise ValueError(f"too few valid pairs: {short}")
     return reduce(DataFrame.unionByName, cases), report
 
 
@@ -275,63 +287,83 @@ def _flipping(i: int, k: int):
 
 def _atom_words(i: int) -> Column:
     """The atom in words."""
-    noun, kind = F.col(f"noun{i}"), F.col(f"kind{i}")
-    said = {k: filled("{noun} value is " + w + f" {{t{i}}}", {"noun": noun}) for k, w in pl.COMPARED.items()}
-    said["range"] = filled(f"{{noun}} value is between {{t{i}}} and {{t{i} + 10}}, including both endpoints", {"noun": noun})
-    said["match"] = filled("{noun} signer is the same person as {noun} designated approver", {"noun": noun})
-    said["elapsed"] = filled(f"the elapsed days from {{noun}} start date to {{noun}} end date are at most {{t{i}}}", {"noun": noun})
-    said["flag"] = filled("{noun} verified is yes", {"noun": noun})
-    return F.coalesce(*(F.when(kind == k, v) for k, v in said.items()))
+    kind = F.col(f"kind{i}")
+    fields = {"match": ("signer", "designated approver"), "elapsed": ("start date", "end date"), "flag": ("verified",)}
+    numbers = {"t": F.col(f"t{i}"), "u": F.col(f"t{i}") + 10}
+    named = lambda k: {str(n): F.concat(F.col(f"noun{i}"), F.lit(f" {field}")) for n, field in enumerate(fields.get(k, ("value",)))}
+    return F.coalesce(*(F.when(kind == k, filled(words, numbers | named(k))) for k, words in pl.ATOM_WORDS.items()))
+
 
+def _assignments(i: int) -> Column:
+    """All values that an atom's facts can take together, as text, with whether the atom holds."""
+    first, second = F.get(f"f{i}", F.lit(0))["values"], F.coalesce(F.get(f"f{i}", F.lit(1))["values"], F.array(F.lit(None).cast("string")))
+    both = lambda x: F.transform(second, lambda y: F.struct(x.alias("first"), y.alias("second"), F.coalesce(_holds(i, x, y), F.lit(False)).alias("holds")))
+    return F.flatten(F.transform(first, both))
 
-def compositions(spark: SparkSession, groups: int, seed: int, shapes: Sequence[str] = tuple(pl.SHAPES), styles: Sequence[int] = (0, 1), tries: int = 24) -> DataFrame:
-    """Four cases a group of each shape: a pair that differs in one deciding fact, and one that differs in the routing reference.
 
-    Of `tries` draws of a group's facts the first is taken that has a deciding fact: another of its possible
-    values changes the label, and without it the label is unknown. Fields and values are tried in a drawn order.
-    All draws are columns, so a group is a row; a ValueError tells if one has no such draw.
+def _deciding_draw(rows: DataFrame, tree: object, u) -> DataFrame:
+    """rows with drawn facts (v{i}0, v{i}1) and what holds of each atom (a{i}), uniform among all assignments in which some atom decides.
+
+    The tree tells which combinations of true and false atoms have a deciding one; each is as likely as it has
+    assignments, the product over the atoms of those that make it so. One is picked by that weight, then each
+    atom's facts among its own: exact, without a rejected try.
+    """
+    vectors = [truths for truths, _ in pl.deciding_vectors(tree)]
+    count = len(vectors[0])
+    rows = rows.withColumns({f"c{i}": _assignments(i) for i in range(count)})
+    rows = rows.withColumns({f"yes{i}": F.filter(f"c{i}", lambda c: c["holds"]) for i in range(count)} | {f"no{i}": F.filter(f"c{i}", lambda c: ~c["holds"]) for i in range(count)})
+    ways = [reduce(mul, (F.size(f"{'yes' if t else 'no'}{i}").cast("long") for i, t in enumerate(truths))) for truths in vectors]
+    rows = rows.withColumn("ways", F.array(*ways))
+    upto = F.transform(F.sequence(F.lit(1), F.size("ways")), lambda k: F.aggregate(F.slice("ways", F.lit(1), k), F.lit(0).cast("long"), lambda a, w: a + w))
+    rows = rows.withColumn("upto", upto)
+    at = F.floor(u("facts") * F.element_at("upto", -1))
+    rows = rows.withColumn("vector", F.size(F.filter("upto", lambda c: c <= at)))
+    rows = rows.withColumns({f"a{i}": F.get(F.array(*(F.lit(t[i]) for t in vectors)), F.col("vector")) for i in range(count)})
+    own = lambda i: F.when(F.col(f"a{i}"), F.col(f"yes{i}")).otherwise(F.col(f"no{i}"))
+    rows = rows.withColumns({f"v{i}": F.get(own(i), F.floor(u(f"facts{i}") * F.size(own(i))).cast("int")) for i in range(count)})
+    return rows.withColumns({f"v{i}{k}": F.col(f"v{i}")[name] for i in range(count) for k, name in enumerate(("first", "second"))})
+
+
+def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes: Sequence[str] = tuple(pl.SHAPES), styles: Sequence[int] = (0, 1)) -> DataFrame:
+    """Four cases a group: a pair that differs in one deciding fact, and one that differs in the routing reference.
+
+    groups: how many of each shape, or a table of ids, each of which gives a group of one shape, dealt by the id. A group's
+    facts are drawn among all those that have a deciding fact: another of its possible values changes the label, and
+    without it the label is unknown. Which one is changed is drawn too. All draws are columns, so a group is a row, and
+    every group has its cases.
     """
     out = []
-    for shape in shapes:
+    for number, shape in enumerate(shapes):
         tree = pl.SHAPES[shape]
         used = pl.used_atoms(tree)
         count = max(used) + 1
-        rows = spark.range(groups)
+        rows = spark.range(groups) if isinstance(groups, int) else groups.select("id").where(F.pmod("id", F.lit(len(shapes))) == number)
         u = lambda name, shape=shape: uniform(seed, f"{shape}:{name}", F.col("id"))
         rows = rows.select("id", *(c.alias(n) for n, c in _atoms(count, u).items()))
-        rows = rows.withColumns({f"f{i}": _fields(i) for i in range(count)}).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        v = lambda name, shape=shape: uniform(seed, f"{shape}:{name}", F.col("id"), F.col("try"))
-        drawn = lambda i, k: F.get(F.get(f"f{i}", F.lit(k))["values"], F.floor(v(f"fact{i}.{k}") * F.size(F.get(f"f{i}", F.lit(k))["values"])).cast("int"))
-        rows = rows.withColumns({f"v{i}{k}": drawn(i, k) for i in range(count) for k in (0, 1)})
-        rows = rows.withColumns({f"a{i}": _holds(i, F.col(f"v{i}0"), F.col(f"v{i}1")) for i in range(count)})
+        rows = _deciding_draw(rows.withColumns({f"f{i}": _fields(i) for i in range(count)}), tree, u)
         atoms = [F.col(f"a{i}") for i in range(count)]
-        none = F.lit(None).cast("boolean")
         rows = rows.withColumn("label", pl.compiled(tree, atoms))
         edits = []
+        deciding = {i: [k for k, (_, which) in enumerate(pl.deciding_vectors(tree)) if i in which] for i in used}
         for i in used:
-            swap = lambda x, i=i: [x if j == i else a for j, a in enumerate(atoms)]
-            decides = (pl.compiled(tree, swap(~F.col(f"a{i}"))) != F.col("label")) & pl.compiled(tree, swap(none)).isNull()
+            decides = F.col("vector").isin(deciding[i])
             for k in (0, 1):
                 values = F.coalesce(F.get(f"f{i}", F.lit(k))["values"], F.array().cast("array<string>"))
                 flips = F.filter(values, _flipping(i, k))
-                own = F.struct(v(f"edit{i}.{k}").alias("u"), F.get(f"f{i}", F.lit(k))["field"].alias("field"), F.get(flips, F.lit(0)).alias("value"))
+                own = F.struct(u(f"edit{i}.{k}").alias("u"), F.get(f"f{i}", F.lit(k))["field"].alias("field"), F.get(flips, F.lit(0)).alias("value"))
                 edits.append(F.when(decides & (F.size(flips) > 0), own))
         rows = rows.withColumn("edit", F.get(F.array_sort(F.filter(F.array(*edits), lambda e: e.isNotNull())), F.lit(0)))
         facts = [F.filter(F.array(*(F.struct(F.get(f"f{i}", F.lit(k))["field"].alias("field"), F.col(f"v{i}{k}").alias("value")) for i in range(count) for k in (0, 1))), lambda x: x["field"].isNotNull())]
         low, high = whole(u("routing low"), F.lit(100), F.lit(500)), whole(u("routing high"), F.lit(501), F.lit(999))
-        other = v("routing") < 0.5
+        other = u("routing") < 0.5
         routing = F.array(F.struct(F.lit("routing reference").alias("field"), F.when(other, low).otherwise(high).cast("string").alias("value")))
         chosen = rows.withColumn("facts", F.concat(*facts, routing)).withColumn("moved", F.when(other, high).otherwise(low).cast("string"))
         style = pick(tuple(styles), u("style"))
         worded = {f"rule{i}": _atom_words(i) for i in range(count)}
         texts = {s: filled(WRAPPERS[s].replace("{rule}", pl.rule_text(tree, [f"{{rule{i}}}" for i in range(count)], s)), worded) for s in styles}
         policy = F.coalesce(*(F.when(style == s, t) for s, t in texts.items()))
-        first = chosen.where(F.col("edit").isNotNull()).groupBy("id").agg(F.min_by(F.struct("facts", "edit", "label", "moved", policy.alias("policy")), "try").alias("x")).select("id", "x.*")
-        out.append(first.select(F.lit(shape).alias("family"), "id", "policy", "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned")))
+        out.append(chosen.select(F.lit(shape).alias("family"), "id", policy.alias("policy"), "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned")))
     every = reduce(DataFrame.unionByName, out)
-    found = every.groupBy("family").count().collect()
-    if any(r["count"] < groups for r in found) or len(found) < len(shapes):
-        raise ValueError("a group has no deciding fact in any draw")
     ordered = F.transform(F.array_sort(F.transform("facts", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), "family", F.col("id").cast("string"), x["field"]), 256).alias("h"), x.alias("x")))), lambda x: x["x"])
     edited = lambda field, value: F.transform("facts", lambda x: F.struct(x["field"].alias("field"), F.when(x["field"] == field, value).otherwise(x["value"]).alias("value")))
     every = every.withColumn("facts", ordered)

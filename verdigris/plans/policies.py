@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,14 +143,39 @@ def policy_kleene_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.inline(shapes)).groupBy("shape", "value").agg(F.count("*").alias("rows"))
 
 
-_ATOM_TEXTS = ["amount is at most 10", "age is between 20 and 30, including both endpoints", "signer is the same person as owner", "vip is yes"]
+#: The surface forms once more, written in SQL: operand numbers stand for the operands' texts.
+_SQL_FORMS = {
+    0: {"not": "'NOT (' || 0 || ')'", "and": "'(' || 0 || ') AND (' || 1 || ')'", "or": "'(' || 0 || ') OR (' || 1 || ')'", "unless": "'(' || 0 || ') holds and the exception (' || 1 || ') does not hold'", "if": "'if (' || 0 || '), use (' || 1 || '); otherwise use (' || 2 || ')'"},
+    1: {"not": "'it is not the case that (' || 0 || ')'", "and": "'both these conditions hold: [(' || 0 || '); (' || 1 || ')]'", "or": "'at least one of these conditions hold: [(' || 0 || '); (' || 1 || ')]'", "unless": "'(' || 0 || ') holds and the exception (' || 1 || ') does not hold'", "if": "'if (' || 0 || '), use (' || 1 || '); otherwise use (' || 2 || ')'"},
+    3: {"not": "'the condition \"' || 0 || '\" fails'", "and": "0 || ', and also ' || 1", "or": "'either ' || 0 || ', or else ' || 1", "unless": "0 || ', except when ' || 1", "if": "'when ' || 0 || ' the requirement is that ' || 1 || ', and when it is not the requirement is that ' || 2"},
+    4: {"not": "'[NOT: ' || 0 || ']'", "and": "'[ALL of: ' || 0 || ' | ' || 1 || ']'", "or": "'[ANY of: ' || 0 || ' | ' || 1 || ']'", "unless": "'[' || 0 || ' UNLESS ' || 1 || ']'", "if": "'[IF ' || 0 || ' THEN ' || 1 || ' ELSE ' || 2 || ']'"},
+}
+
+
+def _words_sql(tree: object, style: int) -> str:
+    if isinstance(tree, int):
+        return f"w{tree}"
+    form = _SQL_FORMS[{2: 1}.get(style, style)][tree[0]]
+    for n, operand in enumerate(tree[1:]):
+        form = re.sub(rf"(^|\|\| ){n}( \|\||$)", lambda m, x=operand: f"{m[1]}({_words_sql(x, style)}){m[2]}", form)
+    return form
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS shape, CAST({s} AS INTEGER) AS style, '{pl.rule_text(t, _ATOM_TEXTS, s)}' AS rule" for n, t in pl.SHAPES.items() for s in range(5)))
+@query(
+    """WITH w AS (SELECT o_orderkey, o_orderkey % 14 AS shape, (o_orderkey // 14) % 5 AS style, 'amount is at most ' || (o_custkey % 50) AS w0, 'age is between ' || (o_custkey % 40) || ' and ' || (o_custkey % 40 + 10) || ', including both endpoints' AS w1, 'signer is the same person as owner' AS w2, 'vip is yes' AS w3 FROM orders)
+    SELECT o_orderkey, CASE """
+    + " ".join(f"WHEN shape = {k} AND style = {s} THEN {_words_sql(t, s)}" for k, t in enumerate(pl.SHAPES.values()) for s in range(5))
+    + " END AS rule FROM w"
+)
 def policy_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every shape in every style; the tests hold the texts against hand-written ones."""
-    atoms = [pl.atom_text("le", ["amount"], 10), pl.atom_text("range", ["age"], 20), pl.atom_text("match", ["signer", "owner"]), pl.atom_text("flag", ["vip"])]
-    return spark.createDataFrame([(n, s, pl.rule_text(t, atoms, s)) for n, t in pl.SHAPES.items() for s in range(5)], "shape string, style int, rule string")
+    """A rule for each order, over atoms with its numbers, in one of all shapes and styles."""
+    amount, age = F.col("o_custkey") % 50, F.col("o_custkey") % 40
+    atoms = [("le", "amount", "{amount}", None), ("range", "age", "{low}", "{high}"), ("match", "signer", None, None), ("flag", "vip", None, None)]
+    words = [pl.ATOM_WORDS[kind].format(field, "owner", t=t, u=u) for kind, field, t, u in atoms]
+    columns = {"amount": amount, "low": age, "high": age + 10}
+    shape, style = F.col("o_orderkey") % len(pl.SHAPES), F.expr(f"o_orderkey div {len(pl.SHAPES)}") % 5
+    texts = {(k, s): cases.filled(pl.rule_text(t, words, s), columns) for k, t in enumerate(pl.SHAPES.values()) for s in range(5)}
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(*(F.when((shape == k) & (style == s), x) for (k, s), x in texts.items())).alias("rule"))
 
 
 @query(
@@ -163,16 +190,20 @@ def policy_pair_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.coalesce(reason, F.lit("accepted")).alias("reason")).groupBy("reason").agg(F.count("*").alias("pairs"))
 
 
+def _order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
 @query()
 def policy_composition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composed cases of three shapes: pairs that differ in a deciding fact, and in none that counts."""
-    return cases.compositions(spark, 20, 42, ("negation", "conjunction", "exception"))
+    """Composed cases, four an order, of all shapes in all styles: pairs that differ in a deciding fact, and in none that counts."""
+    return cases.compositions(spark, _order_ids(spark, sf_dir), 42, styles=(0, 1, 2, 3, 4))
 
 
 @query()
 def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checked contrastive pairs of all eleven families, with their texts."""
-    return cases.contrastive(spark, 50, 42)[0]
+    """Checked contrastive pairs, one an order, of all eleven families, with their texts."""
+    return cases.contrastive(spark, _order_ids(spark, sf_dir), 42)[0]
 
 
 def _u(name: str) -> str:
@@ -188,18 +219,18 @@ def _chosen(values: str, name: str) -> str:
       {_chosen("['Mira','Noah','Priya','Tomas','Aiko','Lena','Omar','Sana','Jonas','Ravi','Elin','Kofi']", "name")} AS name,
       {_chosen("[120, 450, 980, 2300]", "amount")} AS amount, {_chosen("['bank transfer','card','cheque']", "method")} AS method,
       CAST(floor({_u("level")} * 3) AS INTEGER) AS one, CAST(floor({_u("other")} * 2) AS INTEGER) AS step, {_u("value_a")} AS ua, {_u("value_b")} AS ub,
-      [{_u("order0")}, {_u("order1")}, {_u("order2")}] AS o FROM range(40) AS r(id)),
+      [{_u("order0")}, {_u("order1")}, {_u("order2")}] AS o FROM (SELECT o_orderkey AS id FROM orders)),
     s AS (SELECT *, 'a' AS sibling, one AS level, ua AS u FROM d UNION ALL SELECT *, 'b', (one + 1 + step) % 3, ub FROM d),
     v AS (SELECT *, CASE level WHEN 0 THEN 0 WHEN 1 THEN grace + 1 ELSE cap + 1 END AS low, CASE level WHEN 0 THEN grace WHEN 1 THEN cap ELSE cap + 60 END AS high FROM s),
     w AS (SELECT *, low + CAST(floor(u * (high - low + 1)) AS INTEGER) AS days FROM v),
     t AS (SELECT *, [name || chr(39) || 's invoice for $' || format('{{:,}}', amount) || ' fell due last quarter.', 'Payment was received ' || days || ' days after the due date.', 'The payment was made by ' || method || '.'] AS told FROM w)
-    SELECT 'contrastive/late_fee/42-late_fee-' || lpad(id::VARCHAR, 4, '0') || '/' || sibling AS record_id, CAST(level AS VARCHAR) AS gold,
+    SELECT 'contrastive/late_fee/42-late_fee-' || CASE WHEN id < 1000 THEN lpad(id::VARCHAR, 4, '0') ELSE id::VARCHAR END || '/' || sibling AS record_id, CAST(level AS VARCHAR) AS gold,
       'Invoices paid within ' || grace || ' days after the due date incur no fee. Payments between ' || (grace + 1) || ' and ' || cap || ' days late incur a 2% fee. Payments later than ' || cap || ' days incur a 10% fee and a hold on the account.' AS policy,
       array_to_string(list_transform(list_sort([{{'u': o[1], 'i': 1}}, {{'u': o[2], 'i': 2}}, {{'u': o[3], 'i': 3}}]), lambda x: told[x.i]), ' ') AS case_text FROM t"""
 )
 def contrastive_late_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One family's pairs with texts and gold levels, whose draws SQL can repeat."""
-    rows = cases.contrastive(spark, 40, 42, ("late_fee",))[0]
+    rows = cases.contrastive(spark, _order_ids(spark, sf_dir), 42, ("late_fee",))[0]
     state = F.from_json("state", "policy string, case string")
     return rows.select("record_id", "gold", state["policy"].alias("policy"), state["case"].alias("case_text"))
 
