@@ -301,27 +301,37 @@ def _assignments(i: int) -> Column:
     return F.flatten(F.transform(first, both))
 
 
-def _deciding_draw(rows: DataFrame, tree: object, u) -> DataFrame:
-    """rows with drawn facts (v{i}0, v{i}1) and what holds of each atom (a{i}), uniform among all assignments in which some atom decides.
+def _nested(values: Sequence) -> Column:
+    """Nested sequences of plain values as an array of arrays."""
+    return F.array(*(F.lit(v) if isinstance(v, str | bool | int) else _nested(v) for v in values))
 
-    The tree tells which combinations of true and false atoms have a deciding one; each is as likely as it has
-    assignments, the product over the atoms of those that make it so. One is picked by that weight, then each
-    atom's facts among its own: exact, without a rejected try.
+
+def _deciding_draw(rows: DataFrame, shapes: Sequence[str], width: int, u) -> DataFrame:
+    """rows (number: of the shape) with drawn facts (v{i}0, v{i}1), what holds of each atom (a{i}), the label, and which atoms decide.
+
+    Uniform among all assignments in which some atom decides: the shape's tree tells which combinations of true and false
+    atoms have a deciding one; each is as likely as it has assignments, the product over the atoms of those that make it
+    so. One is picked by that weight, then each atom's facts among its own: exact, without a rejected try.
     """
-    vectors = [truths for truths, _ in pl.deciding_vectors(tree)]
-    count = len(vectors[0])
-    rows = rows.withColumns({f"c{i}": _assignments(i) for i in range(count)})
-    rows = rows.withColumns({f"yes{i}": F.filter(f"c{i}", lambda c: c["holds"]) for i in range(count)} | {f"no{i}": F.filter(f"c{i}", lambda c: ~c["holds"]) for i in range(count)})
-    ways = [reduce(mul, (F.size(f"{'yes' if t else 'no'}{i}").cast("long") for i, t in enumerate(truths))) for truths in vectors]
-    rows = rows.withColumn("ways", F.array(*ways))
-    upto = F.transform(F.sequence(F.lit(1), F.size("ways")), lambda k: F.aggregate(F.slice("ways", F.lit(1), k), F.lit(0).cast("long"), lambda a, w: a + w))
-    rows = rows.withColumn("upto", upto)
-    at = F.floor(u("facts") * F.element_at("upto", -1))
-    rows = rows.withColumn("vector", F.size(F.filter("upto", lambda c: c <= at)))
-    rows = rows.withColumns({f"a{i}": F.get(F.array(*(F.lit(t[i]) for t in vectors)), F.col("vector")) for i in range(count)})
+    trees = [pl.SHAPES[n] for n in shapes]
+    known = [pl.deciding_vectors(t) for t in trees]
+    of = lambda values: F.get(_nested(values), F.col("number"))
+    rows = rows.withColumns({f"c{i}": _assignments(i) for i in range(width)})
+    rows = rows.withColumns({f"yes{i}": F.filter(f"c{i}", lambda c: c["holds"]) for i in range(width)} | {f"no{i}": F.filter(f"c{i}", lambda c: ~c["holds"]) for i in range(width)})
+    sizes = F.array(*(F.struct(F.size(f"yes{i}").cast("long").alias("yes"), F.size(f"no{i}").cast("long").alias("no")) for i in range(width)))
+    rows = rows.withColumns({"sizes": sizes, "vectors": of([[list(truths) for truths, _ in v] for v in known])})
+    chosen = lambda v: F.zip_with(v, F.slice("sizes", F.lit(1), F.size(v)), lambda t, n: F.when(t, n["yes"]).otherwise(n["no"]))
+    rows = rows.withColumn("ways", F.transform("vectors", lambda v: F.aggregate(chosen(v), F.lit(1).cast("long"), lambda a, n: a * n)))
+    rows = rows.withColumn("upto", F.transform(F.sequence(F.lit(1), F.size("ways")), lambda k: F.aggregate(F.slice("ways", F.lit(1), k), F.lit(0).cast("long"), lambda a, w: a + w)))
+    rows = rows.withColumn("at", F.floor(u("facts") * F.element_at("upto", -1)))
+    rows = rows.withColumn("vector", F.size(F.filter("upto", lambda c: c <= F.col("at"))))
+    labels = [[pl.evaluated(t, truths) for truths, _ in v] for t, v in zip(trees, known, strict=True)]
+    which = [[[i in d for i in range(width)] for _, d in v] for v in known]
+    rows = rows.withColumns({"label": F.get(of(labels), F.col("vector")), "deciding": F.get(of(which), F.col("vector")), "truths": F.get("vectors", F.col("vector"))})
+    rows = rows.withColumns({f"a{i}": F.get("truths", F.lit(i)) for i in range(width)})
     own = lambda i: F.when(F.col(f"a{i}"), F.col(f"yes{i}")).otherwise(F.col(f"no{i}"))
-    rows = rows.withColumns({f"v{i}": F.get(own(i), F.floor(u(f"facts{i}") * F.size(own(i))).cast("int")) for i in range(count)})
-    return rows.withColumns({f"v{i}{k}": F.col(f"v{i}")[name] for i in range(count) for k, name in enumerate(("first", "second"))})
+    rows = rows.withColumns({f"v{i}": F.get(own(i), F.floor(u(f"facts{i}") * F.size(own(i))).cast("int")) for i in range(width)})
+    return rows.withColumns({f"v{i}{k}": F.col(f"v{i}")[name] for i in range(width) for k, name in enumerate(("first", "second"))})
 
 
 def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes: Sequence[str] = tuple(pl.SHAPES), styles: Sequence[int] = (0, 1)) -> DataFrame:
@@ -329,41 +339,36 @@ def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes
 
     groups: how many of each shape, or a table of ids, each of which gives a group of one shape, dealt by the id. A group's
     facts are drawn among all those that have a deciding fact: another of its possible values changes the label, and
-    without it the label is unknown. Which one is changed is drawn too. All draws are columns, so a group is a row, and
-    every group has its cases.
+    without it the label is unknown. Which one is changed is drawn too. All draws are columns of one projection, whatever the
+    shapes, so a group is a row, and every group has its cases.
     """
-    out = []
-    for number, shape in enumerate(shapes):
-        tree = pl.SHAPES[shape]
-        used = pl.used_atoms(tree)
-        count = max(used) + 1
-        rows = spark.range(groups) if isinstance(groups, int) else groups.select("id").where(F.pmod("id", F.lit(len(shapes))) == number)
-        u = lambda name, shape=shape: uniform(seed, f"{shape}:{name}", F.col("id"))
-        rows = rows.select("id", *(c.alias(n) for n, c in _atoms(count, u).items()))
-        rows = _deciding_draw(rows.withColumns({f"f{i}": _fields(i) for i in range(count)}), tree, u)
-        atoms = [F.col(f"a{i}") for i in range(count)]
-        rows = rows.withColumn("label", pl.compiled(tree, atoms))
-        edits = []
-        deciding = {i: [k for k, (_, which) in enumerate(pl.deciding_vectors(tree)) if i in which] for i in used}
-        for i in used:
-            decides = F.col("vector").isin(deciding[i])
-            for k in (0, 1):
-                values = F.coalesce(F.get(f"f{i}", F.lit(k))["values"], F.array().cast("array<string>"))
-                flips = F.filter(values, _flipping(i, k))
-                own = F.struct(u(f"edit{i}.{k}").alias("u"), F.get(f"f{i}", F.lit(k))["field"].alias("field"), F.get(flips, F.lit(0)).alias("value"))
-                edits.append(F.when(decides & (F.size(flips) > 0), own))
-        rows = rows.withColumn("edit", F.get(F.array_sort(F.filter(F.array(*edits), lambda e: e.isNotNull())), F.lit(0)))
-        facts = [F.filter(F.array(*(F.struct(F.get(f"f{i}", F.lit(k))["field"].alias("field"), F.col(f"v{i}{k}").alias("value")) for i in range(count) for k in (0, 1))), lambda x: x["field"].isNotNull())]
-        low, high = whole(u("routing low"), F.lit(100), F.lit(500)), whole(u("routing high"), F.lit(501), F.lit(999))
-        other = u("routing") < 0.5
-        routing = F.array(F.struct(F.lit("routing reference").alias("field"), F.when(other, low).otherwise(high).cast("string").alias("value")))
-        chosen = rows.withColumn("facts", F.concat(*facts, routing)).withColumn("moved", F.when(other, high).otherwise(low).cast("string"))
-        style = pick(tuple(styles), u("style"))
-        worded = {f"rule{i}": _atom_words(i) for i in range(count)}
-        texts = {s: filled(WRAPPERS[s].replace("{rule}", pl.rule_text(tree, [f"{{rule{i}}}" for i in range(count)], s)), worded) for s in styles}
-        policy = F.coalesce(*(F.when(style == s, t) for s, t in texts.items()))
-        out.append(chosen.select(F.lit(shape).alias("family"), "id", policy.alias("policy"), "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned")))
-    every = reduce(DataFrame.unionByName, out)
+    counts = [max(pl.used_atoms(pl.SHAPES[n])) + 1 for n in shapes]
+    width = max(counts)
+    if isinstance(groups, int):
+        rows = spark.range(groups).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(shapes) - 1))))
+    else:
+        rows = groups.select("id", F.pmod("id", F.lit(len(shapes))).cast("int").alias("number"))
+    rows = rows.withColumns({"family": F.get(_nested(list(shapes)), F.col("number")), "count": F.get(_nested(counts), F.col("number"))})
+    u = lambda name: tx.uniform(F.concat_ws(":", F.lit(str(seed)), "family", F.lit(name), F.col("id").cast("string")))
+    rows = rows.select("id", "number", "family", "count", *(c.alias(n) for n, c in _atoms(width, u).items()))
+    rows = _deciding_draw(rows.withColumns({f"f{i}": _fields(i) for i in range(width)}), shapes, width, u)
+    edits, facts = [], []
+    for i in range(width):
+        for k in (0, 1):
+            field = F.get(f"f{i}", F.lit(k))
+            flips = F.filter(F.coalesce(field["values"], F.array().cast("array<string>")), _flipping(i, k))
+            own = F.struct(u(f"edit{i}.{k}").alias("u"), field["field"].alias("field"), F.get(flips, F.lit(0)).alias("value"))
+            edits.append(F.when(F.get("deciding", F.lit(i)) & (F.size(flips) > 0), own))
+            facts.append(F.when((F.lit(i) < F.col("count")) & field.isNotNull(), F.struct(field["field"].alias("field"), F.col(f"v{i}{k}").alias("value"))))
+    low, high = whole(u("routing low"), F.lit(100), F.lit(500)), whole(u("routing high"), F.lit(501), F.lit(999))
+    other = u("routing") < 0.5
+    routing = F.struct(F.lit("routing reference").alias("field"), F.when(other, low).otherwise(high).cast("string").alias("value"))
+    drawn = {"facts": F.filter(F.array(*facts, routing), lambda x: x.isNotNull()), "moved": F.when(other, high).otherwise(low).cast("string"), "edit": F.get(F.array_sort(F.filter(F.array(*edits), lambda e: e.isNotNull())), F.lit(0))}
+    said = [[WRAPPERS[s].replace("{rule}", pl.rule_text(pl.SHAPES[n], [f"{{{i}}}" for i in range(4)], s)) for s in styles] for n in shapes]
+    policy = F.get(F.get(_nested(said), F.col("number")), F.floor(u("style") * len(styles)).cast("int"))
+    for i in range(width):
+        policy = F.replace(policy, F.lit(f"{{{i}}}"), F.coalesce(_atom_words(i), F.lit("")))
+    every = rows.withColumns(drawn).select("family", "id", policy.alias("policy"), "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned"))
     ordered = F.transform(F.array_sort(F.transform("facts", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), "family", F.col("id").cast("string"), x["field"]), 256).alias("h"), x.alias("x")))), lambda x: x["x"])
     edited = lambda field, value: F.transform("facts", lambda x: F.struct(x["field"].alias("field"), F.when(x["field"] == field, value).otherwise(x["value"]).alias("value")))
     every = every.withColumn("facts", ordered)
