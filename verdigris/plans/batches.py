@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.operators import attention, batching, epochs
 from verdigris.plans.encoding import LAYOUT_SQL, order_layouts
 from verdigris.session import table
+from verdigris.sources import workloads
 
 Q, SQL = {}, {}
 SEED, EPOCHS, ACCUMULATION, RATE, RISING = 42, 2, 32, 1e-4, 0.1
@@ -126,3 +127,16 @@ def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two epochs over the orders: each one's place, step, slot, weight and learning rate (in millionths)."""
     plan = epochs.epoch_plan(table(spark, sf_dir, "orders"), "o_orderkey", epochs=EPOCHS, accumulation=ACCUMULATION, seed=SEED, top_rate=RATE, rising=RISING)
     return plan.select("o_orderkey", "epoch", "position", "step", "slot", F.round("weight", 6).alias("weight"), F.round(F.col("rate") * 1e6, 4).alias("rate"))
+
+
+_SAID = ("The parcel came two weeks late and the box was torn.", "I was charged twice for the same order.", "Please send the smaller size instead.", "My account does not let me change the address.")
+
+
+@query("SELECT c_custkey, profile, CAST(questions AS INTEGER) AS questions, CAST(size - 1 AS BIGINT) AS tokens, 'Ticket ' || (1000 + c_custkey) AS begins FROM customer, (VALUES ('state128_q1', 128, 1), ('state512_q8', 512, 8), ('state2048_q32', 2048, 32)) AS p(profile, size, questions)")
+def workload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests a customer, of the profiles' sizes: their tokens as the installed tokenizer counts them."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = workloads.profiled(table(spark, sf_dir, "customer"), "c_custkey", _SAID, path)
+    return rows.select("c_custkey", "profile", "questions", workloads.counted(F.col("state"), path).alias("tokens"), F.substring_index("state", ".", 1).alias("begins"))

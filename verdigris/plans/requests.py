@@ -123,38 +123,27 @@ def question_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", tx.question_mark(F.col("text")).alias("question"))
 
 
-def _questions(spark: SparkSession) -> DataFrame:
-    """Inline questions at the edges of what is valid."""
-    many = "transform(sequence(1, {n}), i -> concat('{p}', cast(i as string)))"
-    rows = [
-        ("choice_2", "choice", "array('refund', 'cancel')"),
-        ("choice_5", "choice", "array('a', 'b', 'c', 'd', 'e')"),
-        ("choice_26", "choice", many.format(n=26, p="o")),
-        ("choice_27", "choice", many.format(n=27, p="o")),
-        ("choice_255", "choice", many.format(n=255, p="o")),
-        ("choice_256", "choice", many.format(n=256, p="o")),
-        ("choice_0", "choice", "cast(array() as array<string>)"),
-        ("choice_empty_id", "choice", "array('a', '')"),
-        ("noul_plain", "noul", "cast(null as array<string>)"),
-        ("noul_true", "noul", "array('true')"),
-        ("noul_maybe", "noul", "array('true', 'maybe')"),
-        ("score_3", "score", "array('low', 'middle', 'high')"),
-        ("score_10", "score", many.format(n=10, p="level ")),
-        ("score_11", "score", many.format(n=11, p="level ")),
-        ("score_0", "score", "cast(array() as array<string>)"),
-    ]
-    return spark.sql(" UNION ALL ".join(f"SELECT '{q}' AS qid, '{t}' AS type, {n} AS names" for q, t, n in rows))
+_SIZES = (2, 5, 26, 27, 255, 256, 0, 1, 3, 10, 11, 4)
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each order, of all types and of sizes at and beyond the limits; some with an empty id or other criteria."""
+    key = F.col("o_orderkey")
+    third = F.expr("o_orderkey div 3")
+    kind = F.get(_names("choice", "noul", "score"), (key % 3).cast("int"))
+    size = F.get(F.array(*(F.lit(k) for k in _SIZES)), (third % len(_SIZES)).cast("int"))
+    numbered = lambda p: F.transform(qs.indices(size), lambda i: F.concat(F.lit(p), (i + 1).cast("string")))
+    choice = F.when(F.expr("(o_orderkey div 36) % 7 = 0"), F.concat(numbered("o"), F.array(F.lit("")))).otherwise(numbered("o"))
+    noul = F.when(third % 4 == 1, _names("true")).when(third % 4 == 2, _names("true", "maybe")).when(third % 4 == 3, F.array().cast("array<string>"))
+    return table(spark, sf_dir, "orders").select(key.alias("qid"), kind.alias("type"), F.when(kind == "choice", choice).when(kind == "noul", noul).otherwise(numbered("level ")).alias("names"))
 
 
 def _questions_sql() -> str:
-    many = "list_transform(range(1, {n}), lambda i: '{p}' || i)"
-    rows = [
-        ("choice_2", "choice", "['refund', 'cancel']"), ("choice_5", "choice", "['a','b','c','d','e']"), ("choice_26", "choice", many.format(n=27, p="o")), ("choice_27", "choice", many.format(n=28, p="o")),
-        ("choice_255", "choice", many.format(n=256, p="o")), ("choice_256", "choice", many.format(n=257, p="o")), ("choice_0", "choice", "CAST([] AS VARCHAR[])"), ("choice_empty_id", "choice", "['a', '']"),
-        ("noul_plain", "noul", "CAST(NULL AS VARCHAR[])"), ("noul_true", "noul", "['true']"), ("noul_maybe", "noul", "['true', 'maybe']"),
-        ("score_3", "score", "['low','middle','high']"), ("score_10", "score", many.format(n=11, p="level ")), ("score_11", "score", many.format(n=12, p="level ")), ("score_0", "score", "CAST([] AS VARCHAR[])"),
-    ]
-    return "qs AS (" + " UNION ALL ".join(f"SELECT '{q}' AS qid, '{t}' AS type, {n} AS names" for q, t, n in rows) + ")"
+    size = f"([{', '.join(map(str, _SIZES))}])[1 + (o_orderkey // 3) % {len(_SIZES)}]"
+    many = f"list_transform(range(1, 1 + {size}), lambda i: '{{p}}' || i)"
+    return f"""qs AS (SELECT o_orderkey AS qid, (['choice', 'noul', 'score'])[1 + o_orderkey % 3] AS type, CASE o_orderkey % 3
+      WHEN 0 THEN CASE WHEN (o_orderkey // 36) % 7 = 0 THEN list_append({many.format(p="o")}, '') ELSE {many.format(p="o")} END
+      WHEN 1 THEN CASE (o_orderkey // 3) % 4 WHEN 1 THEN ['true'] WHEN 2 THEN ['true', 'maybe'] WHEN 3 THEN [] END ELSE {many.format(p="level ")} END AS names FROM orders)"""
 
 
 @query(
@@ -162,7 +151,7 @@ def _questions_sql() -> str:
     WHEN names IS NULL OR len(names) < 1 OR len(names) > 255 THEN 'option_count' WHEN type = 'choice' AND len(list_filter(names, lambda n: n = '')) > 0 THEN 'empty_option_id' END AS problem FROM qs"""
 )
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark).select("qid", qs.problem(F.col("type"), F.col("names")).alias("problem"))
+    return _questions(spark, sf_dir).select("qid", qs.problem(F.col("type"), F.col("names")).alias("problem"))
 
 
 _KEYS = "CASE type WHEN 'choice' THEN names WHEN 'noul' THEN ['false','true'] ELSE list_transform(range(len(names)), lambda i: CAST(i AS VARCHAR)) END"
@@ -171,7 +160,7 @@ _KEYS = "CASE type WHEN 'choice' THEN names WHEN 'noul' THEN ['false','true'] EL
 @query(f"WITH {_questions_sql()} SELECT qid, array_to_string({_KEYS}, ',') AS keys, array_to_string(CASE type WHEN 'noul' THEN ['true','false'] ELSE {_KEYS} END, ',') AS teacher_keys FROM qs")
 def question_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = F.col("type"), F.col("names")
-    return _questions(spark).select("qid", F.array_join(qs.question_keys(t, n), ",").alias("keys"), F.array_join(qs.teacher_keys(t, n), ",").alias("teacher_keys"))
+    return _questions(spark, sf_dir).select("qid", F.array_join(qs.question_keys(t, n), ",").alias("keys"), F.array_join(qs.teacher_keys(t, n), ",").alias("teacher_keys"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || ': ' || p_type END AS option_text FROM part")
@@ -261,7 +250,7 @@ _K = "CASE type WHEN 'noul' THEN 2 ELSE len(names) END"
     SELECT qid, CAST(s AS INTEGER) AS layout, array_to_string(list_transform(range(k), lambda j: (j + s) % k), ',') AS perm FROM l"""
 )
 def layouts_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _questions(spark).where(F.col("names").isNull() | (F.size("names") > 0)).withColumn("record_id", F.lit("inline/0"))
+    rows = _questions(spark, sf_dir).where((F.col("type") == "noul") | (F.size("names") > 0)).withColumn("record_id", F.lit("orders/0"))
     return targets.exploded_layouts(rows).select("qid", "layout", F.array_join(F.transform("perm", lambda i: i.cast("string")), ",").alias("perm"))
 
 
@@ -271,7 +260,7 @@ def layouts_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.when(F.col("type") == "noul", 2).otherwise(F.size("names"))
-    return _questions(spark).select("qid", qs.ineligible_reason(F.col("type"), k).alias("reason"))
+    return _questions(spark, sf_dir).select("qid", qs.ineligible_reason(F.col("type"), k).alias("reason"))
 
 
 _LP = "list_transform(embedding[1:4]::DOUBLE[], lambda v: v * 3 - 2)"
@@ -421,19 +410,17 @@ def stage_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c(name, questions, options, state, row_tokens) AS (VALUES ('one question', 1, 2, 100, 50), ('most questions', 32, 2, 100, 50), ('most options', 1, 255, 100, 900), ('most state', 1, 2, 2047, 50), ('most row', 1, 2, 2000, 2095),
-    ('too many questions', 33, 2, 100, 50), ('too many options', 1, 256, 100, 900), ('state too long', 1, 2, 2048, 50), ('row too long', 1, 2, 2000, 2096))
-    SELECT name, CASE WHEN questions > 32 THEN 'question_count' WHEN options > 255 THEN 'option_count' WHEN state + 1 > 2048 THEN 'state_over_limit' WHEN state + 1 + row_tokens > 4096 THEN 'row_over_limit' ELSE 'ok' END AS outcome FROM c"""
+    """WITH c AS (SELECT o_orderkey, ([1, 32, 33])[1 + o_orderkey % 3] AS questions, ([2, 255, 256])[1 + (o_orderkey // 3) % 3] AS options, ([100, 2047, 2048])[1 + (o_orderkey // 9) % 3] AS state, (o_orderkey // 27) % 3 - 1 AS over FROM orders)
+    SELECT o_orderkey, CASE WHEN questions > 32 THEN 'question_count' WHEN options > 255 THEN 'option_count' WHEN state + 1 > 2048 THEN 'state_over_limit' WHEN over > 0 THEN 'row_over_limit' ELSE 'ok' END AS outcome FROM c"""
 )
 def acceptance_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests at the limits and one over each: five are answered, four refused."""
-    cases = spark.sql(
-        """SELECT * FROM VALUES ('one question', 1, 2, 100, 50), ('most questions', 32, 2, 100, 50), ('most options', 1, 255, 100, 900), ('most state', 1, 2, 2047, 50), ('most row', 1, 2, 2000, 2095),
-        ('too many questions', 33, 2, 100, 50), ('too many options', 1, 256, 100, 900), ('state too long', 1, 2, 2048, 50), ('row too long', 1, 2, 2000, 2096) AS c(name, questions, options, state, row_tokens)"""
-    )
+    """A request for each order, at the limits or one over any of them: answered, or refused for the first that it passes."""
+    own = lambda values, by: F.get(F.array(*(F.lit(v) for v in values)), F.expr(f"(o_orderkey div {by}) % 3").cast("int"))
+    cases = table(spark, sf_dir, "orders").select("o_orderkey", own((1, 32, 33), 1).alias("questions"), own((2, 255, 256), 3).alias("options"), own((100, 2047, 2048), 9).alias("state"), own((-1, 0, 1), 27).alias("over"))
     names = F.transform(F.sequence(F.lit(1), F.col("options")), lambda i: i.cast("string"))
     refused = F.when(F.col("questions") > qs.MAX_QUESTIONS, "question_count")
-    return cases.select("name", F.coalesce(refused, qs.problem(F.lit("choice"), names), qs.admission(F.col("state"), F.array("row_tokens"))).alias("outcome"))
+    row = F.lit(qs.MAX_ROW) - F.col("state") - 1 + F.col("over")
+    return cases.select("o_orderkey", F.coalesce(refused, qs.problem(F.lit("choice"), names), qs.admission(F.col("state"), F.array(row))).alias("outcome"))
 
 
 @query(f"WITH {fx.SCORED_SQL} SELECT doc_id, (['de','en','es','fr'])[list_position(logits, list_max(logits))] AS choice, round(list_max(logits), 6) AS logit FROM scored")
