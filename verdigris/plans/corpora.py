@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.functions import policy as pl
 from verdigris.functions import python_udfs as py
-from verdigris.operators import splits
+from verdigris.operators import cases, encoding, splits
+from verdigris.plans import build
 from verdigris.plans import fixtures as fx
 from verdigris.session import table
-from verdigris.sources import digests, sinks
+from verdigris.sources import catalog, digests, sinks
 from verdigris.sources import requests as rq
 from verdigris.store import new_path
 from verdigris.streaming import resume
@@ -33,16 +35,21 @@ _CUSTOM = rf"""f AS (SELECT DISTINCT sha256({fx.NORM}) AS hash FROM documents WH
     s AS (SELECT *, CAST('0x' || substr(sha256('{fx.SEED}:split:own/' || substr(text_sha256, 1, 20)), 1, 16) AS UBIGINT) % 10 AS b FROM r)"""
 
 
-def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a labelled corpus in files of JSON lines, read back; every tenth document's text is forbidden."""
+def _custom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a labelled corpus in files of JSON lines, read back."""
     docs = table(spark, sf_dir, "documents")
     names = F.create_map(*(F.lit(x) for k in fx.LANGS for x in (k, "")))
     asked = F.struct(F.lit("choice").alias("type"), F.lit("Which language?").alias("instructions"), names.alias("criteria"), F.col("lang").alias("label"))
     line = F.to_json(F.struct(F.struct(F.col("lang").alias("note"), F.col("text").alias("body")).alias("state"), F.struct(asked.alias("language")).alias("questions"), F.col("doc_id").cast("string").alias("notes")), {"ignoreNullFields": "false"})
     path = new_path(spark)
     docs.where(F.col("text").isNotNull()).select(line.alias("value")).write.text(path)
-    forbidden = docs.where("doc_id % 10 = 0").select(F.explode(py.state_hashes("text")).alias("hash"))
-    return rq.custom_records(rq.labelled_lines(spark, path), "own", fx.SEED, forbidden, several=True)
+    return rq.labelled_lines(spark, path)
+
+
+def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That corpus' records; every tenth document's text is forbidden."""
+    forbidden = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.explode(py.state_hashes("text")).alias("hash"))
+    return rq.custom_records(_custom_lines(spark, sf_dir), "own", fx.SEED, forbidden, several=True)
 
 
 @query(f"WITH {_CUSTOM} SELECT doc_id, CASE WHEN b < 7 THEN 'train' WHEN b = 7 THEN 'dev' WHEN b = 8 THEN 'calibration' ELSE 'test' END AS split, text_sha256, excluded, lang AS gold, lang IS NOT NULL AS valid FROM s WHERE state IS NOT NULL")
@@ -121,3 +128,89 @@ def collected_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rows in (wanted.where(F.col("record_id").cast("long") % 2 == 0), wanted):
         resume.collect(spark, rows, score, path, "orders", per_batch=batch)
     return resume.collected(spark, path).select("record_id", F.col("session").cast("int").alias("session"), "prompt_tokens")
+
+
+RECIPE = build.Recipe(seed=fx.SEED, pool=600, train=250, test=60, showcase=20, variants=5, unseen=40, max_state=300)
+
+
+def _taken_sql(name: str, groups: str, seed: int, cap: int) -> str:
+    """Common table expressions: the groups (gid, n) that a walk in the seed's order takes within cap."""
+    return f"""{name}_o AS (SELECT gid, n, row_number() OVER (ORDER BY sha256('{seed}:order:' || gid), gid) AS r FROM {groups} WHERE n <= {cap}),
+    {name}_f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS gid, false AS taken UNION ALL
+      SELECT o.r, CASE WHEN f.total + o.n <= {cap} THEN f.total + o.n ELSE f.total END, o.gid, f.total + o.n <= {cap} FROM {name}_f f JOIN {name}_o o ON o.r = f.r + 1),
+    {name} AS (SELECT gid FROM {name}_f WHERE taken)"""
+
+
+def _bucket_sql(gid: str) -> str:
+    b = f"CAST('0x' || substr(sha256('{fx.SEED}:split:' || {gid}), 1, 16) AS UBIGINT) % 10"
+    return f"CASE WHEN {b} < 7 THEN 'train' WHEN {b} = 7 THEN 'dev' WHEN {b} = 8 THEN 'calibration' ELSE 'test' END"
+
+
+def _words_sql(text: str) -> str:
+    return f"len(list_filter(string_split({text}, ' '), lambda w: w <> ''))"
+
+
+_R = RECIPE
+BUILD_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, text, sha256({fx.NORM}) AS th, len(string_split({fx.NORM}, ' ')) AS words, {_words_sql("text")} + 1 <= {_R.max_state} AS fits FROM documents),
+    e AS (SELECT *, 'tweet_offensive/' || substr(th, 1, 20) AS gid, row_number() OVER (ORDER BY sha256('{_R.seed}:order:tweet_offensive/evaluation/' || doc_id), doc_id::VARCHAR) AS r FROM d WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0),
+    ef AS (SELECT * FROM e WHERE r <= {2 * (_R.showcase + _R.test)}), eg AS (SELECT gid, count(*) AS n FROM ef WHERE fits GROUP BY 1), {_taken_sql("sh", "eg", _R.seed, _R.showcase)},
+    er AS (SELECT * FROM eg WHERE gid NOT IN (SELECT gid FROM sh)), {_taken_sql("te", "er", _R.seed + 2, _R.test)},
+    e2 AS (SELECT th, CASE WHEN NOT fits THEN 'context' WHEN gid IN (SELECT gid FROM sh) THEN 'showcase' WHEN gid IN (SELECT gid FROM te) THEN 'test' ELSE 'not_needed' END AS fate FROM ef),
+    p AS (SELECT *, 'tweet_offensive/' || substr(th, 1, 20) AS gid, row_number() OVER (ORDER BY sha256('{_R.seed + 1}:order:tweet_offensive/train/' || doc_id), doc_id::VARCHAR) AS r FROM d WHERE doc_id % 5 <> 0),
+    p1 AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'unlabelled' WHEN th IN (SELECT th FROM d WHERE doc_id % 5 = 0) THEN 'official_overlap' WHEN NOT fits THEN 'context' ELSE {_bucket_sql("gid")} END AS fate FROM p WHERE r <= {_R.pool}),
+    pg AS (SELECT gid, count(*) AS n FROM p1 WHERE fate = 'train' GROUP BY 1), {_taken_sql("tr", "pg", _R.seed + 3, _R.train)},
+    p2 AS (SELECT th, CASE WHEN fate = 'train' AND gid NOT IN (SELECT gid FROM tr) THEN 'over_cap' ELSE fate END AS fate FROM p1),
+    u AS (SELECT *, row_number() OVER (ORDER BY sha256('{_R.seed}:order:emotion/evaluation/' || doc_id), doc_id::VARCHAR) AS r FROM d WHERE doc_id % 5 = 1),
+    u2 AS (SELECT fits, row_number() OVER (PARTITION BY fits ORDER BY r) AS k FROM u WHERE r <= {2 * _R.unseen}),
+    c AS (SELECT 'composition/{_R.seed}/' || (['atom','negation','conjunction','disjunction','exception','conditional','nested_and','nested_or'])[1 + s_suppkey % 8] || '/' || s_suppkey AS gid FROM supplier),
+    c1 AS (SELECT gid, 4 AS n, {_bucket_sql("gid")} AS fate FROM c), cg AS (SELECT gid, n FROM c1 WHERE fate = 'train'), {_taken_sql("ct", "cg", _R.seed + 4, _R.train)},
+    o AS (SELECT *, 'note: ' || coalesce(lang, '') || chr(10) || 'body: ' || text AS state FROM d),
+    o1 AS (SELECT *, 'own/' || substr(sha256({fx.NORM.replace("text", "state")}), 1, 20) AS gid, words >= 5 AND th IN (SELECT th FROM e2 WHERE fate IN ('showcase', 'test') UNION ALL SELECT th FROM p2 WHERE fate = 'test') AS excluded FROM o),
+    every AS (SELECT 'tweet_offensive' AS source_family, fate, 1 AS n FROM e2 UNION ALL SELECT 'tweet_offensive', fate, 1 FROM p2
+      UNION ALL SELECT 'emotion', CASE WHEN NOT fits THEN 'context' WHEN k <= {_R.unseen} THEN 'unseen' ELSE 'not_needed' END, 1 FROM u2
+      UNION ALL SELECT 'composition', CASE WHEN fate = 'train' AND gid NOT IN (SELECT gid FROM ct) THEN 'over_cap' ELSE fate END, n FROM c1 UNION ALL SELECT 'support', 'showcase', 8
+      UNION ALL SELECT 'own', CASE WHEN excluded THEN 'forbidden_text' WHEN lang IS NULL THEN 'invalid_label' WHEN {_words_sql("state")} + 1 > {_R.max_state} THEN 'context' ELSE {_bucket_sql("gid")} END, 1 FROM o1)
+    SELECT source_family, fate, CAST(sum(n) AS BIGINT) AS n FROM every GROUP BY 1, 2"""
+
+
+def _word_lengths(text: Column) -> Column:
+    """Stands for a tokenizer: a token a word."""
+    return F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.length(w) + 100)
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A corpus of documents as two public sources and a custom corpus, composed rules, and the showcase; and its report."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    label = F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("doc_id") % 2).cast("int")
+    rows = docs.select("doc_id", "text", label.alias("label"))
+    posts = build.Part(catalog.SPECS["tweet_offensive"], "doc_id", "text", rows.where("doc_id % 5 = 0"), rows.where("doc_id % 5 <> 0"))
+    feelings = build.Part(catalog.SPECS["emotion"], "doc_id", "text", docs.where("doc_id % 5 = 1").select("doc_id", "text", (F.col("doc_id") % 6).cast("int").alias("label")))
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    rules = build.policy_records(cases.compositions(spark, ids, fx.SEED, tuple(pl.SHAPES)[:8]), "composition")
+    own = lambda forbidden: build.custom_as_records(rq.custom_records(_custom_lines(spark, sf_dir), "own", fx.SEED, forbidden, several=True))
+    return build.build([posts, feelings], RECIPE, _word_lengths, {k: i for i, k in enumerate(encoding.DELIMITERS, 1)}, {"pool": rules}, build.support_records(spark), own)
+
+
+@query(BUILD_SQL)
+def corpus_fates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every record that the corpus looked at, by source."""
+    return built(spark, sf_dir)[1]
+
+
+_PER_SOURCE = 30
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, sha256({fx.NORM}) AS th, {_words_sql("text")} + 1 <= {_R.max_state} AS fits FROM documents),
+    r AS (SELECT *, row_number() OVER (ORDER BY sha256('{_R.seed}:order:emotion/evaluation/' || doc_id), doc_id::VARCHAR) AS r FROM d WHERE doc_id % 2 = 0),
+    f AS (SELECT r, CASE WHEN doc_id % 7 = 0 THEN 'unlabelled' WHEN th IN (SELECT th FROM d WHERE doc_id % 3 = 0) THEN 'text_collision' WHEN NOT fits THEN 'context' ELSE 'extended' END AS fate FROM r),
+    t AS (SELECT r, row_number() OVER (ORDER BY r) AS k FROM f WHERE fate = 'extended'), l AS (SELECT max(r) AS last FROM t WHERE k = {_PER_SOURCE})
+    SELECT 'emotion' AS source_family, fate, count(*) AS n FROM f, l WHERE last IS NULL OR r <= last GROUP BY 2"""
+)
+def extended_panel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an extended panel of 30 records looked at, up to its last one."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    label = F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("doc_id") % 6).cast("int")
+    part = build.Part(catalog.SPECS["emotion"], "doc_id", "text", docs.where("doc_id % 2 = 0").select("doc_id", "text", label.alias("label")))
+    trained = docs.where("doc_id % 3 = 0").select(F.col("text").alias("state"), F.lit("train").alias("split"))
+    return build.extended_panel([part], trained, RECIPE, _word_lengths, {k: i for i, k in enumerate(encoding.DELIMITERS, 1)}, _PER_SOURCE)[1]

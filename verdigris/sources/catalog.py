@@ -189,21 +189,38 @@ def categories(names: Sequence[str]) -> Spec:
     return Spec("dbpedia14", "category", "choice", lambda: tx.word_clip(F.col("content"), 200), say("Which category does the subject of this encyclopedia text belong to?"), nth(ids, "label"), dict.fromkeys(ids))
 
 
-def topic_questions(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
-    """Two yes/no questions a news row, about two of the four topics drawn by the row's key; as convert() gives them."""
+def _about_topics(key: Column, seed: int) -> Column:
+    """Two yes/no questions about a news row, on two of the four topics drawn by the row's key."""
     topics = shuffled(literal(list(AGNEWS)), key.cast("string"), seed)
     about = F.create_map(*(F.lit(x) for k, v in AGNEWS.items() for x in (k, v.split(":")[0].lower())))
     gold = nth(list(AGNEWS), "label")()
-    rows = rows.where(F.coalesce(F.expr("try_cast(label as int)"), F.lit(0)) != -1).select(key.cast("string").alias("row_key"), F.col("text").alias("state"), gold.alias("topic_gold"), F.explode(F.slice(topics, 1, 2)).alias("topic"))
-    ask = F.concat(F.lit("Is this article about "), about[F.col("topic")], F.lit("?"))
-    out = rows.select("row_key", "state", F.concat(F.lit("is_"), "topic").alias("qid"), F.lit("noul").alias("type"), ask.alias("instructions"), literal(["false", "true"]).alias("keys"), literal([None, None]).alias("descriptions"), F.when(F.col("topic") == F.col("topic_gold"), "true").otherwise("false").alias("gold"), F.lit("agnews.topic").alias("schema_family"))
-    return out.withColumn("valid", F.lit(True))
+    one = lambda t: question(F.concat(F.lit("is_"), t), F.lit("noul"), F.concat(F.lit("Is this article about "), about[t], F.lit("?")), literal(["false", "true"]), literal([None, None]), F.when(t == gold, "true").otherwise("false"), F.lit("agnews_yn"))
+    return F.transform(F.slice(topics, 1, 2), one)
+
+
+def question(qid: Column, kind: Column, ask: Column, keys: Column, descriptions: Column, gold: Column, task: Column) -> Column:
+    """A labelled question of a record."""
+    return F.struct(qid.alias("qid"), kind.alias("type"), ask.alias("instructions"), keys.alias("keys"), descriptions.alias("descriptions"), gold.alias("gold"), task.alias("task"))
+
+
+def topic_questions(rows: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """The two yes/no questions of each news row, over the same wrapped state as its topic question."""
+    rows = records(rows, SPECS["agnews"], key, seed=seed).select("row_key", "state", "schema_family", F.explode(F.slice("questions", 2, 2)).alias("q"))
+    return rows.select("row_key", "state", *(F.col(f"q.{c}").alias(c) for c in ("qid", "type", "instructions", "keys", "descriptions", "gold")), "schema_family", F.lit(True).alias("valid"))
+
+
+def records(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """Labelled rows as records, one each: row_key, state, schema_family, questions (as of question()), valid and the columns in keep; a news row has three questions over one state."""
+    several = spec.name == "agnews" and not variant
+    own = convert(rows.withColumn("__more", _about_topics(key, seed)) if several else rows, spec, key, variant, seed, (*keep, "__more") if several else keep)
+    one = F.array(question(F.col("qid"), F.col("type"), F.col("instructions"), F.col("keys"), F.col("descriptions"), F.col("gold"), F.lit(spec.name)))
+    return own.select("row_key", "state", "schema_family", (F.concat(one, "__more") if several else one).alias("questions"), "valid", *keep)
 
 
-def convert(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, seed: int = 42) -> DataFrame:
+def convert(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """Labelled questions of rows that have a label (-1: none; it is dropped). A gold that is no key fails the valid column.
 
-    variant: the changed schema, other wording, descriptions and order, with the text in a named field.
+    variant: the changed schema, other wording, descriptions and order, with the text in a named field. keep: columns of rows that stay.
     """
     if variant and spec.variant_field is None:
         raise ValueError(f"{spec.name} has no changed schema")
@@ -232,5 +249,5 @@ def convert(rows: DataFrame, spec: Spec, key: Column, variant: bool = False, see
     ask = (spec.variant_ask if variant else spec.ask)()
     if spec.focused and not variant:
         ask = F.when(u("focused") < FOCUSED, _json(question=ask, focus=F.get(literal(FOCUS), F.floor(u("focus") * len(FOCUS)).cast("int")))).otherwise(ask)
-    out = rows.select(key.cast("string").alias("row_key"), state.alias("state"), F.lit(spec.qid).alias("qid"), F.lit(spec.kind).alias("type"), ask.alias("instructions"), keys.alias("keys"), descriptions.alias("descriptions"), gold.alias("gold"), F.lit(f"{spec.name}.variant" if variant else spec.family).alias("schema_family"))
+    out = rows.select(key.cast("string").alias("row_key"), state.alias("state"), F.lit(spec.qid).alias("qid"), F.lit(spec.kind).alias("type"), ask.alias("instructions"), keys.alias("keys"), descriptions.alias("descriptions"), gold.alias("gold"), F.lit(f"{spec.name}.variant" if variant else spec.family).alias("schema_family"), *keep)
     return out.withColumn("valid", F.coalesce(F.array_contains("keys", F.col("gold")), F.lit(False)))
