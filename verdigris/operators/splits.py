@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as tx
+from verdigris.store import kept
 
 
 def with_groups(docs: DataFrame, source: str, text_col: str, seed: int) -> DataFrame:
@@ -21,46 +23,57 @@ def first_groups(groups: DataFrame, by: str, seed: int, k: int) -> DataFrame:
 
 
 def take_groups(groups: DataFrame, by: str, size: str, seed: int, cap: int, pool: int | None = None) -> DataFrame:
-    """Whole groups in hash order while a `by`'s rows stay within cap; a group that doesn't fit is passed over, not the end.
+    """Whole groups in hash order while a `by`'s rows stay within cap (by, group_id, rank, rows); a group that doesn't fit is passed over, not the end.
 
     pool: only the first so many groups of each `by` are drawn from. Without it every group is considered, in rounds:
-    each folds the next cap + 1 groups that still fit (no more can be taken), until none is left that fits. A round
-    brings one row a `by` to the driver and costs one top-n shuffle; singletons need one round.
+    each folds the next cap + 1 groups that still fit (no more can be taken), until none is left that fits; singletons need
+    one round. A round is a top-n of each `by`, which tasks cut before the shuffle, and a walk over those few with a
+    running total; what it took, and where each `by` stands, is a table in the shared folder, and the driver asks only whether any is open.
     """
-    sized = groups.select(by, "group_id", F.col(size).cast("long").alias("n")).where((F.col("n") > 0) & (F.col("n") <= cap))
+    sized = groups.select(by, "group_id", F.col(size).cast("long").alias("n"), tx.order_hash(F.col("group_id"), seed).alias("key"))
+    order = Window.partitionBy(by).orderBy("key", "group_id")
+    kind = dict(sized.dtypes)[by]
+    schema = f"{by} {kind}, group_id string, rank int, rows long, total long, last string, open boolean"
+    fresh = {"total": F.lit(0).cast("long"), "base": F.lit(0)}
     if pool is not None:
-        allowed = first_groups(groups, by, seed, pool)
-        return _folded(allowed, by, F.col(size).cast("long"), cap, F.lit(0).cast("long")).select(by, "group_id", "rank", F.col("n").alias("rows"))
-    spark, key, out, taken = groups.sparkSession, tx.order_hash(F.col("group_id"), seed), None, None
-    sized = sized.withColumn("key", key)
-    state = spark.createDataFrame([], f"{by} {dict(sized.dtypes)[by]}, total long, last string, base int")
+        first = sized.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= pool) & (F.col("n") > 0)).withColumns(fresh)
+        return first.groupBy(by).applyInArrow(_walk(by, cap, pool), schema).where(F.col("group_id").isNotNull()).select(by, "group_id", "rank", "rows")
+    sized = sized.where((F.col("n") > 0) & (F.col("n") <= cap))
+    out, state = None, None
     while True:
-        left = sized.join(F.broadcast(state), by, "left").withColumns({"total": F.coalesce("total", F.lit(0).cast("long")), "base": F.coalesce("base", F.lit(0))})
-        left = left.where((F.col("last").isNull() | (F.col("key") > F.col("last"))) & (F.col("n") <= cap - F.col("total")))
-        order = Window.partitionBy(by).orderBy("key", "group_id")
-        batch = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap + 1).persist()
-        ends = batch.groupBy(by).agg(F.max("key").alias("last"), F.max("rank").alias("seen"), F.first("total").alias("before"), F.first("base").alias("base"))
-        taken = _folded(batch, by, F.col("n"), cap, F.first("total")).select(by, "group_id", (F.col("rank") + F.col("base")).alias("rank"), F.col("n").alias("rows"))
+        left = sized.withColumns(fresh)
+        if state is not None:
+            open_ = state.select(F.col(by).alias("__by"), "total", "last", F.col("rank").alias("base"))
+            left = sized.join(open_, sized[by].eqNullSafe(F.col("__by"))).where((F.col("key") > F.col("last")) & (F.col("n") <= cap - F.col("total"))).drop("__by", "last")
+        batch = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap + 1)
+        walked = kept(batch.groupBy(by).applyInArrow(_walk(by, cap, cap + 1), schema))
+        taken = walked.where(F.col("group_id").isNotNull()).select(by, "group_id", "rank", "rows")
         out = taken if out is None else out.unionByName(taken)
-        sums = taken.groupBy(by).agg(F.sum("rows").alias("more"))
-        now = ends.join(sums, by, "left").select(by, (F.col("before") + F.coalesce("more", F.lit(0))).alias("total"), "last", (F.col("base") + F.col("seen")).cast("int").alias("base"), (F.col("seen") > cap).alias("open")).collect()
-        if not any(r["open"] and r["total"] < cap for r in now):
+        state = walked.where(F.col("group_id").isNull() & F.col("open"))
+        if state.isEmpty():
             return out
-        state = spark.createDataFrame([(r[by], r["total"], r["last"], r["base"]) for r in now], state.schema)
-
-
-def _folded(ranked: DataFrame, by: str, n: Column, cap: int, start: Column) -> DataFrame:
-    """(by, group_id, rank, n, base) of the ranked groups that a fold in their order takes, from start rows on."""
-    base = F.first("base") if "base" in ranked.columns else F.lit(0)
-    items = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", "group_id", n.alias("n")))).alias("items"), start.alias("start"), base.alias("base"))
-    begin = F.struct(F.col("start").alias("total"), F.array().cast("array<struct<rank:int,group_id:string,n:bigint>>").alias("kept"))
-    folded = F.aggregate(
-        "items",
-        begin,
-        lambda acc, g: F.when(acc["total"] + g["n"] > cap, acc).otherwise(F.struct((acc["total"] + g["n"]).alias("total"), F.concat(acc["kept"], F.array(g)).alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-    return items.withColumn("taken", folded).select(by, "base", F.inline("taken"))
+
+
+def _walk(by: str, cap: int, most: int):
+    """Over a `by`'s groups in their order, most at most: those that a running total takes, and a row (group_id null) with the total, the last key and rank, and whether more may follow."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        sizes, total = rows["n"].to_pylist(), rows["total"][0].as_py()
+        base, end, at = rows["base"][0].as_py(), rows.num_rows - 1, []
+        for k, n in enumerate(sizes):
+            if total + n <= cap:
+                total += n
+                at.append(k)
+        found = rows.take(pa.array([*at, end], pa.int64()))
+        last = [False] * len(at) + [True]
+        ranks = [base + r for r in found["rank"].to_pylist()]
+        names = [None if x else g for g, x in zip(found["group_id"].to_pylist(), last, strict=True)]
+        count = len(last)
+        columns = [found[by], pa.array(names, pa.string()), pa.array(ranks, pa.int32()), found["n"], pa.array([total] * count, pa.int64()), found["key"], pa.array([len(sizes) >= most and total < cap] * count)]
+        return pa.Table.from_arrays(columns, names=[by, "group_id", "rank", "rows", "total", "last", "open"])
+
+    return run
 
 
 def disjointness(records: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ _ARGMAX = "list_position(logits, list_max(logits)) - 1"
 def calibrated_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: split by text group, temperature fitted on calibration, accuracy and losses on test."""
     rows, best = _best(spark, sf_dir)
-    rows = rows.where(F.col("split") == "test").withColumn("t", best.select("temperature").scalar()).withColumn("t_index", best.select("t_index").scalar())
+    rows = rows.where(F.col("split") == "test").withColumn("best", best.select(F.struct("temperature", "t_index")).scalar())  # one plan of the grid
+    rows = rows.withColumns({"t": F.col("best.temperature"), "t_index": F.col("best.t_index")})
     scored = rows.select("t_index", "label", (nm.argmax(F.col("logits")) == F.col("label")).cast("double").alias("right"), nm.nll_at(F.col("logits"), F.col("label")).alias("raw"), nm.nll_at(F.col("logits"), F.col("label"), F.col("t")).alias("cal"), nm.softmax(F.col("logits")).alias("p"), nm.softmax(F.col("logits"), F.col("t")).alias("q"))
     out = scored.agg(
         F.count("*").alias("n"),
@@ -134,7 +135,7 @@ def hash_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {fx.GROUPS_SQL}, {_SOURCE_GROUPS},
     fold AS (SELECT source, rank, group_id, rows, rows <= 20 AS taken, CASE WHEN rows <= 20 THEN rows ELSE 0 END AS total FROM ranked WHERE rank = 1
       UNION ALL SELECT r.source, r.rank, r.group_id, r.rows, f.total + r.rows <= 20, f.total + CASE WHEN f.total + r.rows <= 20 THEN r.rows ELSE 0 END
-      FROM fold f JOIN ranked r ON r.source = f.source AND r.rank = f.rank + 1 WHERE r.rank <= 1600)
+      FROM fold f JOIN ranked r ON r.source = f.source AND r.rank = f.rank + 1)
     SELECT source, group_id, CAST(rank AS INTEGER) AS rank, CAST(rows AS BIGINT) AS rows FROM fold WHERE taken"""
 )
 def greedy_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
