@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import numeric as nm
 from verdigris.functions import questions as qs
 
 
-def evaluation_rows(answers: DataFrame, panel: str, system: str, variant: str = "canonical") -> DataFrame:
+def evaluation_rows(answers: DataFrame, panel: str, system: str | Column, variant: str | Column = "canonical", *keep: str) -> DataFrame:
     """A row for each answered or refused question, in the schema that the evaluation operators read.
 
     answers: record_id, source_family, schema_family, question, type, names, gold, task (null: the schema's), by_key (a map of
     probabilities, null if none), said (an answer without probabilities), eligible, reason. Probabilities are laid in
     key order whatever order the system saw; a tie goes to the first key. Without a gold answer correct is null.
+    system and variant are names or columns; keep: columns that come after.
     """
+    told = lambda v: F.lit(v) if isinstance(v, str) else v
     rows = answers.withColumn("keys", qs.question_keys(F.col("type"), F.col("names")))
     probs = F.when(F.col("by_key").isNotNull(), F.transform("keys", lambda k: F.try_element_at("by_key", k)))
     rows = rows.withColumn("probs", probs)
@@ -31,8 +33,8 @@ def evaluation_rows(answers: DataFrame, panel: str, system: str, variant: str =
         "schema_family",
         "question",
         "type",
-        F.lit(system).alias("system"),
-        F.lit(variant).alias("variant"),
+        told(system).alias("system"),
+        told(variant).alias("variant"),
         "keys",
         "probs",
         "pred",
@@ -41,6 +43,7 @@ def evaluation_rows(answers: DataFrame, panel: str, system: str, variant: str =
         "eligible",
         "reason",
         F.when(F.col("type") == "score", level).alias("expected_level"),
+        *keep,
     )
 
 

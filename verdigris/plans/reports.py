@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import numeric as nm
-from verdigris.operators import reports
+from verdigris.operators import panels, reports, scoring
 from verdigris.plans import fixtures as fx
 from verdigris.session import table
 
@@ -102,3 +102,62 @@ def manifest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {fx.SCORED_SQL} SELECT count(*) AS questions, round(avg({fx.nll_sql('1.0')}), 6) AS nll FROM scored WHERE split = 'dev' AND label IS NOT NULL")
 def development_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(reports.dev_loss(fx.scored_documents(spark, sf_dir)), "nll")
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test documents as records of one choice between languages; those of 400 words and more are refused."""
+    docs = fx.scored_documents(spark, sf_dir).where(F.col("split") == "test").select("doc_id", "lang", "source_family")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", " ")).alias("words"))
+    keys = F.array(*(F.lit(k) for k in fx.LANGS))
+    one = F.struct(F.lit("language").alias("qid"), F.lit("choice").alias("type"), keys.alias("keys"), F.col("lang").alias("gold"), F.lit(None).cast("string").alias("task"))
+    rows = docs.join(texts, "doc_id")
+    return rows.select(F.col("doc_id").alias("record_id"), "source_family", F.lit("documents.language").alias("schema_family"), F.col("text").alias("state"), F.array(one).alias("questions"), F.when(F.col("words") < 400, "ok").otherwise("state_over_limit").alias("context"))
+
+
+_PANEL_SQL = f"""{fx.GROUPS_SQL}, b AS (SELECT doc_id, lang AS gold, len(string_split(text, ' ')) < 400 AS fine, {fx.logits_sql()} AS lg FROM grouped WHERE split = 'test')"""
+_ROW = "(['de','en','es','fr'])[list_position(p, list_max(p))] AS pred, round(list_max(p), 6) AS top, round(p[2], 6) AS p_en"
+
+
+@query(
+    f"""WITH {_PANEL_SQL}, s AS (SELECT *, unnest([{{'system': 'converted_raw', 'variant': 'canonical', 't': 1.0}}, {{'system': 'converted_cal', 'variant': 'canonical', 't': 2.0}}, {{'system': 'converted_raw', 'variant': 'order0', 't': 1.0}}], recursive := true) FROM b),
+    q AS (SELECT doc_id, gold, fine, system, variant, CASE WHEN fine THEN {fx.softmax_sql("lg", "t::DOUBLE")} END AS p FROM s)
+    SELECT doc_id AS record_id, system, variant, fine AS eligible, CASE WHEN NOT fine THEN 'admission: state_over_limit' END AS reason, {_ROW}, coalesce((['de','en','es','fr'])[list_position(p, list_max(p))] = gold, CASE WHEN gold IS NOT NULL THEN false END) AS correct FROM q"""
+)
+def converted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel through the marker scorer: raw and calibrated, in the canonical and in a drawn order of options; refusals."""
+    answers = lambda rows: scoring.score(rows, scoring.MarkerScorer(fx.MARKERS, fx.SCALE, fx.ENGLISH), keys="shown")
+    rows = panels.converted_rows(_panel(spark, sf_dir), answers, "test", 2.0, order_variants=1, seed=fx.SEED)
+    return _rounded(rows.select("record_id", "system", "variant", "eligible", "reason", "pred", F.array_max("probs").alias("top"), F.get("probs", F.lit(1)).alias("p_en"), "correct"), "top", "p_en")
+
+
+def _turned(s: int) -> str:
+    """Logits with a half more for the option that is shown first in rotation s."""
+    return f"list_transform(lg, lambda v, i: v + CASE WHEN i = {s + 1} THEN 0.5 ELSE 0.0 END)"
+
+
+_TURNS = ", ".join(fx.softmax_sql(_turned(s)) for s in range(4))
+
+
+@query(
+    f"""WITH {_PANEL_SQL}, t AS (SELECT doc_id, gold, [{_TURNS}] AS turns FROM b), m AS (SELECT *, list_transform(range(1, 5), lambda k: list_sum(list_transform(turns, lambda u: ln(greatest(u[k], 1e-9)))) / 4) AS logs FROM t),
+    q AS (SELECT doc_id, 'parent_raw' AS system, 1 AS layouts, turns[1] AS p FROM t UNION ALL SELECT doc_id, 'parent_cyclic', 4, {fx.softmax_sql("logs")} FROM m)
+    SELECT doc_id AS record_id, system, CAST(layouts AS INTEGER) AS layouts, {_ROW} FROM q"""
+)
+def teacher_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same panel through a scorer that favours what is shown first: one layout, and all rotations combined."""
+    biased = scoring.PositionBiased(scoring.MarkerScorer(fx.MARKERS, fx.SCALE, fx.ENGLISH), [0.5, 0.0, 0.0, 0.0])
+    rows = panels.scorer_rows(_panel(spark, sf_dir), lambda r: scoring.score(r, biased, keys="shown"), "test", seed=fx.SEED)
+    return _rounded(rows.select("record_id", "system", "layouts", "pred", F.array_max("probs").alias("top"), F.get("probs", F.lit(1)).alias("p_en")), "top", "p_en")
+
+
+@query(
+    f"""WITH {_PANEL_SQL} SELECT doc_id AS record_id, doc_id % 3 <> 2 AS parse_ok, doc_id % 3 = 0 AS answered, CASE WHEN doc_id % 3 = 0 THEN (['de','en','es','fr'])[1 + doc_id % 4] END AS pred,
+    CASE WHEN gold IS NOT NULL THEN coalesce(doc_id % 3 = 0 AND (['de','en','es','fr'])[1 + doc_id % 4] = gold, false) END AS correct, CASE WHEN doc_id % 3 = 1 THEN '{{"language": "it"}} is it' WHEN doc_id % 3 = 2 THEN 'none' END AS text FROM b"""
+)
+def generated_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same panel answered by texts: with an object that names a key, one that names none, and without an object."""
+    k = F.col("record_id")
+    right = F.concat(F.lit('I say {"language": "'), F.get(F.array(*(F.lit(x) for x in fx.LANGS)), (k % 4).cast("int")), F.lit('"}.'))
+    text = F.when(k % 3 == 0, right).when(k % 3 == 1, '{"language": "it"} is it').otherwise("none")
+    rows = panels.json_rows(_panel(spark, sf_dir), lambda r: r.withColumn("text", text), "test")
+    return rows.select("record_id", "parse_ok", "answered", "pred", "correct", "text")
