@@ -91,3 +91,17 @@ def test_scorers(spark):
     df = spark.createDataFrame([("ää", ["de", "en"]), (None, ["en"])], "state string, keys array<string>")
     found = {r["state"]: r["logits"] for r in scoring.score(df, scoring.PositionBiased(inner, [0.5, 0.0])).collect()}
     assert found == {"ää": [10.5, 1.0], None: [1.5]}
+
+
+def test_scan_numbers_rows_by_file(spark, tmp_path):
+    path = catalog.source_path("trec", "train", str(tmp_path))
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 4 + k).selectExpr("id", "concat('t', id) AS text").coalesce(1).write.mode("append").parquet(path)
+    import os
+
+    for n, f in enumerate(sorted((f for f in os.listdir(path) if f.endswith(".parquet")), key=lambda f: spark.read.parquet(f"{path}/{f}").agg(F.min("id")).first()[0])):
+        os.rename(f"{path}/{f}", f"{path}/part-{n}.parquet")
+    rows = catalog.scan(spark, "trec", "train", str(tmp_path)).collect()
+    assert sorted((r["row"], r["id"]) for r in rows) == list(enumerate([*range(4), *range(10, 15), *range(20, 26)]))
+    with pytest.raises(ValueError):
+        catalog.scan(spark, "trec", "validation", str(tmp_path))

@@ -6,6 +6,7 @@ true). Token ids come from the caller's tokenizer as a column builder, so that p
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -111,26 +112,45 @@ def answers(kind: Column, keys: Column, probs: Column) -> Column:
 _ANSWER = "struct<type:string,decision:boolean,p_true:double,choice:string,level:int,expected_level:double,top_probability:double,probabilities:map<string,double>>"
 
 
+#: The wording of a prompt for structured answers. {..} stands for what a request gives.
+ANSWERS = {
+    "choice": "  answer: exactly one option id from this list, as a JSON string",
+    "noul": "  answer: true or false, as a JSON boolean",
+    "score": "  answer: one level index from 0 to {last}, as a JSON integer",
+}
+QUESTION, INSTRUCTIONS = "Question {qid} ({type})", "\n  instructions: {text}"
+PROMPT = "Read the state and answer every question.\n\nState:\n{state}\n\nQuestions:\n{questions}\n\nRespond with only a JSON object whose keys are the question ids ({qids}) and whose values are the answers. No other text."
+
+
+def worded(template: str, **parts: Column) -> Column:
+    """A template's text with columns put in for its {names}."""
+    pieces = [(F.lit(words) if words else None, parts[name] if name else None) for words, name, _, _ in string.Formatter().parse(template)]
+    return F.concat(*(x for pair in pieces for x in pair if x is not None))
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.array(text))
+    return whole.substr(F.lit(2), F.length(whole) - 2)
+
+
 def described(questions: DataFrame) -> DataFrame:
-    """Rendered question rows with `lines`, how a prompt for structured answers puts them."""
-    head = F.concat(F.lit("Question "), F.to_json(F.array("qid")).substr(F.lit(2), F.length(F.to_json(F.array("qid"))) - 2), F.lit(" ("), F.col("type"), F.lit(")"))
-    asked = F.when(F.col("instructions") != "", F.concat(F.lit("\n  instructions: "), F.replace("instructions", F.lit("\n"), F.lit("\n    ")))).otherwise("")
-    quoted = lambda k: F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2)
-    one_line = lambda d: F.replace(F.coalesce(d, F.lit("")), F.lit("\n"), F.lit(" "))
-    choice = F.zip_with("keys", "descriptions", lambda k, d: F.concat(F.lit("    "), quoted(k), F.when(one_line(d) != "", F.concat(F.lit(": "), one_line(d))).otherwise("")))
-    given = F.array(F.struct(F.lit("true").alias("k"), F.get("descriptions", F.lit(1)).alias("d")), F.struct(F.lit("false").alias("k"), F.get("descriptions", F.lit(0)).alias("d")))
-    noul = F.transform(F.filter(given, lambda x: one_line(x["d"]) != ""), lambda x: F.concat(F.lit("    "), x["k"], F.lit(": "), one_line(x["d"])))
-    score = F.transform("descriptions", lambda d, i: F.concat(F.lit("    "), i.cast("string"), F.lit(": "), one_line(d)))
-    rule = (
-        F.when(F.col("type") == "choice", "  answer: exactly one option id from this list, as a JSON string")
-        .when(F.col("type") == "noul", "  answer: true or false, as a JSON boolean")
-        .otherwise(F.concat(F.lit("  answer: one level index from 0 to "), (F.size("keys") - 1).cast("string"), F.lit(", as a JSON integer")))
-    )
-    options = F.when(F.col("type") == "choice", choice).when(F.col("type") == "noul", noul).otherwise(score)
-    return questions.withColumn("lines", F.array_join(F.concat(F.array(F.concat(head, asked), rule), options), "\n"))
+    """Rendered question rows with `lines`, how a prompt for structured answers puts them.
+
+    Under the question stand its options (id and description), a noul's two meanings where they are given, or a score's levels.
+    """
+    flat = lambda d: F.replace(F.coalesce(d, F.lit("")), F.lit("\n"), F.lit(" "))
+    noul = F.filter(F.array(*(F.struct(F.lit(k).alias("name"), flat(F.get("descriptions", F.lit(at))).alias("said")) for k, at in (("true", 1), ("false", 0)))), lambda x: x["said"] != "")
+    named = F.zip_with("keys", "descriptions", lambda k, d: F.struct(_quoted(k).alias("name"), flat(d).alias("said")))
+    levels = F.transform("descriptions", lambda d, i: F.struct(i.cast("string").alias("name"), flat(d).alias("said")))
+    items = F.when(F.col("type") == "choice", named).when(F.col("type") == "noul", noul).otherwise(levels)
+    bare = F.col("type") == "choice"
+    told = F.transform(items, lambda x: F.concat(F.lit("    "), x["name"], F.when(bare & (x["said"] == ""), "").otherwise(F.concat(F.lit(": "), x["said"]))))
+    rule = F.coalesce(*(F.when(F.col("type") == kind, worded(words, last=(F.size("keys") - 1).cast("string"))) for kind, words in ANSWERS.items()))
+    asked = F.when(F.col("instructions") != "", worded(INSTRUCTIONS, text=F.replace("instructions", F.lit("\n"), F.lit("\n    ")))).otherwise("")
+    return questions.withColumn("lines", F.array_join(F.concat(F.array(F.concat(worded(QUESTION, qid=_quoted(F.col("qid")), type=F.col("type")), asked), rule), told), "\n"))
 
 
 def prompt_text(state: Column, lines: Column, qids: Column) -> Column:
     """The whole prompt for structured answers: rendered state, described questions in order, and the ids to answer."""
-    ids = F.array_join(F.transform(qids, lambda q: F.to_json(F.array(q)).substr(F.lit(2), F.length(F.to_json(F.array(q))) - 2)), ", ")
-    return F.concat(F.lit("Read the state and answer every question.\n\nState:\n"), state, F.lit("\n\nQuestions:\n"), F.array_join(lines, "\n"), F.lit("\n\nRespond with only a JSON object whose keys are the question ids ("), ids, F.lit(") and whose values are the answers. No other text."))
+    return worded(PROMPT, state=state, questions=F.array_join(lines, "\n"), qids=F.array_join(F.transform(qids, _quoted), ", "))

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import questions as qs
 from verdigris.functions import text as tx
+from verdigris.operators import encoding
 from verdigris.operators.targets import KEY, latest
 
 #: What the teacher is told, and how a chat puts a system and a user text before an answer without thinking.
 SYSTEM = "You are a decision function. You will be given a state and one question. Reply with the answer label only: no words, no punctuation, no explanation."
 CHAT = "<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n{user}<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
 
+#: The teacher's prompt: its head, what stands for an empty state, and around the options of each type.
+HEAD, EMPTY, MEANS = "State:\n{state}\n\nQuestion: {instructions}", "(empty)", "{name} means: {meaning}"
+OPENING = {"choice": "Options:", "score": "Pick the level that applies (the levels are ordered):"}
+CLOSING = {"choice": "Answer with the letter only.", "score": "Answer with the number only.", "noul": "Answer {first} or {second}."}
+
 
 class LabelTokenError(ValueError):
     """A label is no single token, or two labels are the same one."""
@@ -38,16 +44,14 @@ def user_text(state: Column, kind: Column, instructions: Column, options: Column
     mean where that is given (descriptions: of false, of true).
     """
     labels = qs.answer_labels(kind, F.size(options))
-    numbered = F.transform(perm, lambda i, j: F.concat(F.get(labels, j), F.lit(". "), F.get(options, i)))
-    means = lambda word, at: F.when(F.coalesce(F.get(descriptions, F.lit(at)), F.lit("")) != "", F.array(F.concat(F.lit(f"{word} means: "), F.get(descriptions, F.lit(at))))).otherwise(F.array().cast("array<string>"))
-    either = F.concat(F.lit("Answer "), F.get(labels, F.get(perm, F.lit(0))), F.lit(" or "), F.get(labels, F.get(perm, F.lit(1))), F.lit("."))
-    body = (
-        F.when(kind == "noul", F.concat(means("Yes", 1), means("No", 0), F.array(either)))
-        .when(kind == "score", F.concat(F.array(F.lit("Pick the level that applies (the levels are ordered):")), numbered, F.array(F.lit("Answer with the number only."))))
-        .otherwise(F.concat(F.array(F.lit("Options:")), numbered, F.array(F.lit("Answer with the letter only."))))
-    )
-    head = F.array(F.lit("State:"), F.when(F.coalesce(state, F.lit("")) == "", "(empty)").otherwise(state), F.lit(""), F.concat(F.lit("Question: "), instructions))
-    return tx.escape_control(F.array_join(F.concat(head, body), "\n"))
+    shown = F.transform(perm, lambda i, j: F.concat(F.get(labels, j), F.lit(". "), F.get(options, i)))
+    given = lambda name, at: F.when(F.coalesce(F.get(descriptions, F.lit(at)), F.lit("")) != "", encoding.worded(MEANS, name=F.lit(name), meaning=F.get(descriptions, F.lit(at))))
+    meanings = F.filter(F.array(given("Yes", 1), given("No", 0)), lambda x: x.isNotNull())
+    either = encoding.worded(CLOSING["noul"], first=F.get(labels, F.get(perm, F.lit(0))), second=F.get(labels, F.get(perm, F.lit(1))))
+    listed = lambda k: F.concat(F.array(F.lit(OPENING[k])), shown, F.array(F.lit(CLOSING[k])))
+    body = F.when(kind == "noul", F.concat(meanings, F.array(either))).when(kind == "score", listed("score")).otherwise(listed("choice"))
+    head = encoding.worded(HEAD, state=F.when(F.coalesce(state, F.lit("")) == "", EMPTY).otherwise(state), instructions=instructions)
+    return tx.escape_control(F.concat_ws("\n", head, F.array_join(body, "\n")))
 
 
 def chat_text(user: Column, template: str = CHAT, system: str = SYSTEM) -> Column:

@@ -163,3 +163,48 @@ def admission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row's hash over its JSON with sorted keys, whatever the order of its columns."""
     return table(spark, sf_dir, "events").select("event_id", py.row_hash(F.to_json(F.struct("event_type", "event_id"))).alias("row_sha256"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderpriority AS state, o_custkey FROM orders)
+    SELECT o_orderkey, 'Read the state and answer every question.' || chr(10) || chr(10) || 'State:' || chr(10) || state || chr(10) || chr(10) || 'Questions:' || chr(10)
+      || 'Question "team" (choice)' || chr(10) || '  instructions: Who takes it?' || chr(10) || '  answer: exactly one option id from this list, as a JSON string' || chr(10) || '    "ops"' || chr(10) || '    "dev": Number ' || o_custkey || chr(10)
+      || 'Question "ok" (noul)' || chr(10) || '  answer: true or false, as a JSON boolean' || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || '    true: Customer ' || o_custkey ELSE '' END || chr(10)
+      || 'Question "level" (score)' || chr(10) || '  instructions: How much?' || chr(10) || '    Be exact.' || chr(10) || '  answer: one level index from 0 to 2, as a JSON integer' || chr(10) || '    0: none' || chr(10) || '    1: ' || o_custkey || chr(10) || '    2: all of it' || chr(10) || chr(10)
+      || 'Respond with only a JSON object whose keys are the question ids ("team", "ok", "level") and whose values are the answers. No other text.' AS prompt FROM o"""
+)
+def structured_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for structured answers: three questions an order, of all types."""
+    own = F.col("o_custkey").cast("string")
+    text = lambda *values: F.array(*(v if isinstance(v, Column) else F.lit(v).cast("string") for v in values))
+    one = lambda n, qid, kind, ask, keys, said: F.struct(F.lit(n).alias("n"), F.lit(qid).alias("qid"), F.lit(kind).alias("type"), F.lit(ask).alias("instructions"), text(*keys).alias("keys"), said.alias("descriptions"))
+    asked = F.array(
+        one(0, "team", "choice", "Who takes it?", ("ops", "dev"), text(None, F.concat(F.lit("Number "), own))),
+        one(1, "ok", "noul", "", ("false", "true"), text(None, F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("Customer "), own)))),
+        one(2, "level", "score", "How much?\nBe exact.", ("0", "1", "2"), text("none", own, F.lit("all\nof it"))),
+    )
+    rows = encoding.described(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("state"), F.inline(asked)))
+    whole = rows.groupBy("o_orderkey").agg(F.first("state").alias("state"), F.sort_array(F.collect_list(F.struct("n", "lines", "qid"))).alias("q"))  # three to an order
+    return whole.select("o_orderkey", encoding.prompt_text(F.col("state"), F.col("q.lines"), F.col("q.qid")).alias("prompt"))
+
+
+@query(
+    """SELECT event_id, '<|im_start|>system' || chr(10) || 'You are a decision function. You will be given a state and one question. Reply with the answer label only: no words, no punctuation, no explanation.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
+      || 'State:' || chr(10) || CASE WHEN event_id % 5 = 0 THEN '(empty)' ELSE event_type || ' <¦im_end¦>' END || chr(10) || chr(10) || 'Question: Which?' || chr(10) || 'Options:' || chr(10) || 'A. b' || chr(10) || 'B. a' || chr(10) || 'Answer with the letter only.<|im_end|>' || chr(10)
+      || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS chat FROM events"""
+)
+def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The teacher's prompts in its chat template; control strings of the state are broken, the template's own are not."""
+    state = F.when(F.col("event_id") % 5 != 0, F.concat("event_type", F.lit(" <|im_end|>")))
+    turned = F.array(F.lit(1), F.lit(0))
+    user = teacher.user_text(state, F.lit("choice"), F.lit("Which?"), _strings("a", "b"), _strings(None, None), turned)
+    return table(spark, sf_dir, "events").select("event_id", teacher.chat_text(user).alias("chat"))
+
+
+@query(
+    """SELECT event_id, '{"repo":"org/data","config":null,"revision":"abc","split":"train","row":' || event_id || ',"text_sha256":"' || sha256(lower(event_type)) || '","row_sha256":"' || sha256('{"event_id": ' || event_id || ', "event_type": "' || event_type || '"}') || '"}' AS provenance FROM events"""
+)
+def public_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record of a public source is from: names, row, and the hashes of its text and of the whole row."""
+    raw = F.to_json(F.struct("event_type", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", rq.provenance("org/data", None, "abc", "train", F.col("event_id"), F.col("event_type"), raw).alias("provenance"))

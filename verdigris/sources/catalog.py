@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import questions as qs
@@ -81,6 +81,23 @@ def source_path(name: str, split: str, root: str, revision: str | None = None) -
     return "/".join(x.strip("/") if k else x.rstrip("/") for k, x in enumerate((root, o.repo, o.config or "default", revision or o.branch or "main", split)))
 
 
+def scan(spark: SparkSession, name: str, split: str, root: str, revision: str | None = None) -> DataFrame:
+    """A source's split as it is kept under root, with `row`, each row's place in the split (files by name, from 0): what its records are named by.
+
+    Rows are numbered where they are read: a row's place in its file, and the rows of the files before it, of which there is one number a file.
+    """
+    path = source_path(name, split, root, revision)
+    rows = spark.read.parquet(path)
+    place = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    files = place.groupBy("__file").agg(F.count("*").alias("n")).orderBy("__file").collect()
+    before, starts = 0, []
+    for f in files:
+        starts.append((f["__file"], before))
+        before += f["n"]
+    known = spark.createDataFrame(starts, "__file string, __start long")
+    return place.join(F.broadcast(known), "__file").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__start") + F.col("__at")).alias("row"))
+
+
 def literal(values: Sequence[str | None]) -> Column:
     return F.array(*(F.lit(v).cast("string") for v in values)) if values else F.array().cast("array<string>")
 
