@@ -1,11 +1,13 @@
 """Texts that made an operator slow: long runs of one character, long copies."""
 
+import math
 import random
 import time
 
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, pieces
 
@@ -53,3 +55,24 @@ def test_runs_of_hits_begin_once(spark):
     hit = lambda at, item_at: (["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"], at, ["x", *"bcdefghij"], item_at)
     rows = spark.createDataFrame([hit(0, 0), hit(1, 1), hit(2, 2), hit(2, 0)], "words array<string>, at int, item_words array<string>, item_at int")
     assert [r[0] for r in rows.select(decontaminate._begins([10], 13)).collect()] == [True, True, False, True]
+
+
+def test_largest_sums_of_whole_texts(spark, small, edge_docs):
+    """The Viterbi query's scores against a plain pass over each whole marked text, ids decoded back, odd rows included."""
+    vocabulary = pieces.Vocabulary(pieces.model_path())
+    longest = max(map(len, vocabulary.ids))
+    lookup = vocabulary.scores.get
+
+    def best(text):
+        marked = pieces.MARK + text.replace(" ", pieces.MARK) if text else ""
+        sums = [0.0]
+        for end in range(1, len(marked) + 1):
+            known = [sums[k] + x for k in range(max(0, end - longest), end) if (x := lookup(marked[k:end])) is not None]
+            sums.append(max(known, default=float("-inf")) if lookup(marked[end - 1]) is not None else max([*known, sums[-1] + vocabulary.unknown]))
+        return sums[-1]
+
+    texts = [r["text"][:800] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(120).collect()] + ["", "  two  spaces ", "a\nb", "日本語 ﬁ①", "x" * 300, "abc" + " " * 40 + "d"]
+    rows = pieces.encode(spark.createDataFrame([(t,) for t in texts], "text string"), keep=(F.col("text"),), round_trip=True, largest_sum=True).collect()
+    assert len(rows) == len(texts) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) and math.isclose(r["score"], best(r["text"]), rel_tol=1e-9) for r in rows)
+    odd = pieces.encode(edge_docs, keep=(F.col("doc_id"),), round_trip=True, largest_sum=True).collect()
+    assert len(odd) == edge_docs.count() and all(r["round_trip"] for r in odd) and {r["score"] for r in odd if r["doc_id"] in (3, 4)} == {0.0}

@@ -90,9 +90,9 @@ def model_kind(data: bytes) -> int:
 class Vocabulary:
     """Pieces, scores and the forward pass over words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: int | None = None):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kind = model_kind(model.serialized_model_proto())
+        self.kind = kind or model_kind(model.serialized_model_proto())
         if self.kind not in (UNIGRAM, BYTE_PAIR):
             raise ValueError("neither a unigram nor a byte-pair vocabulary")
         n = model.get_piece_size()
@@ -111,6 +111,9 @@ class Vocabulary:
         if not all(self.byte_ids):
             raise ValueError("a vocabulary without a piece for every byte")
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        self.by_id = np.zeros(n)  # what an id adds to a text's sum of scores; of an unknown character's bytes the first one
+        self.by_id[list(self.ids.values())] = [self.scores[p] for p in self.ids]
+        self.by_id[[i for b, i in enumerate(self.byte_ids) if b & 0xC0 != 0x80]] = self.unknown
         self.feeds = any("\n" in p for p in self.ids)
         self.joins: dict[str, dict[str, bool]] = {}
         self.n_joins = 0
@@ -122,7 +125,7 @@ class Vocabulary:
             for c in piece:
                 place = place.setdefault(c, {})
             place[""] = piece
-        if list(model.encode("  a ", out_type=str)) != self.pieces_of(f"{MARK}{MARK}{MARK}a{MARK}"):
+        if kind is None and list(model.encode("  a ", out_type=str)) != self.pieces_of(f"{MARK}{MARK}{MARK}a{MARK}"):
             raise ValueError("the model's normaliser is not the one expected: a mark in front, nothing else changed")
 
     def merge(self, text: str) -> list[str]:
@@ -300,8 +303,8 @@ class Vocabulary:
 class Encoder:
     """Encodes batches of texts with one vocabulary; keeps the ids of words it has seen, as bytes."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, kind: int | None = None):
+        self.vocabulary = Vocabulary(path, kind)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks: dict[int, bytes] = {}
@@ -384,9 +387,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, kind: int | None = None) -> Encoder:
     """The worker's own; its vocabulary outlives a task."""
-    return Encoder(path)
+    return Encoder(path, kind)
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -407,19 +410,22 @@ def _id_lists(found: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (), path: str | None = None, round_trip: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (), path: str | None = None, round_trip: bool = False, largest_sum: bool = False) -> DataFrame:
     """Every row: the columns in keep, n_tokens, ids and, with round_trip, whether decoding gives the text back.
 
-    A null or empty text has no ids (and comes back as empty). Texts are encoded whole, some MB at a time. Repeated rows stay. Equal to the library's encoding by the same model.
+    largest_sum: by the Viterbi pass over the vocabulary's scores, whatever its kind, and with `score`, the sum of scores of the
+    pieces, which no other way to cut the text exceeds. A null or empty text has no ids (and comes back as empty). Texts are encoded whole, some MB at a time. Repeated rows stay. Equal to the library's encoding by the same model.
     """
     path = path or model_path()
     rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("__vg_text"))
     schema = rows.schema[:-1].add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
     if round_trip:
         schema = schema.add("round_trip", "boolean")
+    if largest_sum:
+        schema = schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, UNIGRAM if largest_sum else None)
         for whole in batches:
             for batch in _cut(whole):
                 texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -428,6 +434,8 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (
                 if round_trip:
                     same = [encoder.decode(np.frombuffer(x, np.int32)) == (t or "").replace(MARK, " ") for x, t in zip(found, texts, strict=True)]
                     added.append(pa.array(same, pa.bool_()))
+                if largest_sum:
+                    added.append(pa.array([float(encoder.vocabulary.by_id[np.frombuffer(x, np.int32)].sum()) for x in found], pa.float64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
         encoder.forget()
 
