@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import numeric as nm
 from verdigris.operators import panels, reports, scoring
 from verdigris.plans import fixtures as fx
+from verdigris.plans import summary
 from verdigris.session import table
 
 Q, SQL = {}, {}
@@ -161,3 +162,22 @@ def generated_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 3 == 0, right).when(k % 3 == 1, '{"language": "it"} is it').otherwise("none")
     rows = panels.json_rows(_panel(spark, sf_dir), lambda r: r.withColumn("text", text), "test")
     return rows.select("record_id", "parse_ok", "answered", "pred", "correct", "text")
+
+
+_RIGHT = "CASE WHEN eligible THEN CASE WHEN pred = gold THEN 1.0::DOUBLE ELSE 0.0 END END"
+_N = "count(*) FILTER (WHERE eligible)"
+
+
+@query(
+    f"""WITH {fx.EVAL_SQL}, l AS (SELECT * FROM ev WHERE gold IS NOT NULL), o AS (SELECT system, avg({_RIGHT}) AS a, {_N} AS n, count(*) AS t, count(*) FILTER (WHERE NOT eligible) AS i FROM l GROUP BY 1),
+    s AS (SELECT c.system, count(*) AS n, avg(CASE WHEN c.pred = p.pred THEN 1.0::DOUBLE ELSE 0.0 END) AS g FROM ev c JOIN ev p ON p.record_id = c.record_id AND p.system = 'parent_raw' AND c.system <> 'parent_raw' AND c.pred IS NOT NULL AND p.pred IS NOT NULL GROUP BY 1),
+    k AS (SELECT record_id FROM ev WHERE system = 'parent_raw' AND eligible)
+    SELECT section, line, "column", round(value, 6) AS value, n FROM (
+      SELECT 'systems' AS section, system AS line, 'accuracy' AS "column", a AS value, n FROM o UNION ALL SELECT 'systems', system, 'vs_base', CASE WHEN system <> 'parent_raw' THEN 100 * (a - (SELECT a FROM o WHERE system = 'parent_raw')) END, n FROM o
+      UNION ALL SELECT 'systems', system, 'ineligible', i, t FROM o UNION ALL SELECT 'systems', system, 'agreement', g, n FROM s
+      UNION ALL SELECT 'task', task, system, avg({_RIGHT}), {_N} FROM ev GROUP BY 2, 3 UNION ALL SELECT 'source_family', source_family, system, avg({_RIGHT}), {_N} FROM l GROUP BY 2, 3
+      UNION ALL SELECT 'like_for_like', 'parent_raw', system, avg({_RIGHT}), {_N} FROM l WHERE record_id IN (SELECT record_id FROM k) GROUP BY 3)"""
+)
+def summary_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure of three systems' report."""
+    return _rounded(summary.cells(fx.evaluation_rows(spark, sf_dir), "parent_raw", "parent_raw", ["parent_raw"]), "value")
