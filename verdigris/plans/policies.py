@@ -194,10 +194,76 @@ def _order_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
 
 
-@query()
+def _drawn(name: str) -> str:
+    """A uniform number of a group by the name of the draw, in SQL."""
+    return f"(CAST('0x' || substr(sha256('42:' || family || ':{name}:' || id), 1, 13) AS BIGINT) / {float(1 << 52)})"
+
+
+def _by_draw(prefix: str, names: str) -> str:
+    parts = ", ".join(f"{{'u': {_drawn(prefix + n)}, 'n': '{n}'}}" for n in names.split())
+    return f"list_transform(list_sort([{parts}]), lambda x: x.n)"
+
+
+def _holds_sql(x: str, y: str) -> str:
+    """Whether an atom (kind, t) holds of two values given as text."""
+    n = f"TRY_CAST({x} AS INTEGER)"
+    return f"""(CASE kind WHEN 'lt' THEN {n} < t WHEN 'le' THEN {n} <= t WHEN 'gt' THEN {n} > t WHEN 'ge' THEN {n} >= t WHEN 'eq' THEN {n} = t WHEN 'range' THEN {n} BETWEEN t AND t + 10
+      WHEN 'match' THEN {x} = {y} WHEN 'elapsed' THEN date_diff('day', TRY_CAST({x} AS DATE), TRY_CAST({y} AS DATE)) <= t ELSE {x} = 'yes' END)"""
+
+
+def _vectors_sql(number: int, tree: object) -> str:
+    """The truth vectors of a shape with what SQL says of them: the label, and for each atom whether it decides."""
+    n = max(pl.used_atoms(tree)) + 1
+    rule = f"CAST({_rule_sql(tree)} AS BOOLEAN)"
+    decides = lambda i: f"({rule} <> {re.sub(rf'a{i}(?![0-9])', f'(NOT a{i})', rule)}) AND ({re.sub(rf'a{i}(?![0-9])', 'CAST(NULL AS BOOLEAN)', rule)}) IS NULL"
+    which = ", ".join(decides(i) if i < n else "false" for i in range(4))
+    fixed = " AND ".join(["true", *(f"a{i}" for i in range(n, 4))])
+    return f"SELECT {number} AS number, {n} AS atoms, a0, a1, a2, a3, {rule} AS label, [{which}] AS deciding FROM bits WHERE {fixed}"
+
+
+_SAID = """CASE kind WHEN 'lt' THEN noun || ' value is less than ' || t WHEN 'le' THEN noun || ' value is at most ' || t WHEN 'gt' THEN noun || ' value is greater than ' || t WHEN 'ge' THEN noun || ' value is at least ' || t WHEN 'eq' THEN noun || ' value is equal to ' || t
+      WHEN 'range' THEN noun || ' value is between ' || t || ' and ' || (t + 10) || ', including both endpoints' WHEN 'match' THEN noun || ' signer is the same person as ' || noun || ' designated approver'
+      WHEN 'elapsed' THEN 'the elapsed days from ' || noun || ' start date to ' || noun || ' end date are at most ' || t ELSE noun || ' verified is yes' END"""
+_WRAPPED = """CASE style WHEN 2 THEN 'Approval requires the following rule to be true: ' || rule || '. A false rule means denial. Routing references are irrelevant.'
+      WHEN 3 THEN 'A case is approved when ' || rule || '; any other case is denied. Routing references play no part in the decision.' WHEN 4 THEN 'DECISION RULE ' || rule || ' -> approve; otherwise reject. Ignore the routing reference.'
+      ELSE 'Approve exactly when ' || rule || '. Otherwise deny. The routing reference does not affect eligibility.' END"""
+_KINDS = "lt le gt ge eq range match elapsed flag".split()
+_COMPOSED = f"""WITH bits AS (SELECT k // 8 % 2 = 0 AS a0, k // 4 % 2 = 0 AS a1, k // 2 % 2 = 0 AS a2, k % 2 = 0 AS a3 FROM range(16) AS r(k)),
+    vec0 AS ({" UNION ALL ".join(_vectors_sql(k, t) for k, t in enumerate(pl.SHAPES.values()))}),
+    vec AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY a0 DESC, a1 DESC, a2 DESC, a3 DESC) AS k FROM vec0 WHERE list_contains(deciding, true)),
+    g AS (SELECT o_orderkey AS id, o_orderkey % 14 AS number, ({list(pl.SHAPES)})[1 + o_orderkey % 14] AS family FROM orders),
+    h AS (SELECT *, {_by_draw("noun", "request account package review member shipment entry case")} AS nouns, {_by_draw("person", "Mira Noah Aiko Ravi Sana Elin Tomas Kofi")} AS people FROM g),
+    a0 AS ({" UNION ALL ".join(f"SELECT id, family, number, {i} AS i, nouns[{i + 1}] AS noun, people[{2 * i + 1 if i < 3 else 2}:{2 * i + 3 if i < 3 else 4}] AS people, ({_KINDS})[1 + CAST(floor({_drawn(f'kind{i}')} * 9) AS INTEGER)] AS kind, 5 + CAST(floor({_drawn(f't{i}')} * 56) AS INTEGER) AS t, make_date(2027, 1 + CAST(floor({_drawn(f'month{i}')} * 8) AS BIGINT), 1 + CAST(floor({_drawn(f'day{i}')} * 28) AS BIGINT)) AS start, {_drawn(f'facts{i}')} AS uf, {_drawn(f'edit{i}.0')} AS ue0, {_drawn(f'edit{i}.1')} AS ue1 FROM h" for i in range(4))}),
+    a1 AS (SELECT *, CASE kind WHEN 'match' THEN people WHEN 'elapsed' THEN [CAST(start AS VARCHAR)] WHEN 'flag' THEN ['no', 'yes'] ELSE list_transform([t - 1, t, t + 1, t + 10, t + 11], lambda x: CAST(x AS VARCHAR)) END AS v0,
+      CASE kind WHEN 'match' THEN people WHEN 'elapsed' THEN list_transform([greatest(0, t - 1), t, t + 1, t + 10], lambda x: CAST(CAST(start + to_days(CAST(x AS INTEGER)) AS DATE) AS VARCHAR)) ELSE [CAST(NULL AS VARCHAR)] END AS v1,
+      noun || CASE kind WHEN 'match' THEN ' signer' WHEN 'elapsed' THEN ' start date' WHEN 'flag' THEN ' verified' ELSE ' value' END AS n0, CASE kind WHEN 'match' THEN noun || ' designated approver' WHEN 'elapsed' THEN noun || ' end date' END AS n1, {_SAID} AS said FROM a0),
+    a2 AS (SELECT *, flatten(list_transform(v0, lambda x: list_transform(v1, lambda y: {{'x': x, 'y': y}}))) AS every FROM a1),
+    a3 AS (SELECT *, list_filter(every, lambda z: coalesce({_holds_sql("z.x", "z.y")}, false)) AS yes, list_filter(every, lambda z: NOT coalesce({_holds_sql("z.x", "z.y")}, false)) AS no FROM a2),
+    w AS (SELECT id, list(len(yes) ORDER BY i) AS ny, list(len(no) ORDER BY i) AS nn, list(said ORDER BY i) AS said FROM a3 GROUP BY id),
+    c0 AS (SELECT g.id, g.family, g.number, v.*, w.said, list_product([CASE WHEN j < v.atoms THEN CASE WHEN [v.a0, v.a1, v.a2, v.a3][j + 1] THEN ny[j + 1] ELSE nn[j + 1] END ELSE 1 END FOR j IN [0, 1, 2, 3]]) AS ways FROM g JOIN vec v USING (number) JOIN w USING (id)),
+    c1 AS (SELECT *, sum(ways) OVER (PARTITION BY id ORDER BY k) AS upto, sum(ways) OVER (PARTITION BY id) AS total FROM c0),
+    c AS (SELECT * FROM c1 WHERE upto > floor({_drawn("facts")} * total) AND upto - ways <= floor({_drawn("facts")} * total)),
+    f0 AS (SELECT a.*, c.atoms, c.deciding[a.i + 1] AS decides, [c.a0, c.a1, c.a2, c.a3][a.i + 1] AS truth, CASE WHEN [c.a0, c.a1, c.a2, c.a3][a.i + 1] THEN yes ELSE no END AS own FROM a3 a JOIN c USING (id) WHERE a.i < c.atoms),
+    f1 AS (SELECT *, own[1 + CAST(floor(uf * len(own)) AS INTEGER)] AS v FROM f0),
+    f2 AS (SELECT *, list_filter(v0, lambda x: {_holds_sql("x", "v.y")} <> truth) AS e0, CASE WHEN n1 IS NULL THEN [] ELSE list_filter(v1, lambda y: {_holds_sql("v.x", "y")} <> truth) END AS e1 FROM f1),
+    e AS (SELECT id, min({{'u': u, 'field': field, 'value': value}}) AS edit FROM (SELECT id, ue0 AS u, n0 AS field, e0[1] AS value FROM f2 WHERE decides AND len(e0) > 0 UNION ALL SELECT id, ue1, n1, e1[1] FROM f2 WHERE decides AND len(e1) > 0) GROUP BY id),
+    q AS (SELECT *, {_drawn("routing")} < 0.5 AS other, CAST(100 + CAST(floor({_drawn("routing low")} * 401) AS INTEGER) AS VARCHAR) AS low, CAST(501 + CAST(floor({_drawn("routing high")} * 499) AS INTEGER) AS VARCHAR) AS high, CAST(floor({_drawn("style")} * 5) AS INTEGER) AS style, {_drawn("keys")} < 0.5 AS turned,
+      said[1] AS w0, said[2] AS w1, said[3] AS w2, said[4] AS w3 FROM c),
+    facts AS (SELECT id, n0 AS field, v.x AS value FROM f2 UNION ALL SELECT id, n1, v.y FROM f2 WHERE n1 IS NOT NULL UNION ALL SELECT id, 'routing reference', CASE WHEN other THEN low ELSE high END FROM q),
+    p AS (SELECT *, CASE {" ".join(f"WHEN number = {k} AND style = {s} THEN {_words_sql(t, s)}" for k, t in enumerate(pl.SHAPES.values()) for s in range(5))} END AS rule FROM q),
+    s AS (SELECT * FROM (VALUES ('relevant', 'a'), ('relevant', 'b'), ('irrelevant', 'a'), ('irrelevant', 'b')) AS x(pair_kind, sibling)),
+    t AS (SELECT p.id, s.pair_kind, s.sibling, string_agg('The ' || facts.field || ' is ' || CASE WHEN s.pair_kind = 'relevant' AND s.sibling = 'b' AND facts.field = e.edit.field THEN e.edit.value WHEN s.pair_kind = 'irrelevant' AND s.sibling = 'b' AND facts.field = 'routing reference' THEN CASE WHEN other THEN high ELSE low END ELSE facts.value END || '.', ' ' ORDER BY sha256('42:' || p.family || ':' || p.id || ':' || facts.field)) AS case_text
+      FROM p JOIN facts USING (id) JOIN e USING (id) CROSS JOIN s GROUP BY ALL)
+    SELECT 'composition/42/' || p.family || '/' || p.id || '/' || t.pair_kind || '/' || t.sibling AS record_id, e.edit.field AS deciding_field, CASE WHEN label = (t.pair_kind = 'irrelevant' OR t.sibling = 'a') THEN 'accept' ELSE 'reject' END AS gold,
+      CASE WHEN turned THEN 'reject,accept' ELSE 'accept,reject' END AS keys, {_WRAPPED} AS policy, t.case_text FROM t JOIN p USING (id) JOIN e USING (id)"""
+
+
+@query(_COMPOSED)
 def policy_composition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed cases, four an order, of all shapes in all styles: pairs that differ in a deciding fact, and in none that counts."""
-    return cases.compositions(spark, _order_ids(spark, sf_dir), 42, styles=(0, 1, 2, 3, 4))
+    rows = cases.compositions(spark, _order_ids(spark, sf_dir), 42, styles=(0, 1, 2, 3, 4))
+    state = F.from_json("state", "policy string, case string")
+    return rows.select("record_id", "deciding_field", "gold", F.array_join("keys", ",").alias("keys"), state["policy"].alias("policy"), state["case"].alias("case_text"))
 
 
 @query()
