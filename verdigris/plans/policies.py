@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,10 +267,59 @@ def policy_composition_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", "deciding_field", "gold", F.array_join("keys", ",").alias("keys"), state["policy"].alias("policy"), state["case"].alias("case_text"))
 
 
-@query()
+#: The labels of the families once more, in SQL over the value v that the two cases differ in.
+_PAIR_LABELS = {
+    "return_window": "v <= \"window\"", "spend_threshold": "CASE WHEN v <= \"limit\" THEN 'auto_approved' ELSE 'director_signoff' END", "authorization": "signer = approver", "age_eligibility": "v >= minimum",
+    "quantity_limit": "CASE WHEN v <= \"limit\" THEN 'within_limit' WHEN v <= 2 * \"limit\" THEN 'slightly_over' ELSE 'far_over' END", "deadline": _tier_sql("v", "0", "grace"), "warranty_claim": _tier_sql("v", "standard", "extended"),
+    "sla_response": _tier_sql("v", "target", "breach"), "late_fee": _tier_sql("v", "grace", "cap"), "volume_discount": _tier_sql("v", "t1", "t2", "<"), "shipping_delay": _tier_sql("v", "minor", "major"),
+}
+
+
+def _pair_sql(number: int, family: str) -> str:
+    """Both cases of the pairs of one family, from its fixed values: draws, texts and labels in SQL."""
+    own, count = cases.FAMILIES[family], len(cases.FAMILIES[family]["levels"])
+    u = lambda name: f"(CAST('0x' || substr(sha256('42:{family}:{name}:' || id), 1, 13) AS BIGINT) / {float(1 << 52)})"
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    quoted = lambda x: re.sub(r"\b(limit|window)\b", r'"\1"', x.replace(" div ", " // "))
+
+    def text(template: str) -> str:
+        parts = []
+        for words, name, form, _ in string.Formatter().parse(template):
+            if words:
+                parts.append(literal(words))
+            if name is not None:
+                x = quoted(name)
+                parts.append(f"monthname({x}) || ' ' || day({x}) || ', ' || year({x})" if form == "day" else f"format('{{:,}}', {x})" if form == "," else f"CAST({x} AS VARCHAR)")
+        return " || ".join(parts)
+
+    drawn = []
+    for names, values in own["choose"].items():
+        several = names.split(",")
+        for k, c in enumerate(several):
+            drawn.append(f"([{', '.join(literal(v[k] if len(several) > 1 else v) for v in values)}])[1 + CAST(floor({u(names)} * {len(values)}) AS INTEGER)] AS {quoted(c)}")
+    if "day" in own:
+        start, first, last, _ = own["day"]
+        drawn.append(f"make_date(2026, CAST({first} + floor({u('month')} * {last - first + 1}) AS BIGINT), CAST(1 + floor({u('day')} * 28) AS BIGINT)) AS {start}")
+    one = "0" if own.get("first") else f"CAST(floor({u('level')} * {count}) AS INTEGER)"
+    bound = lambda k: f"CASE level {' '.join(f'WHEN {n} THEN {quoted(b[k])}' for n, b in enumerate(own['levels']))} END"
+    fact = f"CAST({own['day'][0]} + to_days(CAST(v AS INTEGER)) AS DATE) AS {own['day'][3]}" if "day" in own else f"([{', '.join(map(literal, cases.NAMES))}])[1 + (list_position([{', '.join(map(literal, cases.NAMES))}], approver) - 1 + v) % 12] AS signer" if family == "authorization" else f"v AS {own['value']}"
+    order = ", ".join(f"{{'u': {u(f'order{i}')}, 'i': {i + 1}}}" for i in range(3))
+    told = ", ".join(text(t) for t, _ in own["sentences"])
+    kind, _, options = own["ask"]
+    keys = "false,true" if kind == "noul" else ",".join(k for k, _ in options) if kind == "choice" else ",".join(map(str, range(len(options))))
+    return f"""SELECT 'contrastive/{family}/42-{family}-' || CASE WHEN id < 1000 THEN lpad(CAST(id AS VARCHAR), 4, '0') ELSE CAST(id AS VARCHAR) END || '/' || sibling AS record_id, '{kind}' AS type, '{keys}' AS keys, CAST({_PAIR_LABELS[family]} AS VARCHAR) AS gold, {text(own["policy"])} AS policy,
+      array_to_string(list_transform(list_sort([{order}]), lambda x: ([{told}])[x.i]), ' ') AS case_text
+      FROM (SELECT *, {fact} FROM (SELECT *, low + CAST(floor(uv * (high - low + 1)) AS INTEGER) AS v FROM (SELECT *, {bound(0)} AS low, {bound(1)} AS high FROM (
+        SELECT *, unnest(['a', 'b']) AS sibling, unnest([{one}, ({one} + 1 + CAST(floor({u("other")} * {count - 1}) AS INTEGER)) % {count}]) AS level, unnest([{u("value_a")}, {u("value_b")}]) AS uv
+        FROM (SELECT id, {", ".join(drawn)} FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % {len(cases.FAMILIES)} = {number}))))))"""
+
+
+@query(" UNION ALL ".join(_pair_sql(k, family) for k, family in enumerate(cases.FAMILIES)))
 def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked contrastive pairs, one an order, of all eleven families, with their texts."""
-    return cases.contrastive(spark, _order_ids(spark, sf_dir), 42)[0]
+    rows = cases.contrastive(spark, _order_ids(spark, sf_dir), 42)[0]
+    state = F.from_json("state", "policy string, case string")
+    return rows.select("record_id", "type", F.array_join("keys", ",").alias("keys"), "gold", state["policy"].alias("policy"), state["case"].alias("case_text"))
 
 
 def _u(name: str) -> str:
