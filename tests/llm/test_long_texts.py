@@ -51,10 +51,15 @@ def test_a_long_item_copied_whole(spark):
     assert {(r["doc_id"], r["matched"], r["start"]) for r in rows} == {(1, 5000, 2), (2, 4750, 0)}
 
 
-def test_runs_of_hits_begin_once(spark):
-    hit = lambda at, item_at: (["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"], at, ["x", *"bcdefghij"], item_at)
-    rows = spark.createDataFrame([hit(0, 0), hit(1, 1), hit(2, 2), hit(2, 0)], "words array<string>, at int, item_words array<string>, item_at int")
-    assert [r[0] for r in rows.select(decontaminate._begins([10], 13)).collect()] == [True, True, False, True]
+def test_one_hit_stands_for_an_alignment(spark):
+    """Of all hits of a document and an item, exactly one for each way to lay the item on the document."""
+    words, item = list("abcdefghijzzabcdefghij"), ["x", *"bcdefghij"]
+    table = spark.createDataFrame([(words, at, item, own) for at in range(len(words)) for own in range(len(item))], "words array<string>, at int, item_words array<string>, item_at int")
+    masks = decontaminate.SHORT[10]
+    equal = lambda at, own, m: all(at + p < len(words) and own + p < len(item) and words[at + p] == item[own + p] for p in m)
+    hits = {(at, own) for at in range(len(words)) for own in range(len(item)) if any(equal(at, own, m) for m in masks)}
+    kept = {(r["at"], r["item_at"]) for r in table.where(decontaminate._first_hit([10], 13)).collect()} & hits
+    assert len(hits) > 8 and kept == {(at, own) for at, own in hits if not any((at - own + k, k) in hits for k in range(own))} and len(kept) == 2
 
 
 def test_largest_sums_of_whole_texts(spark, small, edge_docs):

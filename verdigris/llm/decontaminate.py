@@ -4,7 +4,7 @@ A seed is a hash of the words at the positions of a fixed mask; the positions be
 words each and are chosen so that of any WINDOW aligned words of which at most two differ, one mask at one offset
 reads only equal ones. Shorter items have masks of their own (SHORT), chosen in the same way for the words that may
 differ in them: two of 10 to 12, one of 5 to 9, none of 1 to 4. Seeds of training texts and of benchmark items are joined; each hit fixes an alignment,
-and around the first hit of a run of hits the item is compared with the text word by word: the pair is contaminated if in some window of
+and around the first hit of each alignment the item is compared with the text word by word: the pair is contaminated if in some window of
 WINDOW words (the whole item if it is shorter) at least 80 of 100 are equal, substituted words allowed.
 
 Words are runs of letters and digits, lower-cased. There is no shortest item: one of a single word matches every
@@ -61,22 +61,21 @@ def _seeds(rows: DataFrame, keep: list[str], sizes: Sequence[int] = (WINDOW,)) -
     return placed.select(*keep, "at", F.explode(seeds).alias("seed")).where(F.col("seed").isNotNull())
 
 
-def _begins(sizes: Sequence[int], window: int) -> Column:
-    """Whether a hit (words, at, item_words, item_at) is the first of a run: none of the item's masks reads equal words one position before it.
+def _first_hit(sizes: Sequence[int], window: int) -> Column:
+    """Whether a hit (words, at, item_words, item_at) is the first of its alignment: none of the item's masks reads equal words at an earlier place of the item.
 
-    A copy of n words has about n hits of one alignment, in as many runs as substitutions part; the first of each
-    run stands for all of it.
+    A copy of n words has about n hits of one alignment; the first stands for all of them. Most others are told by the
+    place just before, or by the item's first places, where a search from the item's begin stops.
     """
 
-    def word(words: str, at: str, p: int) -> Column:
-        return F.get(F.col(words), F.col(at).cast("int") + F.lit(p - 1))
+    def read(mask: tuple[int, ...], place: Column) -> Column:
+        own = lambda p: F.get("words", (F.col("at") - F.col("item_at") + place + p).cast("int")) == F.get("item_words", (place + p).cast("int"))
+        return reduce(lambda a, b: a & b, map(own, mask))
 
-    def read(mask: tuple[int, ...]) -> Column:
-        return reduce(lambda a, b: a & b, (word("words", "at", p) == word("item_words", "item_at", p) for p in mask))
-
-    own = _least(F.least(F.lit(window), F.size("item_words")))
-    before = reduce(lambda a, b: a | b, ((own == k) & reduce(lambda a, b: a | b, map(read, _BY_SIZE[k])) for k in sizes))
-    return ~((F.col("at") > 0) & (F.col("item_at") > 0) & F.coalesce(before, F.lit(False)))
+    least = _least(F.least(F.lit(window), F.size("item_words")))
+    hit = lambda place: F.coalesce(reduce(lambda a, b: a | b, ((least == k) & reduce(lambda a, b: a | b, (read(m, place) for m in _BY_SIZE[k])) for k in sizes)), F.lit(False))
+    earlier = F.exists(F.sequence(F.lit(0), F.col("item_at").cast("int") - 1), hit)
+    return (F.col("item_at") == 0) | ~(hit(F.col("item_at").cast("int") - 1) | earlier)
 
 
 def _verified(hits: DataFrame, window: int, percent: int) -> DataFrame:
@@ -112,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     if wanted.count() <= BROADCAST_SEEDS and n_words <= BROADCAST_WORDS:
         hits = _seeds(texts, ["doc", "words"], sizes).join(F.broadcast(wanted), "seed").join(F.broadcast(items), "own")
-        hits = hits.where(_begins(sizes, window)).select("doc", "words", "item", "item_words", shift)
+        hits = hits.where(_first_hit(sizes, window)).select("doc", "words", "item", "item_words", shift)
     else:
         # A hit finds its own text again by the id and a hash of the words; a hot seed is split by AQE, as nothing else needs its rows together.
         texts = texts.withColumn("print", F.xxhash64("words"))
