@@ -189,3 +189,49 @@ _QUESTION = T.StructType().add("qid", "string").add("type", "string").add("instr
 def labelled_request(raw: pd.Series) -> pd.DataFrame:
     """A labelled request as JSON, with every value's own type: state as JSON, its text and hashes, and the questions with texts and gold keys (null: the label names none). What is no request has no questions."""
     return pd.DataFrame([_labelled(r) for r in raw], columns=["state", "text", "hashes", "schema_family", "notes", "questions"])
+
+
+def _question_problem(q: object, most: int) -> str | None:
+    kind, criteria = (q.get("type"), q.get("criteria")) if isinstance(q, dict) else (None, None)
+    if kind == "noul":
+        return None if criteria is None or isinstance(criteria, dict) and set(criteria) <= {"true", "false"} else "noul_keys"
+    if kind not in ("choice", "score"):
+        return "unknown_type"
+    if not isinstance(criteria, dict if kind == "choice" else list) or not 1 <= len(criteria) <= most:
+        return "option_count"
+    return "empty_option_id" if kind == "choice" and "" in criteria else None
+
+
+def _request(raw: str | None) -> dict:
+    """MAX_QUESTIONS and MAX_OPTIONS of functions.questions bound what a request may ask."""
+    from verdigris.functions.questions import MAX_OPTIONS, MAX_QUESTIONS
+
+    try:
+        top = json.loads(raw)
+    except (TypeError, ValueError):
+        top = None
+    asked = top.get("questions") if isinstance(top, dict) and "state" in top else None
+    if not isinstance(asked, dict):
+        return {"problem": "no_request", "text": None, "questions": None}
+    problems = [p for q in asked.values() if (p := _question_problem(q, MAX_OPTIONS))]
+    if not 1 <= len(asked) <= MAX_QUESTIONS:
+        problems = ["question_count"]
+    if problems:
+        return {"problem": problems[0], "text": None, "questions": None}
+    told = lambda v: None if v is None else _rendered(v, 0)
+    out = []
+    for qid, q in asked.items():
+        kind, criteria = q["type"], q.get("criteria") or {}
+        keys = list(criteria) if kind == "choice" else ["false", "true"] if kind == "noul" else [str(k) for k in range(len(criteria))]
+        said = [criteria.get(k) for k in keys] if kind != "score" else criteria
+        out.append({"qid": qid, "type": kind, "instructions": told(q.get("instructions")) or "", "keys": keys, "descriptions": [told(d) for d in said]})
+    return {"problem": None, "text": _rendered(top["state"], 0), "questions": out}
+
+
+_ASKED = T.StructType().add("qid", "string").add("type", "string").add("instructions", "string").add("keys", _TEXTS).add("descriptions", _TEXTS)
+
+
+@F.pandas_udf(T.StructType().add("problem", "string").add("text", "string").add("questions", T.ArrayType(_ASKED)))
+def request(raw: pd.Series) -> pd.DataFrame:
+    """A request as JSON: the state's text and the questions with their texts, in order; or the first problem with it."""
+    return pd.DataFrame([_request(r) for r in raw], columns=["problem", "text", "questions"])

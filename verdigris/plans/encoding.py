@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions import numeric as nm
 from verdigris.functions import python_udfs as py
 from verdigris.functions import questions as qs
-from verdigris.operators import encoding, teacher
+from verdigris.operators import encoding, serving, teacher
 from verdigris.plans import fixtures as fx
 from verdigris.session import table
 from verdigris.sources import requests as rq
@@ -208,3 +208,23 @@ def public_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each record of a public source is from: names, row, and the hashes of its text and of the whole row."""
     raw = F.to_json(F.struct("event_type", "event_id"))
     return table(spark, sf_dir, "events").select("event_id", rq.provenance("org/data", None, "abc", "train", F.col("event_id"), F.col("event_type"), raw).alias("provenance"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderpriority AS s, len(list_filter(string_split(o_orderpriority, ' '), lambda w: w <> '')) AS words, o_custkey % 5 AS z FROM orders),
+    a AS (SELECT *, CASE k WHEN 0 THEN 'unknown_type' WHEN 1 THEN 'question_count' WHEN 2 THEN 'no_request' WHEN 3 THEN 'state_over_limit' ELSE 'ok' END AS status, exp(z / 10.0) / (1 + exp(z / 10.0)) AS p FROM o)
+    SELECT o_orderkey, status, CASE WHEN status = 'ok' THEN CASE WHEN z = 0 THEN 'ops' ELSE 'dev' END END AS team, CASE WHEN status = 'ok' THEN true END AS fine, round(CASE WHEN status = 'ok' THEN p END, 6) AS p_true,
+      CAST(CASE WHEN status = 'ok' THEN words + 1 END AS INTEGER) AS state_tokens, CAST(CASE WHEN status = 'ok' THEN 21 END AS INTEGER) AS branch_tokens, CAST(CASE WHEN status = 'ok' THEN 2 END AS INTEGER) AS questions, CASE WHEN status = 'ok' THEN 'packed' END AS form FROM a"""
+)
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request documents, one an order, some of them invalid or too long, to typed answers and what they cost."""
+    k = F.col("o_orderkey") % 7
+    quoted = F.concat(F.lit('"'), F.when(k == 3, F.repeat(F.lit("word "), F.lit(50))).otherwise(F.col("o_orderpriority")), F.lit('"'))
+    team = F.concat(F.lit('"team": {"type": "'), F.when(k == 0, "other").otherwise("choice"), F.lit('", "instructions": "Who is it", "criteria": {"ops": null, "dev": "team"}}'))
+    fine = F.lit('"fine": {"type": "noul", "instructions": "Fine"}')
+    body = F.when(k == 2, F.lit('{"questions": 1')).otherwise(F.concat(F.lit('{"state": '), quoted, F.lit(', "questions": {'), F.when(k == 1, "").otherwise(F.concat(team, F.lit(", "), fine)), F.lit("}}")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"), (F.col("o_custkey") % 5).alias("z"))
+    rising = lambda asked: asked.join(rows.select(F.col("o_orderkey").alias("__key"), "z"), "__key").withColumn("logits", F.transform("shown", lambda n, i: i * F.col("z") / 10.0))
+    out = serving.answered(rows, "o_orderkey", "body", rising, _word_lengths, IDS, max_state=40)
+    one = lambda at, field: F.get("answers", F.lit(at))["answer"][field]
+    return out.select("o_orderkey", "status", one(0, "choice").alias("team"), one(1, "decision").alias("fine"), F.round(one(1, "p_true"), 6).alias("p_true"), "state_tokens", "branch_tokens", "questions", "form")
