@@ -59,7 +59,7 @@ def test_records_are_whole(corpus):
     official = {r["text_sha256"] for r in own if "/evaluation/" in r["record_id"]}
     assert not official & {r["text_sha256"] for r in own if "/train/" in r["record_id"]}
     composed = [r for r in records if r["source_family"] == "composition"]
-    assert all(json.loads(r["provenance"])["deciding_field"] for r in composed) and {r["schema_family"].split(".")[0] for r in composed} == {"composition"}
+    assert all(json.loads(json.loads(r["provenance"])["certificate"])["deciding_field"] for r in composed) and {r["schema_family"].split(".")[0] for r in composed} == {"composition"}
 
 
 def test_a_text_in_two_splits_is_refused(spark):

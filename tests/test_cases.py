@@ -179,3 +179,24 @@ def test_pairs_of_a_table(spark):
     found = rows.collect()
     assert len(found) == 88 and {r["family"] for r in found} == {f for k, f in enumerate(cases.FAMILIES) if any(i * 10_007 % 11 == k for i in range(44))}
     assert sum(r["n"] for r in report.collect()) == 44 and len({r["group_id"] for r in found}) == 44
+
+
+def test_certificates_give_the_labels(spark):
+    """Atoms and facts of every certificate, by plain Python, give the label that it certifies, and without the deciding fact none."""
+    rows = cases.compositions(spark, 4, 21, styles=(0, 1, 2, 3, 4)).collect()
+    for r in rows:
+        own = json.loads(r["certificate"])
+        facts = {x["field"]: x["value"] for x in own["facts"]}
+        assert json.loads(r["state"])["case"] == " ".join(f"The {k} is {v}." for k, v in facts.items()) and r["render_style"] in range(5)
+
+        def truth(atom, facts):
+            values = [facts.get(f) for f in atom["fields"]]
+            if None in values:
+                return None
+            text = pl.atom_text(atom["kind"], atom["fields"], atom["threshold"])
+            return holds(text, facts)
+
+        label = lambda f: pl.evaluated(pl.SHAPES[own["shape"]], [truth(a, f) for a in own["atoms"]])
+        assert label(facts) is own["label"] is (r["gold"] == "accept") and own["deciding_field"] == r["deciding_field"]
+        if (r["pair_kind"], r["sibling"]) == ("relevant", "a"):
+            assert label({k: v for k, v in facts.items() if k != own["deciding_field"]}) is None

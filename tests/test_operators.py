@@ -163,3 +163,19 @@ def test_groups_beyond_any_pool(spark):
         assert {r["group_id"]: r["rows"] for r in splits.take_groups(df, "source", "rows", 9, cap).collect()} == want
     many = spark.range(3000).selectExpr("'s' AS source", "concat('s/', id) AS group_id", "1L AS rows")
     assert splits.take_groups(many, "source", "rows", 1, 2000).count() == 2000
+
+
+def test_pool_draw(spark):
+    """The rows whose keys hash lowest: as many as asked for, the same in any partitioning, others under another seed."""
+    rows = spark.range(500).withColumn("k", F.col("id").cast("string"))
+    want = sorted(range(500), key=lambda i: hashlib.sha256(f"3:{i}".encode()).hexdigest())[:40]
+    for n in (1, 7):
+        assert sorted(r["id"] for r in splits.sampled(rows.repartition(n), F.col("k"), 3, 40).collect()) == sorted(want)
+    assert sorted(r["id"] for r in splits.sampled(rows, F.col("k"), 4, 40).collect()) != sorted(want) and splits.sampled(rows, F.col("k"), 3, 900).count() == 500
+
+
+def test_costs_and_paths(spark):
+    rows = spark.createDataFrame([(True, 2, 10), (False, None, None), (True, 1, None)], "eligible boolean, layouts int, prompt_tokens int")
+    assert targets.costs(rows).first().asDict() == {"targets": 3, "eligible": 2, "layouts": 3, "prompt_tokens": 10}
+    assert targets.costs(rows.where("false")).first().asDict() == {"targets": 0, "eligible": 0, "layouts": 0, "prompt_tokens": 0}
+    assert targets.target_path("runs/", "0123456789abcdef") == "runs/0123456789ab/targets"

@@ -339,7 +339,8 @@ def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes
 
     groups: how many of each shape, or a table of ids, each of which gives a group of one shape, dealt by the id. A group's
     facts are drawn among all those that have a deciding fact: another of its possible values changes the label, and
-    without it the label is unknown. Which one is changed is drawn too. All draws are columns of one projection, whatever the
+    without it the label is unknown. Which one is changed is drawn too. certificate (JSON) has what the label follows from:
+    the shape, its atoms, the facts in the order told and the fact that decides. All draws are columns of one projection, whatever the
     shapes, so a group is a row, and every group has its cases.
     """
     counts = [max(pl.used_atoms(pl.SHAPES[n])) + 1 for n in shapes]
@@ -368,13 +369,16 @@ def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes
     policy = F.get(F.get(_nested(said), F.col("number")), F.floor(u("style") * len(styles)).cast("int"))
     for i in range(width):
         policy = F.replace(policy, F.lit(f"{{{i}}}"), F.coalesce(_atom_words(i), F.lit("")))
-    every = rows.withColumns(drawn).select("family", "id", policy.alias("policy"), "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned"))
+    atoms = F.array(*(F.when(F.lit(i) < F.col("count"), F.struct(F.col(f"kind{i}").alias("kind"), F.transform(f"f{i}", lambda x: x["field"]).alias("fields"), F.col(f"t{i}").alias("threshold"))) for i in range(width)))
+    style = F.get(F.array(*(F.lit(s) for s in styles)), F.floor(u("style") * len(styles)).cast("int"))
+    every = rows.withColumns(drawn).select("family", "id", policy.alias("policy"), "facts", "edit", "label", "moved", (u("keys") < 0.5).alias("turned"), F.filter(atoms, lambda a: a.isNotNull()).alias("atoms"), style.alias("render_style"))
     ordered = F.transform(F.array_sort(F.transform("facts", lambda x: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), "family", F.col("id").cast("string"), x["field"]), 256).alias("h"), x.alias("x")))), lambda x: x["x"])
     edited = lambda field, value: F.transform("facts", lambda x: F.struct(x["field"].alias("field"), F.when(x["field"] == field, value).otherwise(x["value"]).alias("value")))
     every = every.withColumn("facts", ordered)
     kinds = (("relevant", "a", F.col("facts"), F.col("label")), ("relevant", "b", edited(F.col("edit.field"), F.col("edit.value")), ~F.col("label")), ("irrelevant", "a", F.col("facts"), F.col("label")), ("irrelevant", "b", edited(F.lit("routing reference"), F.col("moved")), F.col("label")))
-    cases = every.select("family", "policy", "turned", F.col("edit.field").alias("deciding_field"), F.concat(F.lit(f"composition/{seed}/"), "family", F.lit("/"), F.col("id").cast("string")).alias("group_id"), F.inline(F.array(*(F.struct(F.lit(k).alias("pair_kind"), F.lit(s).alias("sibling"), f.alias("facts"), y.alias("holds")) for k, s, f, y in kinds))))
+    cases = every.select("family", "policy", "turned", "atoms", "render_style", F.col("edit.field").alias("deciding_field"), F.concat(F.lit(f"composition/{seed}/"), "family", F.lit("/"), F.col("id").cast("string")).alias("group_id"), F.inline(F.array(*(F.struct(F.lit(k).alias("pair_kind"), F.lit(s).alias("sibling"), f.alias("facts"), y.alias("holds")) for k, s, f, y in kinds))))
+    certificate = F.to_json(F.struct(F.col("family").alias("shape"), "atoms", "facts", "deciding_field", F.col("holds").alias("label")))
     case = F.array_join(F.transform("facts", lambda x: F.concat(F.lit("The "), x["field"], F.lit(" is "), x["value"], F.lit("."))), " ")
     keys = F.when(F.col("turned"), F.array(F.lit("reject"), F.lit("accept"))).otherwise(F.array(F.lit("accept"), F.lit("reject")))
     said = F.when(F.col("turned"), F.array(F.lit(CRITERIA["reject"]), F.lit(CRITERIA["accept"]))).otherwise(F.array(F.lit(CRITERIA["accept"]), F.lit(CRITERIA["reject"])))
-    return cases.select(F.concat_ws("/", "group_id", "pair_kind", "sibling").alias("record_id"), "group_id", "family", "pair_kind", "sibling", "deciding_field", F.to_json(F.struct("policy", case.alias("case"))).alias("state"), F.lit("choice").alias("type"), F.lit("Apply the policy to this case.").alias("instructions"), keys.alias("keys"), said.alias("descriptions"), F.when(F.col("holds"), "accept").otherwise("reject").alias("gold"), F.concat(F.lit("composition_"), "family").alias("task"))
+    return cases.select(F.concat_ws("/", "group_id", "pair_kind", "sibling").alias("record_id"), "group_id", "family", "pair_kind", "sibling", "deciding_field", F.to_json(F.struct("policy", case.alias("case"))).alias("state"), F.lit("choice").alias("type"), F.lit("Apply the policy to this case.").alias("instructions"), keys.alias("keys"), said.alias("descriptions"), F.when(F.col("holds"), "accept").otherwise("reject").alias("gold"), F.concat(F.lit("composition_"), "family").alias("task"), "render_style", certificate.alias("certificate"))

@@ -42,3 +42,14 @@ def summary(targets: DataFrame) -> DataFrame:
         F.sum(F.coalesce("layouts", F.lit(0))).cast("long").alias("layouts"),
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).cast("long").alias("prompt_tokens"),
     )
+
+
+def costs(targets: DataFrame) -> DataFrame:
+    """What all targets took: targets, eligible, layouts and prompt tokens; nulls count as none."""
+    whole = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).cast("long").alias(c)
+    return targets.agg(F.count("*").alias("targets"), F.count_if("eligible").alias("eligible"), whole("layouts"), whole("prompt_tokens"))
+
+
+def target_path(root: str, revision: str, digits: int = 12) -> str:
+    """Where the targets of a teacher's revision are kept under root."""
+    return f"{root.rstrip('/')}/{revision[:digits]}/targets"

@@ -162,8 +162,8 @@ def public(parts: Sequence[Part], recipe: Recipe, tokens: Callable[[Column], Col
 
 
 def policy_records(cases: DataFrame, generator: str) -> DataFrame:
-    """Generated policy cases as records; their provenance tells the pair, and for a composed rule the fact that decides."""
-    extra = [F.col(c) for c in ("pair_kind", "sibling", "deciding_field") if c in cases.columns]
+    """Generated policy cases as records; their provenance tells the pair, and for a composed rule its style and the certificate of its label."""
+    extra = [F.col(c) for c in ("pair_kind", "sibling", "render_style", "certificate") if c in cases.columns]
     text = py.casefold_hash(py.sorted_json("state"))
     said = F.to_json(F.struct(F.lit(generator).alias("generator"), F.col("family"), *extra, text.alias("text_sha256")), {"ignoreNullFields": "false"})
     asked = F.array(catalog.question(F.lit("decision"), F.col("type"), F.col("instructions"), F.col("keys"), F.col("descriptions"), F.col("gold"), F.col("task")))
