@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as tx
+from verdigris.plans import corpora
 from verdigris.sources import digests, readers, sinks
 
 
@@ -103,3 +104,12 @@ def test_strange_levels_are_refused(spark, tmp_path):
         sinks.write_counted(records(spark), str(tmp_path / "b"), LEVELS, types=("noul", "choice"))
     empty = sinks.write_counted(records(spark).where("false"), str(tmp_path / "c"), LEVELS)
     assert empty["files"]["train"]["records"] == 0 and empty["counts"]["dev"]["source_family"] == {}
+
+
+def test_copies_of_many_events_differ_where_one_line_does(spark, tmp_path):
+    n = F.col("id")
+    events = spark.range(200_000).select(n.alias("event_id"), F.concat(F.lit("t"), (n % 3).cast("string")).alias("event_type"), F.concat(F.lit('{"k":'), (n % 97).cast("string"), F.lit("}")).alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["event_type"]: (r["bytes"], r["changed"]) for r in corpora.changed_files(spark, str(tmp_path)).collect()}
+    sizes = {t: sum(len(f'{k}:{{"k":{k % 97}}}') + 1 for k in range(t, 200_000, 3)) for t in range(3)}
+    assert found == {f"t{t}": (sizes[t], t == 17 % 3) for t in range(3)}
