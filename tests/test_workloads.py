@@ -42,3 +42,18 @@ def test_joining_changes_counts():
 
     text = "abaabbabab" * 9
     assert all((found := workloads.exact_prefix(text, n, count)) is not None and count(found) == n for n in range(1, count(text) + 1))
+
+
+def test_states_are_dealt_evenly(spark):
+    path = public_tokenizers.path(FILES[0])
+    rows = workloads.profiled(spark.range(4096), "id", SENTENCES, path, {"tiny": (12, 1)}).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 1.3 * workloads.PER_TASK  # four tasks, however few bytes the rows have
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_shared_tails_make_the_same_states(file):
+    path = public_tokenizers.path(file)
+    for i in (0, 5, 8999, 9000, 123456):
+        for n in (0, 1, 3, 9, 40, 127):
+            begin = f"Ticket {1000 + i}."
+            assert workloads._state(begin, SENTENCES, i, n, path) == workloads._grown(begin, SENTENCES, i, n, path)
