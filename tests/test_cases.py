@@ -200,3 +200,10 @@ def test_certificates_give_the_labels(spark):
         assert label(facts) is own["label"] is (r["gold"] == "accept") and own["deciding_field"] == r["deciding_field"]
         if (r["pair_kind"], r["sibling"]) == ("relevant", "a"):
             assert label({k: v for k, v in facts.items() if k != own["deciding_field"]}) is None
+
+
+def test_groups_of_a_small_table_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.range(1, 400, numPartitions=1).write.parquet(f"{tmp_path}/ids")
+    rows = cases.compositions(spark, spark.read.parquet(f"{tmp_path}/ids"), 7)
+    parts = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and sum(r["count"] for r in parts) == 4 * 399

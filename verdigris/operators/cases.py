@@ -18,6 +18,8 @@ from verdigris.functions import policy as pl
 from verdigris.functions import text as tx
 from verdigris.store import numbered
 
+#: Groups of composed cases that a task makes.
+PER_TASK = 4096
 #: What names, roles, things and programmes are drawn from.
 NAMES = ("Mira", "Noah", "Priya", "Tomas", "Aiko", "Lena", "Omar", "Sana", "Jonas", "Ravi", "Elin", "Kofi")
 ROLES = ("account owner", "billing manager", "support agent", "warehouse lead")
@@ -238,17 +240,21 @@ def contrastive(spark: SparkSession, pairs: int | DataFrame, seed: int, families
     return reduce(DataFrame.unionByName, cases), report
 
 
+def _shuffled(u) -> dict[str, Column]:
+    """Columns of the nouns and the people in a drawn order: computed once, as many atoms take from them."""
+    drawn = lambda what, names: F.array_sort(F.array(*(F.struct(u(f"{what}{n}").alias("u"), F.lit(n).alias("n")) for n in names)))
+    return {"nouns": drawn("noun", NOUNS), "people": drawn("person", PEOPLE)}
+
+
 def _atoms(count: int, u) -> dict[str, Column]:
-    """Columns of the drawn atoms: kind, field names, threshold, candidate values and drawn values, as text."""
-    nouns = F.array_sort(F.array(*(F.struct(u(f"noun{n}").alias("u"), F.lit(n).alias("n")) for n in NOUNS)))
-    people = F.array_sort(F.array(*(F.struct(u(f"person{n}").alias("u"), F.lit(n).alias("n")) for n in PEOPLE)))
+    """Columns of the drawn atoms, over those of _shuffled: kind, field names, threshold, candidate values and drawn values, as text."""
     out = {}
     for i in range(count):
-        out[f"noun{i}"] = F.get(nouns, F.lit(i))["n"]
+        out[f"noun{i}"] = F.get("nouns", F.lit(i))["n"]
         out[f"kind{i}"] = pick(KINDS, u(f"kind{i}"))
         out[f"t{i}"] = whole(u(f"t{i}"), F.lit(5), F.lit(60))
         out[f"start{i}"] = F.make_date(F.lit(2027), whole(u(f"month{i}"), F.lit(1), F.lit(8)), whole(u(f"day{i}"), F.lit(1), F.lit(28)))
-        out[f"people{i}"] = F.transform(F.slice(people, (i * 2) + 1 if i < 3 else 2, 3), lambda x: x["n"])
+        out[f"people{i}"] = F.transform(F.slice("people", (i * 2) + 1 if i < 3 else 2, 3), lambda x: x["n"])
     return out
 
 
@@ -348,18 +354,21 @@ def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes
     if isinstance(groups, int):
         rows = spark.range(groups).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(len(shapes) - 1))))
     else:
-        rows = groups.select("id", F.pmod("id", F.lit(len(shapes))).cast("int").alias("number"))
+        # A row is much work, of however few bytes: by a given number of parts, which adaptive execution doesn't merge.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups.count() // PER_TASK))
+        rows = groups.select("id").repartition(parts, "id").select("id", F.pmod("id", F.lit(len(shapes))).cast("int").alias("number"))
     rows = rows.withColumns({"family": F.get(_nested(list(shapes)), F.col("number")), "count": F.get(_nested(counts), F.col("number"))})
     u = lambda name: tx.uniform(F.concat_ws(":", F.lit(str(seed)), "family", F.lit(name), F.col("id").cast("string")))
-    rows = rows.select("id", "number", "family", "count", *(c.alias(n) for n, c in _atoms(width, u).items()))
+    rows = rows.withColumns(_shuffled(u)).select("id", "number", "family", "count", *(c.alias(n) for n, c in _atoms(width, u).items()))
     rows = _deciding_draw(rows.withColumns({f"f{i}": _fields(i) for i in range(width)}), shapes, width, u)
+    flips = lambda i, k: F.filter(F.coalesce(F.get(f"f{i}", F.lit(k))["values"], F.array().cast("array<string>")), _flipping(i, k))
+    rows = rows.withColumns({f"flips{i}{k}": F.when(F.get("deciding", F.lit(i)), flips(i, k)) for i in range(width) for k in (0, 1)})
     edits, facts = [], []
     for i in range(width):
         for k in (0, 1):
             field = F.get(f"f{i}", F.lit(k))
-            flips = F.filter(F.coalesce(field["values"], F.array().cast("array<string>")), _flipping(i, k))
-            own = F.struct(u(f"edit{i}.{k}").alias("u"), field["field"].alias("field"), F.get(flips, F.lit(0)).alias("value"))
-            edits.append(F.when(F.get("deciding", F.lit(i)) & (F.size(flips) > 0), own))
+            own = F.struct(u(f"edit{i}.{k}").alias("u"), field["field"].alias("field"), F.get(f"flips{i}{k}", F.lit(0)).alias("value"))
+            edits.append(F.when(F.size(f"flips{i}{k}") > 0, own))
             facts.append(F.when((F.lit(i) < F.col("count")) & field.isNotNull(), F.struct(field["field"].alias("field"), F.col(f"v{i}{k}").alias("value"))))
     low, high = whole(u("routing low"), F.lit(100), F.lit(500)), whole(u("routing high"), F.lit(501), F.lit(999))
     other = u("routing") < 0.5
