@@ -119,3 +119,43 @@ def test_vector_edges(spark):
     assert found[1] == (2, 1, True) and found[2] == (2, 1, False) and found[10] == (2, 1, False)
     assert all(found[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11)) and found[None] == (0, None, True)
     assert embeddings.linked_vectors(df.where("false")).count() == 0
+
+
+def test_longer_sketches_leave_none_to_tiles(spark, monkeypatch):
+    """Texts that have a passage in common, under the similarity, and a copy each: the passage's long lists need no tile."""
+    monkeypatch.setattr(minhash, "LIGHT", 4)
+    met, tiled, widened = [], [], minhash._widened
+    monkeypatch.setattr(minhash, "_widened", lambda heavy, *more: (met.append(heavy.select("id").distinct().count()), widened(heavy, *more))[1])
+    monkeypatch.setattr(minhash, "_tiled", lambda *all: tiled.append(all))
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(30):
+        own = [f"t{k}w{j}" for j in range(90)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *(rng.choice(("x", w)) if j % 9 == 0 else w for j, w in enumerate(own))])]
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == smallest_reachable(sets, links)
+    assert met and met[0] > 30 and not tiled
+
+
+def test_tiles_in_rounds(spark, monkeypatch):
+    """No set is sure of its short lists, and a round may hold next to nothing: the tiles give the same components."""
+    for name, value in (("LIGHT", 2), ("MET", 10**6), ("SURE", 10**6), ("TILE", 400), ("ROUND", 1), ("REPEATS", 2)):
+        monkeypatch.setattr(minhash, name, value)
+    rounds, kept, tiled = [], minhash.checkpoint, minhash._tiled
+
+    def counted(*all):
+        monkeypatch.setattr(minhash, "checkpoint", lambda df: (rounds.append(df.columns), kept(df))[1])
+        return tiled(*all)
+
+    monkeypatch.setattr(minhash, "_tiled", counted)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(70)]
+    texts = [" ".join(f"w{rng.randrange(3000)}" if rng.random() < 0.05 else w for w in base) for _ in range(60)]
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == smallest_reachable(sets, links)
+    assert len(rounds) > 1

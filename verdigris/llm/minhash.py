@@ -9,8 +9,10 @@
 3. Each list links its members to its smallest one, not all to all. Pairs are filtered by sizes, then by the
    similarity that the union's bottom-k sketch estimates, and verified on full sets.
 4. What this leaves open: members of one list in different components. Lists of up to LIGHT members give their
-   pairs across components. Classes of longer ones are compared in blocks: classes that such lists
-   connect, of near sizes, in tiles of bounded weight. A pair of tiles is worked on in strips of ROWS rows, whose
+   pairs across components. Classes of longer ones get sketches of WIDE values: pairs that share MET short
+   lists there are tested, and whoever has so many short lists that similar sets must share MET of them is done.
+   Only the others are compared in blocks: classes that long lists connect, of near sizes, in tiles of bounded
+   weight, dealt in rounds of bounded disk. A pair of tiles is worked on in strips of ROWS rows, whose
    exact intersections are counted by matrix products; only links between components are returned.
 5. Components of all verified links.
 """
@@ -27,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, smallest_names
-from .shared import arrow_rows, checkpoint, stored
+from .shared import arrow_rows, checkpoint, drop_shuffles, stored
 from .shingles import digest, shingle_set
 
 #: Values of a sketch; percent of similarity; members up to which a list gives its pairs; hashes in a tile.
 K, PERCENT, LIGHT, TILE = 64, 80, 16, 1 << 18
+#: Values of the longer sketches; short lists that a pair must share there; short lists of WIDE values of which similar sets share MET but for chance below 1e-9.
+WIDE, MET, SURE = 512, 3, 365
+#: Times that a round of tiles may repeat the sets that it compares; hashes that a round may have anyway.
+REPEATS, ROUND = 6, 1 << 25
 #: Members of a list that are dealt to one task together; tasks that a band of a region goes to.
 PART, SALTS = 1024, 32
 #: Rows of a strip, and shingles that two strips are compared on at once: a strip's arrays take some MB.
@@ -192,8 +198,8 @@ def _by_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return one.join(two, ["key", "part"]).drop("part")
 
 
-def _tiled(heavy: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components of the classes that long lists (key, id, n, component) connect, by tiles.
+def _tiled(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of the classes that long lists (key, id, n, component, members) connect, by tiles; texts: (id, text) of these classes.
 
     Classes whose lists connect them are a region. A region's classes of sizes in one step of 100/percent
     are a band; a link's ends are in one band or two neighbouring ones. Bands are cut into tiles of about TILE
@@ -218,17 +224,18 @@ def _tiled(heavy: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
     up = F.when(F.col("next_tiles").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("next_tiles") - 1), lambda o: meets(0, band * 2 + 1, tile, o)))
     down = F.when(F.col("last_tiles").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("last_tiles") - 1), lambda o: meets(1, band * 2 - 1, o, tile)))
     none = F.array().cast("array<struct<side:int,low:int,p:int,q:int>>")
-    dealt = placed.select("region", "id", "component", F.inline(F.concat(within, F.coalesce(up, none), F.coalesce(down, none))))
-
-    sets = _texts_of(members.select("id"), classes, texts)
+    dealt = placed.select("region", "id", "component", "n", F.inline(F.concat(within, F.coalesce(up, none), F.coalesce(down, none)))).withColumn("round", F.xxhash64("region", "low", "p", "q"))
+    # Each set goes to as many tasks as its tile has others to meet: in rounds, so that the disk which that takes doesn't grow with the square of the region.
+    meetings = F.col("tiles") + F.coalesce("next_tiles", F.lit(0)) + F.coalesce("last_tiles", F.lit(0))
+    weight = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * meetings), F.lit(0))).first()
+    rounds = max(1, math.ceil(weight[1] / max(ROUND, REPEATS * weight[0])))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [positive_set(t.as_py(), size).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
 
-    sets = stored(arrow_rows(sets, to_sets, "id long, hashes binary"))
-    tiles = dealt.join(sets, "id").repartition("region", "low", "p", "q").sortWithinPartitions("region", "low", "p", "q").select("region", "low", "p", "q", "side", "id", "component", "hashes")
+    sets = stored(arrow_rows(texts.join(members.select("id").distinct(), "id", "left_semi"), to_sets, "id long, hashes binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -247,7 +254,47 @@ def _tiled(heavy: DataFrame, classes: DataFrame, texts: DataFrame, size: int, pe
         if held:
             yield links()
 
-    return arrow_rows(tiles, run, "a long, b long")
+    out = None
+    for k in range(rounds):
+        own = dealt.where(F.pmod("round", F.lit(rounds)) == k).join(sets, "id")
+        tiles = own.repartition("region", "low", "p", "q").sortWithinPartitions("region", "low", "p", "q").select("region", "low", "p", "q", "side", "id", "component", "hashes")
+        found = checkpoint(arrow_rows(tiles, run, "a long, b long"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _widened(heavy: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of the rows of long lists: pairs (a, b) across components that share MET short lists of longer sketches, and the rows of classes that these lists may miss links of.
+
+    A value that one of two sets lacks breaks three runs of the set that has it, or two of the other. So of two similar sets
+    with n values in one at most 3 * (1 - t) * n of its runs aren't the other's, and a set with MET more short lists
+    than that shares MET of them with each similar one. Of sets beyond WIDE only the first runs are listed, of which
+    as large a part is broken but for chance: SURE is over its mean by six standard deviations and more. Sets of up to 5 values are left.
+    """
+    schema = "id long, n long, component long, sketch array<long>"
+    known = texts.join(heavy.select("id", "component").distinct(), "id").select("id", "component", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [positive_set(t.as_py(), size) for t in batch.column(2)]
+                heads = pa.array([s[:WIDE] for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), batch.column(1), heads], names=["id", "n", "component", "sketch"])
+
+    wide = stored(arrow_rows(known, run, schema))
+    keys = list_keys(wide.where(F.col("n") > 5).select(F.struct("id", "component").alias("id"), "n", "sketch")).select("key", "id.id", "n", "id.component")
+    lists = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c"), F.max("component").alias("d")).where(F.col("c") != F.col("d")).select("key", "members")
+    opened = stored(keys.join(lists, "key"))
+    long = opened.where(F.col("members") > LIGHT).groupBy("id").agg(F.count("*").alias("long"))
+    short = F.least(F.col("n"), F.lit(WIDE)) - 2 - F.coalesce("long", F.lit(0))
+    sure = (F.col("n") > 5) & (((F.col("n") * 100 <= WIDE * percent) & (short * 100 >= 3 * (100 - percent) * F.col("n") + 100 * MET)) | (short >= SURE))
+    rest = wide.select("id", "n").join(long, "id", "left").where(~sure).select("id")
+    light = opened.where(F.col("members") <= LIGHT)
+    one, two = light.select("key", F.col("id").alias("a"), F.col("n").alias("x"), F.col("component").alias("c")), light.select("key", F.col("id").alias("b"), F.col("n").alias("y"), F.col("component").alias("d"))
+    met = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _near_sizes(F.col("x"), F.col("y"), percent))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("times")).where(F.col("times") >= MET).select("a", "b")
+    return pairs, stored(heavy.join(rest, "id", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -263,6 +310,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 80:
         raise ValueError("the lists' runs are laid out for a similarity of 0.8 or more")
+    drop_shuffles(docs.sparkSession)
     rows = sketches(docs, id_col, text_col, size)
     known = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = stored(known.groupBy("n", "print").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
@@ -300,5 +348,10 @@ def class_links(classes: DataFrame, texts: DataFrame, size: int, percent: int) -
     every = links.union(checkpoint(_verified(across, classes, texts, size, percent)))
     heavy = opened.where(F.col("members") > LIGHT)
     if not heavy.isEmpty():
-        every = every.union(checkpoint(_tiled(heavy, classes, texts, size, percent)))
+        own = _texts_of(heavy.select("id"), classes, texts)
+        further, rest = _widened(heavy, own, size, percent)
+        further = checkpoint(_estimated(further, classes, percent))
+        every = every.union(checkpoint(_verified(further, classes, texts, size, percent)))
+        if not rest.isEmpty():
+            every = every.union(_tiled(rest, own, size, percent))
     return every

@@ -59,6 +59,11 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of an action go when it ends, not when the driver collects its garbage: an operator of many steps would keep those of all."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def _give_back() -> None:
     """What a task has kept goes: the words that it has met, Arrow's free pages and, where the C library can, its own."""
     shingles.forget()
