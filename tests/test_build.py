@@ -3,13 +3,15 @@
 import json
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import cases
-from verdigris.plans import build
+from verdigris.plans import build, corpora
 from verdigris.plans.corpora import _word_lengths
 from verdigris.sources import catalog
+from verdigris.sources import requests as rq
 
 IDS = {k: i for i, k in enumerate(("state", "question", "option", "end_option", "decide"), 1)}
 RECIPE = build.Recipe(seed=3, pool=60, train=12, test=6, showcase=4, variants=2, unseen=3, max_state=200)
@@ -79,3 +81,40 @@ def test_extended_panel(spark):
     every, whole = build.extended_panel([part], trained, RECIPE, _word_lengths, IDS, 500)
     told = {r["fate"]: r["n"] for r in whole.collect()}
     assert told == {"unlabelled": 3, "context": sum(k % 11 == 0 and k % 13 != 0 for k in range(39)), "text_collision": 1, "extended": every.count()} and sum(told.values()) == 39
+
+
+def test_groups_of_short_rules_share_no_text(spark, small, tmp_path):
+    """Of these suppliers two and two draw the same case (routing reference included) of the same short rule, and go to different splits."""
+    spark.createDataFrame([(k,) for k in (45872, 49072, 23601, 57705, 3)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{small}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("supplier", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    told = sorted(tuple(r) for r in corpora.corpus_fates(spark, str(tmp_path)).collect())
+    assert told == sorted(con.execute(corpora.SQL["corpus_fates"]).fetchall())
+
+
+def test_many_groups_by_number_share_no_text(spark):
+    rows = cases.compositions(spark, 40, 3, ("atom", "negation"), apart=True)
+    told = rows.groupBy("state").agg(F.count_distinct("group_id").alias("groups"))
+    assert told.where("groups > 1").isEmpty() and rows.count() == 4 * 80
+
+
+def test_custom_records_of_every_fate(spark, tmp_path):
+    """A custom corpus' records: forbidden by a long string in any field, without a valid label, too long, no request, or in their split."""
+    ask = {"topic": {"type": "choice", "instructions": "Which?", "criteria": {"a": "x", "b": None}, "label": "b"}, "also": {"type": "noul", "label": "TRUE"}}
+    line = lambda state, questions=ask: json.dumps({"state": state, "questions": questions})
+    said = "I was charged twice for my March invoice and need the duplicate refunded."
+    lines = [line({"n": 1, "body": said.upper()}), line("short one"), line("bad", {"topic": ask["topic"] | {"label": "c"}}), line("word " * 300), "no request", line("none", {}), "", line("short  ONE")]
+    (tmp_path / "own.jsonl").write_text("\n".join(lines))
+    own = build.custom_as_records(rq.labelled_requests(spark, str(tmp_path)), "own", 3, several=True)
+    part = build.Part(catalog.SPECS["emotion"], "id", "text", news(spark, 5))
+    records, report = build.build([part], RECIPE, _word_lengths, IDS, support=build.support_records(spark), custom=own)
+    told = {r["fate"]: r["n"] for r in report.where("source_family = 'own'").collect()}
+    found = {r["record_id"]: r for r in records.where("source_family = 'own'").collect()}
+    assert {k: told.pop(k) for k in ("forbidden_text", "invalid_label", "context")} == {"forbidden_text": 1, "invalid_label": 3, "context": 1}
+    assert sum(told.values()) == 2 and set(told) <= {"train", "dev", "calibration", "test"} and set(found) == {"own/own.jsonl/1", "own/own.jsonl/7"}
+    one, two = found.values()
+    assert one["group_id"] == two["group_id"] and one["split"] == two["split"] and one["schema_family"] == "own.custom"
+    assert [(q["qid"], q["gold"], q["task"]) for q in one["questions"]] == [("also", "true", "own_also"), ("topic", "b", "own_topic")]
+    assert json.loads(one["provenance"])["file"] == "own.jsonl" and json.loads(one["provenance"])["text_sha256"] == one["text_sha256"]

@@ -165,7 +165,7 @@ def _labelled(raw: str) -> dict:
     except ValueError:
         top = None
     if not isinstance(top, dict) or not isinstance(top.get("questions"), dict):
-        return {"state": None, "text": None, "hashes": None, "schema_family": None, "notes": None, "questions": []}
+        return {"state": None, "text": None, "text_sha256": None, "hashes": None, "schema_family": None, "notes": None, "questions": []}
     told = lambda v: None if v is None else _rendered(v, 0)
     asked = []
     for qid, q in top["questions"].items():
@@ -178,17 +178,18 @@ def _labelled(raw: str) -> dict:
         asked.append({"qid": qid, "type": kind if isinstance(kind, str) else None, "instructions": told(q.get("instructions")), "keys": keys, "descriptions": [told(d) for d in said], "gold": _gold(kind, q.get("label"), options)})
     state = top.get("state")
     family = top.get("schema_family")
-    return {"state": json.dumps(state, ensure_ascii=False), "text": _rendered(state, 0), "hashes": _hashes(state), "schema_family": family if isinstance(family, str) else None, "notes": told(top.get("notes")), "questions": asked}
+    text = _rendered(state, 0)
+    return {"state": json.dumps(state, ensure_ascii=False), "text": text, "text_sha256": _fold_hash(text), "hashes": _hashes(state), "schema_family": family if isinstance(family, str) else None, "notes": told(top.get("notes")), "questions": asked}
 
 
 _TEXTS = T.ArrayType(T.StringType())
 _QUESTION = T.StructType().add("qid", "string").add("type", "string").add("instructions", "string").add("keys", _TEXTS).add("descriptions", _TEXTS).add("gold", "string")
 
 
-@F.pandas_udf(T.StructType().add("state", "string").add("text", "string").add("hashes", _TEXTS).add("schema_family", "string").add("notes", "string").add("questions", T.ArrayType(_QUESTION)))
+@F.pandas_udf(T.StructType().add("state", "string").add("text", "string").add("text_sha256", "string").add("hashes", _TEXTS).add("schema_family", "string").add("notes", "string").add("questions", T.ArrayType(_QUESTION)))
 def labelled_request(raw: pd.Series) -> pd.DataFrame:
-    """A labelled request as JSON, with every value's own type: state as JSON, its text and hashes, and the questions with texts and gold keys (null: the label names none). What is no request has no questions."""
-    return pd.DataFrame([_labelled(r) for r in raw], columns=["state", "text", "hashes", "schema_family", "notes", "questions"])
+    """A labelled request as JSON, with every value's own type: state as JSON, its text, the text's hash and all hashes, and the questions with texts and gold keys (null: the label names none). What is no request has no questions."""
+    return pd.DataFrame([_labelled(r) for r in raw], columns=["state", "text", "text_sha256", "hashes", "schema_family", "notes", "questions"])
 
 
 def _question_problem(q: object, most: int) -> str | None:

@@ -340,14 +340,15 @@ def _deciding_draw(rows: DataFrame, shapes: Sequence[str], width: int, u) -> Dat
     return rows.withColumns({f"v{i}{k}": F.col(f"v{i}")[name] for i in range(width) for k, name in enumerate(("first", "second"))})
 
 
-def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes: Sequence[str] = tuple(pl.SHAPES), styles: Sequence[int] = (0, 1)) -> DataFrame:
+def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes: Sequence[str] = tuple(pl.SHAPES), styles: Sequence[int] = (0, 1), apart: bool = False) -> DataFrame:
     """Four cases a group: a pair that differs in one deciding fact, and one that differs in the routing reference.
 
     groups: how many of each shape, or a table of ids, each of which gives a group of one shape, dealt by the id. A group's
     facts are drawn among all those that have a deciding fact: another of its possible values changes the label, and
     without it the label is unknown. Which one is changed is drawn too. certificate (JSON) has what the label follows from:
     the shape, its atoms, the facts in the order told and the fact that decides. All draws are columns of one projection, whatever the
-    shapes, so a group is a row, and every group has its cases.
+    shapes, so a group is a row, and every group has its cases. apart: routing references begin with the group's own number, so
+    that no two groups share a text; of the drawn ones alone there are 900, and among many groups of short rules some tell the same case.
     """
     counts = [max(pl.used_atoms(pl.SHAPES[n])) + 1 for n in shapes]
     width = max(counts)
@@ -372,8 +373,10 @@ def compositions(spark: SparkSession, groups: int | DataFrame, seed: int, shapes
             facts.append(F.when((F.lit(i) < F.col("count")) & field.isNotNull(), F.struct(field["field"].alias("field"), F.col(f"v{i}{k}").alias("value"))))
     low, high = whole(u("routing low"), F.lit(100), F.lit(500)), whole(u("routing high"), F.lit(501), F.lit(999))
     other = u("routing") < 0.5
-    routing = F.struct(F.lit("routing reference").alias("field"), F.when(other, low).otherwise(high).cast("string").alias("value"))
-    drawn = {"facts": F.filter(F.array(*facts, routing), lambda x: x.isNotNull()), "moved": F.when(other, high).otherwise(low).cast("string"), "edit": F.get(F.array_sort(F.filter(F.array(*edits), lambda e: e.isNotNull())), F.lit(0))}
+    number = F.col("id") if isinstance(groups, DataFrame) else F.col("id") * len(shapes) + F.col("number")
+    reference = lambda drawn: F.concat_ws("-", number.cast("string"), drawn.cast("string")) if apart else drawn.cast("string")
+    routing = F.struct(F.lit("routing reference").alias("field"), reference(F.when(other, low).otherwise(high)).alias("value"))
+    drawn = {"facts": F.filter(F.array(*facts, routing), lambda x: x.isNotNull()), "moved": reference(F.when(other, high).otherwise(low)), "edit": F.get(F.array_sort(F.filter(F.array(*edits), lambda e: e.isNotNull())), F.lit(0))}
     said = [[WRAPPERS[s].replace("{rule}", pl.rule_text(pl.SHAPES[n], [f"{{{i}}}" for i in range(4)], s)) for s in styles] for n in shapes]
     policy = F.get(F.get(_nested(said), F.col("number")), F.floor(u("style") * len(styles)).cast("int"))
     for i in range(width):

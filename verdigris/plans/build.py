@@ -18,6 +18,7 @@ from verdigris.functions import python_udfs as py
 from verdigris.functions import questions as qs
 from verdigris.functions import text as tx
 from verdigris.operators import encoding, leakage, splits
+from verdigris.session import small_batches
 from verdigris.sources import catalog
 from verdigris.sources import requests as rq
 from verdigris.store import kept, numbered
@@ -55,18 +56,31 @@ class Part:
     revision: str | None = None
 
 
+def _record_id(part: Part, split: str) -> Column:
+    return F.concat_ws("/", F.lit(part.spec.name), F.lit(split), F.col(f"`{part.key}`").cast("string"))
+
+
+def _labelled(rows: DataFrame) -> Column:
+    return F.coalesce(F.expr("try_cast(label as int)"), F.lit(0)) != -1 if "label" in rows.columns else F.lit(True)
+
+
 def _identified(part: Part, rows: DataFrame, split: str) -> DataFrame:
     """rows with record_id, group_id, source_family, text_sha256, provenance, and whether they are labelled."""
     name, key, text = part.spec.name, F.col(f"`{part.key}`"), rq.row_text(rows, part.field)
     origin = catalog.ORIGINS.get(name)
     raw = F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"})
     said = rq.provenance(origin.repo if origin else name, origin.config if origin else None, part.revision, split, key, text, raw)
-    labelled = F.coalesce(F.expr("try_cast(label as int)"), F.lit(0)) != -1 if "label" in rows.columns else F.lit(True)
-    out = rows.withColumns({"__text": text, "provenance": said, "labelled": labelled, "source_family": F.lit(name), "record_id": F.concat_ws("/", F.lit(name), F.lit(split), key.cast("string"))})
+    out = rows.withColumns({"__text": text, "provenance": said, "labelled": _labelled(rows), "source_family": F.lit(name), "record_id": _record_id(part, split)})
     out = out.withColumn("text_sha256", tx.text_hash(F.col("__text"))).drop("__text")
     return out.withColumn("group_id", F.concat(F.lit(f"{name}/"), F.substring("text_sha256", 1, 20)))
 
 
+def _first(part: Part, rows: DataFrame, split: str, seed: int, n: int) -> DataFrame:
+    """The source's first n rows in the order of the seed: a top-n, written before anything is computed of their texts."""
+    named = rows.withColumn("__id", _record_id(part, split))
+    return kept(named.orderBy(tx.order_hash(F.col("__id"), seed), "__id").limit(n).drop("__id"))
+
+
 def _ranked(rows: DataFrame, seed: int) -> DataFrame:
     """rows with their rank in the order of the seed, within their source."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("source_family").orderBy(tx.order_hash(F.col("record_id"), seed), "record_id")))
@@ -118,17 +132,18 @@ def public(parts: Sequence[Part], recipe: Recipe, tokens: Callable[[Column], Col
     """
     seed, trained = recipe.seed, [p for p in parts if p.train is not None]
     near = 2 * (recipe.showcase + recipe.test)
-    evaluation = {p.spec.name: _identified(p, p.evaluation, "evaluation") for p in parts}
+    evaluation = {}
     official, pool, unseen, rows = [], [], [], []
     for p in parts:
-        labelled = _ranked(evaluation[p.spec.name].where("labelled"), seed)
         wanted = near if p.train is not None else 2 * recipe.unseen
-        found = _converted(p, labelled.where(F.col("rank") <= wanted), seed)
+        drawn = _first(p, p.evaluation.where(_labelled(p.evaluation)), "evaluation", seed, wanted)
+        evaluation[p.spec.name] = _identified(p, drawn, "evaluation")
+        found = _converted(p, evaluation[p.spec.name], seed)
         (official if p.train is not None else unseen).append(found)
     for p in trained:
-        texts = evaluation[p.spec.name].select("text_sha256").distinct().withColumn("seen", F.lit(True))
-        drawn = _ranked(_identified(p, p.train, "train"), seed + 1).where(F.col("rank") <= recipe.pool).join(texts, "text_sha256", "left")
-        drawn = drawn.withColumn("fate", F.when(~F.col("labelled"), "unlabelled").when(F.col("seen"), "official_overlap"))
+        texts = _identified(p, p.evaluation, "evaluation").select("text_sha256").distinct().withColumn("seen", F.lit(True))
+        drawn = _identified(p, _first(p, p.train, "train", seed + 1, recipe.pool), "train").join(texts, "text_sha256", "left")
+        drawn = kept(drawn.withColumn("fate", F.when(~F.col("labelled"), "unlabelled").when(F.col("seen"), "official_overlap")))
         rows.append(drawn.where(F.col("fate").isNotNull()).select("source_family", "record_id", "fate"))
         pool.append(_converted(p, drawn.where(F.col("fate").isNull()), seed))
     checked = lambda frames: kept(with_context(_every(frames).where("valid").drop("valid"), tokens, ids, recipe))
@@ -180,14 +195,14 @@ def support_records(spark: SparkSession) -> DataFrame:
     return found.select("record_id", F.col("record_id").alias("group_id"), F.lit("support").alias("source_family"), F.lit("support.triage").alias("schema_family"), state.alias("state"), "questions", text.alias("text_sha256"), said.alias("provenance"))
 
 
-def custom_as_records(questions: DataFrame) -> DataFrame:
-    """What rq.custom_records gives as records with fate: their split, or why they go (a forbidden text, a question without a valid label)."""
-    one = F.when(F.col("qid").isNotNull(), catalog.question(F.col("qid"), F.col("type"), F.col("instructions"), F.col("keys"), F.col("descriptions"), F.col("gold"), F.concat("source_family", F.lit("_"), "qid")))
-    own = ("record_id", "group_id", "source_family", "split", "text", "text_sha256", "excluded")
-    rows = questions.groupBy(*own).agg(F.first("schema_family").alias("family"), F.first("file").alias("file"), F.first("line").alias("line"), F.first("notes").alias("notes"), F.sort_array(F.collect_list(one)).alias("questions"), F.bool_and("valid").alias("valid"))
+def custom_as_records(requests: DataFrame, name: str, seed: int, several: bool = False) -> DataFrame:
+    """What rq.labelled_requests gives as records of a custom corpus, with hashes and fate: their split, or that a question has no valid label or there is none. A projection, no shuffle."""
+    rows = rq.named_lines(requests, name, several)
+    one = lambda q: catalog.question(q["qid"], q["type"], q["instructions"], q["keys"], q["descriptions"], q["gold"], F.concat(F.lit(f"{name}_"), q["qid"]))
+    valid = (F.size("questions") > 0) & F.forall("questions", lambda q: q["gold"].isNotNull())
     said = F.to_json(F.struct(F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "line", "text_sha256", "notes"), {"ignoreNullFields": "false"})
-    fate = F.when(F.col("excluded"), "forbidden_text").when(~F.col("valid"), "invalid_label").otherwise(F.col("split"))
-    return rows.select("record_id", "group_id", "source_family", F.coalesce("family", F.concat("source_family", F.lit(".custom"))).alias("schema_family"), F.col("text").alias("state"), "questions", "text_sha256", said.alias("provenance"), fate.alias("fate"))
+    fate = F.when(valid, tx.split_of(F.col("group_id"), seed)).otherwise("invalid_label")
+    return rows.select("record_id", "group_id", F.lit(name).alias("source_family"), F.coalesce("schema_family", F.lit(f"{name}.custom")).alias("schema_family"), F.col("text").alias("state"), F.sort_array(F.transform("questions", one)).alias("questions"), "text_sha256", said.alias("provenance"), "hashes", fate.alias("fate"))
 
 
 def forbidden_texts(records: DataFrame, *further: DataFrame) -> DataFrame:
@@ -196,13 +211,15 @@ def forbidden_texts(records: DataFrame, *further: DataFrame) -> DataFrame:
     return records.select(F.col("text_sha256").alias("hash")).union(_every(states).select(F.explode(py.state_hashes("state")))).distinct()
 
 
-def build(parts: Sequence[Part], recipe: Recipe, tokens: Callable[[Column], Column], ids: Mapping[str, int], policy: Mapping[str, DataFrame] | None = None, support: DataFrame | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, demos: Sequence[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
+def build(parts: Sequence[Part], recipe: Recipe, tokens: Callable[[Column], Column], ids: Mapping[str, int], policy: Mapping[str, DataFrame] | None = None, support: DataFrame | None = None, custom: DataFrame | None = None, demos: Sequence[DataFrame] = ()) -> tuple[DataFrame, DataFrame]:
     """(the corpus' records with their split, the report: source_family, fate and n of all that was looked at).
 
     policy: records by where they go: `pool` is split by group and capped for training, others are splits' names. support goes to
-    the showcase. custom gets the texts that are forbidden (of showcase, test and the demos' states) and returns records with a fate. All pass the
+    the showcase. custom: records with hashes and a fate; one that has a text of showcase, test or the demos' states is `forbidden_text`. They are
+    written once, and joined by name with what is forbidden, so that texts aren't shuffled. All pass the
     context check. A group or a text of one source in two splits is a ValueError.
     """
+    small_batches(parts[0].evaluation.sparkSession)
     found, dropped = public(parts, recipe, tokens, ids)
     frames = [found]
     fits = lambda rows: F.when(F.col("context") != "ok", "context").otherwise(rows)
@@ -218,16 +235,13 @@ def build(parts: Sequence[Part], recipe: Recipe, tokens: Callable[[Column], Colu
         frames += [rows.where("fate <> 'train'").select(*columns), _in(own, taken, "left_semi").select(*columns), _fated(_in(own, taken, "left_anti"), "over_cap").select(*columns)]
     if support is not None:
         frames.append(_fated(with_context(support, tokens, ids, recipe), fits(F.lit("showcase"))).select(*columns))
-    every = _every(frames)
-    if custom:
-        every = kept(every)
+    every = kept(_every(frames))
+    if custom is not None:
         forbidden = forbidden_texts(every.where(F.col("fate").isin("showcase", "test")), *demos)
-        own = custom(forbidden)
-        asked = with_context(own.where(F.col("fate").isin(*SPLITS)), tokens, ids, recipe)
-        asked = asked.withColumn("fate", fits(F.col("fate"))).select(*columns)
-        dropped = dropped.unionByName(own.where(~F.col("fate").isin(*SPLITS)).select("source_family", "record_id", "fate"))
-        every = every.unionByName(asked)
-    every = kept(every)
+        own = kept(with_context(custom, tokens, ids, recipe))
+        hit = kept(leakage.colliding(own, "record_id", "hashes", forbidden)).withColumn("hit", F.lit(True))
+        fate = F.when(F.col("hit"), "forbidden_text").when(F.col("fate").isin(*SPLITS), fits(F.col("fate"))).otherwise(F.col("fate"))
+        every = every.unionByName(own.join(hit, "record_id", "left").withColumn("fate", fate).select(*columns))
     corpus = every.where(F.col("fate").isin(*SPLITS)).withColumnRenamed("fate", "split")
     if not splits.disjointness(corpus).where("violations > 0").isEmpty():
         raise ValueError("a group or a text is in two splits")

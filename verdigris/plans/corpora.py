@@ -35,21 +35,21 @@ _CUSTOM = rf"""f AS (SELECT DISTINCT sha256({fx.NORM}) AS hash FROM documents WH
     s AS (SELECT *, CAST('0x' || substr(sha256('{fx.SEED}:split:own/' || substr(text_sha256, 1, 20)), 1, 16) AS UBIGINT) % 10 AS b FROM r)"""
 
 
-def _custom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a labelled corpus in files of JSON lines, read back."""
+def _custom_files(spark: SparkSession, sf_dir: str) -> str:
+    """Where documents are written as a labelled corpus, in files of JSON lines."""
     docs = table(spark, sf_dir, "documents")
     names = F.create_map(*(F.lit(x) for k in fx.LANGS for x in (k, "")))
     asked = F.struct(F.lit("choice").alias("type"), F.lit("Which language?").alias("instructions"), names.alias("criteria"), F.col("lang").alias("label"))
     line = F.to_json(F.struct(F.struct(F.col("lang").alias("note"), F.col("text").alias("body")).alias("state"), F.struct(asked.alias("language")).alias("questions"), F.col("doc_id").cast("string").alias("notes")), {"ignoreNullFields": "false"})
     path = new_path(spark)
     docs.where(F.col("text").isNotNull()).select(line.alias("value")).write.text(path)
-    return rq.labelled_lines(spark, path)
+    return path
 
 
 def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """That corpus' records; every tenth document's text is forbidden."""
     forbidden = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.explode(py.state_hashes("text")).alias("hash"))
-    return rq.custom_records(_custom_lines(spark, sf_dir), "own", fx.SEED, forbidden, several=True)
+    return rq.custom_records(rq.labelled_lines(spark, _custom_files(spark, sf_dir)), "own", fx.SEED, forbidden, several=True)
 
 
 @query(f"WITH {_CUSTOM} SELECT doc_id, CASE WHEN b < 7 THEN 'train' WHEN b = 7 THEN 'dev' WHEN b = 8 THEN 'calibration' ELSE 'test' END AS split, text_sha256, excluded, lang AS gold, lang IS NOT NULL AS valid FROM s WHERE state IS NOT NULL")
@@ -189,8 +189,8 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     posts = build.Part(catalog.SPECS["tweet_offensive"], "doc_id", "text", rows.where("doc_id % 5 = 0"), rows.where("doc_id % 5 <> 0"))
     feelings = build.Part(catalog.SPECS["emotion"], "doc_id", "text", docs.where("doc_id % 5 = 1").select("doc_id", "text", (F.col("doc_id") % 6).cast("int").alias("label")))
     ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    rules = build.policy_records(cases.compositions(spark, ids, fx.SEED, tuple(pl.SHAPES)[:8]), "composition")
-    own = lambda forbidden: build.custom_as_records(rq.custom_records(_custom_lines(spark, sf_dir), "own", fx.SEED, forbidden, several=True))
+    rules = build.policy_records(cases.compositions(spark, ids, fx.SEED, tuple(pl.SHAPES)[:8], apart=True), "composition")
+    own = build.custom_as_records(rq.labelled_requests(spark, _custom_files(spark, sf_dir)), "own", fx.SEED, several=True)
     return build.build([posts, feelings], RECIPE, _word_lengths, {k: i for i, k in enumerate(encoding.DELIMITERS, 1)}, {"pool": rules}, build.support_records(spark), own)
 
 

@@ -23,6 +23,17 @@ def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> S
     )
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: workers of several cores share an executor.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are small, unless a size was set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

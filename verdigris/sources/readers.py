@@ -56,13 +56,14 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files: each line with its number in its file, from 0, blank ones counted.
 
     Lines end in \\n, \\r\\n or \\r. Files are read by byte ranges in any number of tasks: a task counts the lines of its
-    ranges, and a line's number is the lines of the ranges before it in the file plus those before it in its own.
+    ranges, and a line's number is the lines of the ranges before it in the file plus those before it in its own. A number
+    for each range is broadcast, so lines aren't shuffled.
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), "value")
     ranges = rows.groupBy("file", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = ranges.select("file", "range", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(starts, ["file", "range"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    return rows.join(F.broadcast(starts), ["file", "range"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def folder_digest(spark: SparkSession, path: str) -> str:

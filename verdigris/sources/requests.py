@@ -42,8 +42,11 @@ def source_seed(seed: int, source: str) -> int:
 
 def row_text(rows: DataFrame, field: str) -> Column:
     """What identifies a row: its text field, or all of it as JSON with sorted keys where that is null."""
-    whole = py.sorted_json(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    return F.coalesce(F.col(f"`{field}`"), whole) if field in rows.columns and dict(rows.dtypes)[field] == "string" else whole
+    whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    if field not in rows.columns or dict(rows.dtypes)[field] != "string":
+        return py.sorted_json(whole)
+    text = F.col(f"`{field}`")
+    return F.coalesce(text, py.sorted_json(F.when(text.isNull(), whole)))  # the other rows' JSON doesn't go to Python
 
 
 def provenance(repo: str, config: str | None, revision: str | None, split: str, row: Column, text: Column, raw: Column) -> Column:
@@ -52,6 +55,12 @@ def provenance(repo: str, config: str | None, revision: str | None, split: str,
     return F.to_json(F.struct(*(F.lit(v).cast("string").alias(k) for k, v in fixed.items()), row.alias("row"), tx.text_hash(text).alias("text_sha256"), py.row_hash(raw).alias("row_sha256")), {"ignoreNullFields": "false"})
 
 
+def labelled_requests(spark: SparkSession, path: str) -> DataFrame:
+    """A custom corpus as labelled_lines reads it, a row for each line: with text_sha256 and the array of its questions (empty: no request)."""
+    lines = text_lines(spark, path).where(F.trim("value") != "").withColumn("r", py.labelled_request("value"))
+    return lines.select("file", "line", "r.*")
+
+
 def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
     """A custom corpus, one labelled request a line: a row for each question, with the file and the line's number in it (from 0).
 
@@ -59,12 +68,19 @@ def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
     state's text and of each of its strings of five words or more. gold is the key that the label names; valid tells
     whether there is one. Blank lines are skipped; a line that is no request is one row without a question.
     """
-    lines = text_lines(spark, path).where(F.trim("value") != "").withColumn("r", py.labelled_request("value"))
-    rows = lines.select("file", "line", "r.state", "r.text", "r.hashes", "r.schema_family", "r.notes", F.explode_outer("r.questions").alias("q"))
+    lines = labelled_requests(spark, path)
+    rows = lines.select("file", "line", "state", "text", "hashes", "schema_family", "notes", F.explode_outer("questions").alias("q"))
     fields = ("qid", "type", "instructions", "keys", "descriptions", "gold")
     return rows.select("file", "line", "state", "text", "hashes", "schema_family", "notes", *(F.col(f"q.{c}").alias(c) for c in fields), F.col("q.gold").isNotNull().alias("valid"))
 
 
+def named_lines(lines: DataFrame, name: str, several: bool = False) -> DataFrame:
+    """Lines of a custom corpus (file, line, text_sha256) with their record and group ids."""
+    file = F.regexp_extract("file", r"([^/]*)$", 1)
+    record = F.concat_ws("/", F.lit(name), file, F.col("line").cast("string")) if several else F.concat_ws("/", F.lit(name), F.col("line").cast("string"))
+    return lines.withColumns({"record_id": record, "group_id": F.concat(F.lit(f"{name}/"), F.substring("text_sha256", 1, 20))})
+
+
 def custom_records(lines: DataFrame, name: str, seed: int, forbidden: DataFrame, spec: Mapping[str, int] = SPLIT_SPEC, several: bool = False) -> DataFrame:
     """Questions of a custom corpus with record and group ids and splits, and `excluded`: whether any of the state's hashes is among forbidden (hash).
 
@@ -73,10 +89,7 @@ def custom_records(lines: DataFrame, name: str, seed: int, forbidden: DataFrame,
     """
     if dict(spec) != SPLIT_SPEC:
         raise ValueError(f"splits are {SPLIT_SPEC}")
-    file = F.regexp_extract("file", r"([^/]*)$", 1)
-    record = F.concat_ws("/", F.lit(name), file, F.col("line").cast("string")) if several else F.concat_ws("/", F.lit(name), F.col("line").cast("string"))
-    rows = lines.withColumns({"record_id": record, "text_sha256": py.casefold_hash("text")})
-    rows = rows.withColumn("group_id", F.concat(F.lit(f"{name}/"), F.substring("text_sha256", 1, 20)))
+    rows = named_lines(lines.withColumn("text_sha256", py.casefold_hash("text")), name, several)
     hit = leakage.colliding(rows.select("record_id", "hashes").distinct(), "record_id", "hashes", forbidden).withColumn("excluded", F.lit(True))
     rows = rows.join(hit, "record_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
     return rows.select("record_id", "group_id", F.lit(name).alias("source_family"), tx.split_of(F.col("group_id"), seed).alias("split"), *lines.columns, "text_sha256", "excluded")
