@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,3 +82,15 @@ def test_largest_sums_of_whole_texts(spark, small, edge_docs):
     assert len(rows) == len(texts) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) and math.isclose(r["score"], best(r["text"]), rel_tol=1e-9) for r in rows)
     odd = pieces.encode(edge_docs, keep=(F.col("doc_id"),), round_trip=True, largest_sum=True).collect()
     assert len(odd) == edge_docs.count() and all(r["round_trip"] for r in odd) and {r["score"] for r in odd if r["doc_id"] in (3, 4)} == {0.0}
+
+
+def test_words_of_a_batch_are_not_held_at_once():
+    """4 MB of texts are encoded within a few times the ids' bytes; the words of all of them as strings would take over 40 MB."""
+    encoder = pieces.Encoder(pieces.model_path())
+    texts = [" ".join(random.Random(k).choices(("the", "an", "one", "state", "of"), k=1000)) for k in range(1000)]
+    encoder.encode(texts[:1])
+    tracemalloc.start()
+    found = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * sum(map(len, found)) and found[7] == encoder.encode([texts[7]])[0]

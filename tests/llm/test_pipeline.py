@@ -86,3 +86,19 @@ def test_all_stages_over_odd_rows(spark, small, edge_docs):
         rows = at.collect()
         assert all(r["round_trip"] for r in rows) and len(rows) == (len({r["n_tokens"] for r in rows}) if want else 0)
         assert not want or {r["doc_id"] for r in rows} >= {1, 5, 7}
+
+
+def test_decontamination_leaves_rows_where_they_are(spark, small, monkeypatch):
+    """The documents of the fourth stage aren't dealt by key and sorted while the overlapping ones are few; both ways give the same rows."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = corpus_pipeline.decontamination_stage(spark, docs, small)
+        assert "SortMergeJoin" not in near._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
+        dealt = corpus_pipeline.decontamination_stage(spark, docs, small)
+        assert "SortMergeJoin" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(near.collect()) == sorted(dealt.collect()) and near.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -300,6 +300,12 @@ class Vocabulary:
         return [names[i] for run in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) for _, ids in self.best([run]) for i in np.frombuffer(ids, np.int32).tolist()]
 
 
+def _single_spaced(text: str | None) -> list[str]:
+    """The words of a text with single spaces between them and none at an end; none of another text."""
+    cut = text.split(" ") if text and MARK not in text else []
+    return [] if "" in cut else cut
+
+
 class Encoder:
     """Encodes batches of texts with one vocabulary; keeps the ids of words it has seen, as bytes."""
 
@@ -335,12 +341,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of int32; none for a null or empty text."""
-        cut = [t.split(" ") if t and MARK not in t else None for t in texts]
-        cut = [None if c and "" in c else c for c in cut]  # runs of spaces, or one at an end
-        spaced = {k: _RUN.findall(MARK + t.replace(" ", MARK)) for k, t in enumerate(texts) if t and cut[k] is None}
+        words, spaced = set(), {}
+        for k, t in enumerate(texts):
+            if c := _single_spaced(t):
+                words.update(c)
+            elif t:
+                spaced[k] = _RUN.findall(MARK + t.replace(" ", MARK))
         if self.vocabulary.kind == UNIGRAM:  # a run of marks goes with its word
             spaced = {k: [("", marks + word) for marks, word in runs if marks or word] for k, runs in spaced.items()}
-        words = set().union(*(c for c in cut if c), *([w for _, w in runs if w] for runs in spaced.values()))
+        words.update(w for runs in spaced.values() for _, w in runs if w)
         if len(self.words) + len(words) > KEPT_WORDS // 2:
             self.older, self.words = self.words, {}
         new = words - self.words.keys()
@@ -350,13 +359,11 @@ class Encoder:
             self._learn(new)
         get = self.words.__getitem__
         out = []
-        for k, c in enumerate(cut):
-            if c:
-                out.append(b"".join(map(get, c)))
-            elif k in spaced:
-                out.append(b"".join(self._spaced(spaced[k])))
-            else:
-                out.append(b"")
+        for k, t in enumerate(texts):
+            if k in spaced:
+                out.append(b"".join(self._spaced(spaced.pop(k))))
+            else:  # cut once more: the words of all texts at once would take many times the texts' bytes
+                out.append(b"".join(map(get, _single_spaced(t))))
         return out
 
     def _spaced(self, runs: list[tuple[str, str]]) -> Iterator[bytes]:
