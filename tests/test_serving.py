@@ -57,3 +57,11 @@ def test_answers(requests):
     flat = serving.answered(requests.where("name = 'true'"), "name", "body", rising, words, IDS, temperature=1e9).first()
     assert flat["answers"][0]["answer"]["p_true"] == pytest.approx(0.5) and flat["branch_tokens"] == 8
     assert serving.answered(requests.where("false"), "name", "body", rising, words, IDS).count() == 0
+
+
+def test_questions_of_all_requests_are_not_broadcast(spark):
+    """Neither where a scorer joins its own rows nor where answers meet requests, however small Spark takes them for."""
+    from verdigris.plans import encoding
+
+    plan = encoding.answered_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2

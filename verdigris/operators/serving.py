@@ -40,9 +40,10 @@ def answered(requests: DataFrame, key: str, raw: str, answers: Callable[[DataFra
     size = F.size("layout.ids")
     runs = F.when(F.lit(form == "packed") & (size > attention.PACKED_TOKENS), "cached").otherwise(F.lit(form))
     told = rows.select("__key", "status", F.col("layout.n_state").alias("state_tokens"), (size - F.col("layout.n_state")).alias("branch_tokens"), F.when(F.col("status") == "ok", F.size("questions")).alias("questions"), F.when(F.col("status") == "ok", runs).alias("form"))
-    asked = rows.where(F.col("status") == "ok").select("__key", "state", F.posexplode("questions").alias("at", "q"))
+    # Spark underrates the size of exploded questions and would broadcast those of all requests: they ask for merge joins.
+    asked = rows.where(F.col("status") == "ok").select("__key", "state", F.posexplode("questions").alias("at", "q")).hint("merge")
     scored = answers(asked.select("__key", "state", "at", F.col("q.qid").alias("qid"), F.col("q.type").alias("type"), F.col("q.keys").alias("shown")))
     one = encoding.answers(F.col("type"), F.col("shown"), nm.softmax(F.col("logits"), F.lit(float(temperature))))
     found = scored.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "qid", one.alias("answer"))), lambda a, b: a["at"] - b["at"]).alias("found"))  # 32 questions at most
     found = found.select("__key", F.transform("found", lambda x: x.dropFields("at")).alias("answers"))
-    return told.join(found, "__key", "left").select(F.col("__key").alias(key), "status", "answers", "state_tokens", "branch_tokens", "questions", "form")
+    return told.join(found.hint("merge"), "__key", "left").select(F.col("__key").alias(key), "status", "answers", "state_tokens", "branch_tokens", "questions", "form")
